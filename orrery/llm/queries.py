@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import langid
+from orrery.llm import decontam, langid, license_scan, packing, pii, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,8 +22,41 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(_read(spark, sf_dir, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(_read(spark, sf_dir, "documents"))
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    spans = F.array_join(F.transform(F.concat("base", "secrets"), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *counts, "base_sha256", spans.alias("spans"))
+
+
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontam.contaminated().alias("contaminated"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.detect(_read(spark, sf_dir, "documents"))
+    places, labels = F.col("base")["at"], F.col("base")["label"]
+    own = F.col("spans")["label"]
+    join = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    score = F.greatest(F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce(F.array_max(F.col("spans")["cover"]), F.lit(0.0)))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), join(labels).alias("base_labels"), join(F.concat(labels, own)).alias("labels"), score.alias("score"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_language_id,)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op3_language_id, op5_personal_data, op6_sum_of_squares_packing, op7_benchmark_decontamination, op8_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
