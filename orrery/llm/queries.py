@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontam, langid, license_scan, packing, pii, sharding, suffix_dedup
+from orrery.llm import decontam, langid, license_scan, ngram_join, packing, pii, sharding, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_sets(_read(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -60,7 +64,7 @@ def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sampled_splitters, op3_language_id, op5_personal_data, op6_sum_of_squares_packing, op7_benchmark_decontamination, op8_license_scan, op10_radix_suffix_dedup)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op2_ngram_jaccard_join, op3_language_id, op5_personal_data, op6_sum_of_squares_packing, op7_benchmark_decontamination, op8_license_scan, op10_radix_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -112,7 +112,7 @@ def jaccard_links(docs):
     c = classes(len(docs), edges)
     low = {}
     for i, r in enumerate(c):
-        low[r] = min(low.get(r, docs[i][0]), docs[i][0])
+        low[r] = min((x for x in (low.get(r), docs[i][0]) if x is not None), default=None)
     return [(docs[i][0], len(s[i]), deg[i], low[c[i]]) for i in range(len(docs))]
 
 
