@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontam, langid, license_scan, ngram_join, packing, pii, sharding, suffix_dedup
+from orrery.llm import decontam, langid, license_scan, ngram_join, packing, pii, sharding, suffix_dedup, vector_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,12 +59,16 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), join(labels).alias("base_labels"), join(F.concat(labels, own)).alias("labels"), score.alias("score"))
 
 
+def op9_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sampled_splitters, op2_ngram_jaccard_join, op3_language_id, op5_personal_data, op6_sum_of_squares_packing, op7_benchmark_decontamination, op8_license_scan, op10_radix_suffix_dedup)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op2_ngram_jaccard_join, op3_language_id, op5_personal_data, op6_sum_of_squares_packing, op7_benchmark_decontamination, op8_license_scan, op9_subspace_pigeonhole, op10_radix_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
