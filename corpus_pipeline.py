@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import langid
-from orrery.llm.common import scratch_dir
+from orrery.llm import decontam, langid, ngram_join, packing, pii
+from orrery.llm.common import lookup, scratch_dir, table
 
-#: No stage is expressible in SQL (a fitted classifier comes first); tests hold it against brute force.
+#: The first stage is a fitted classifier and the last a tokenizer, so no SQL gives these rows; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 #: A prediction below this posterior is a rejection.
@@ -18,13 +19,52 @@ MIN_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language was recognised; rejected are those without a letter and uncertain ones."""
-    model = langid.fit(docs)
-    columns = docs.columns
-    return langid.identify(docs.withColumn("_text", docs["text"]), model, [*columns]).where((langid.F.col("lang_pred") != langid.UNKNOWN) & (langid.F.col("score") >= MIN_SCORE)).select(*columns)
+    """Keeps documents whose language was recognised; rejected are those without a letter (or text) and uncertain ones."""
+    found = langid.identify(docs, langid.fit(docs), [*docs.columns])
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("language_id", identify_language)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that n-gram Jaccard links join: the one whose id names the group.
+
+    Of rows that repeat an id one stays. Documents without words link with nothing and stay.
+    """
+    groups = ngram_join.similar_sets(docs).select("doc_id", "component_id")
+    gone = table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumn("_gone", F.lit(True)))
+    kept = lookup(docs, gone, "doc_id").where(F.col("_gone").isNull()).select(*docs.columns)
+    repeated = table(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    twice = kept.join(F.broadcast(repeated) if repeated.count() < 100_000 else repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that benchmark passages make up a twentieth of or more; the others stay as they are."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontam.scan(docs, benchmark, [*docs.columns])
+    return found.where(~decontam.contaminated()).select(*docs.columns)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data and secrets in the texts by their kind."""
+    return pii.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into token sequences, one row a piece with its ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal_data", redact_personal_data),
+    ("packing", pack_sequences),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

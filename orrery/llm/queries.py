@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontam, langid, license_scan, ngram_join, packing, pii, sharding, suffix_dedup, vector_join
+from orrery.llm import decontam, html_extract, langid, license_scan, ngram_join, packing, pii, sharding, suffix_dedup, vector_join
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_dom_tree_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(_read(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -68,7 +72,7 @@ def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_sampled_splitters, op2_ngram_jaccard_join, op3_language_id, op5_personal_data, op6_sum_of_squares_packing, op7_benchmark_decontamination, op8_license_scan, op9_subspace_pigeonhole, op10_radix_suffix_dedup)}
+    return {f.__name__: f for f in (op1_sampled_splitters, op2_ngram_jaccard_join, op3_language_id, op4_dom_tree_model, op5_personal_data, op6_sum_of_squares_packing, op7_benchmark_decontamination, op8_license_scan, op9_subspace_pigeonhole, op10_radix_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

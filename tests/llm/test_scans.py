@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import decontam, langid, license_scan, packing, pii, queries, sharding
+from orrery.llm import decontam, html_extract, langid, license_scan, packing, pii, queries, sharding
 from tests.llm import brute
 from tests.llm.conftest import pairs
 
