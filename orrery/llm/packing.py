@@ -8,6 +8,9 @@ level. What is still open at the end of a partition is cut freely to fill window
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -18,98 +21,238 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from orrery.llm.common import bounded_batches
+from orrery.llm.textbytes import IS_SPACE, pieces, prefix_hash, span_hash, words
 
 WINDOW = 4096
 END_ID = 2
 #: Whole words whose ids one worker keeps; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
-#: Longest chunk that is kept.
-CACHE_BYTES = 48
+CACHE_WORDS = 1_000_000
+#: Bytes of these words.
+CACHE_BYTES = 32 << 20
+_SLOTS = 1 << 22
+_SHIFT = np.uint64(64 - 22)
+
+
+class ByteLevelMerges:
+    """Byte-pair merges of many words at once: words of one length are the rows of a matrix of symbol ids,
+    and each step merges every row's lowest-ranked pair (the leftmost of equals)."""
+
+    NONE = np.iinfo(np.int32).max
+    LONGEST = 32
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        odd = [b for b in range(256) if b not in set(printable)]
+        chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(odd)}
+        suffix = model.get("end_of_word_suffix") or ""
+        self.first = np.array([vocab.get(chars[b], -1) for b in range(256)], dtype=np.int32)
+        self.last = np.array([vocab.get(chars[b] + suffix, -1) for b in range(256)], dtype=np.int32)
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.size = max(vocab.values()) + 1
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], dtype=np.int64)
+        made = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
+        _, once = np.unique(keys, return_index=True)
+        self.keys, self.rank, self.made = keys[once], once.astype(np.int32), made
+        # a table of 2**22 slots answers nearly all lookups at once; the few keys that share a slot are searched
+        self.slot = np.full(1 << 22, -1, dtype=np.int32)
+        self.slot[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
+        self.shared = np.flatnonzero(self.slot[self._slot(self.keys)] != np.arange(len(self.keys)))
+        self.ok = bool((self.first >= 0).all() and (self.last >= 0).all()) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a.astype(np.int64) * self.size + b
+        at = self.slot[self._slot(keys)]
+        out = np.where((at >= 0) & (self.keys[at] == keys), self.rank[at], self.NONE)
+        if len(self.shared):
+            some = self.keys[self.shared]
+            j = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+            out = np.where(some[j] == keys, self.rank[self.shared[j]], out)
+        return out.astype(np.int32)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids (unsigned 32-bit, as bytes) of each non-empty word, one pre-token each."""
+        lens = np.array([len(w) for w in words])
+        out: list[bytes] = [b""] * len(words)
+        for n in np.unique(lens).tolist():
+            who = np.flatnonzero(lens == n)
+            raw = np.frombuffer(b"".join(words[i] for i in who.tolist()), dtype=np.uint8).reshape(len(who), n)
+            s = self.first[raw]
+            s[:, -1] = self.last[raw[:, -1]]
+            r = self.ranks(s[:, :-1], s[:, 1:])
+            while len(who):
+                live = r.min(axis=1) < self.NONE if s.shape[1] > 1 else np.zeros(len(who), dtype=bool)
+                stop = np.flatnonzero(~live)
+                if len(stop):
+                    width = 4 * s.shape[1]
+                    buf = s[stop].astype("<u4").tobytes()
+                    for k, i in enumerate(who[stop].tolist()):
+                        out[i] = buf[k * width : (k + 1) * width]
+                    who, s, r = who[live], s[live], r[live]
+                    if not len(who):
+                        break
+                row = np.arange(len(who))
+                at = r.argmin(axis=1)
+                merged = self.made[r[row, at]]
+                m = s.shape[1] - 1
+                s = np.take_along_axis(s, np.arange(m) + (np.arange(m) > at[:, None]), axis=1)
+                s[row, at] = merged
+                if m > 1:
+                    r = np.take_along_axis(r, np.arange(m - 1) + (np.arange(m - 1) >= at[:, None]), axis=1)
+                    k = np.flatnonzero(at > 0)
+                    r[k, at[k] - 1] = self.ranks(s[k, at[k] - 1], s[k, at[k]])
+                    k = np.flatnonzero(at < m - 1)
+                    r[k, at[k]] = self.ranks(s[k, at[k]], s[k, at[k] + 1])
+                else:
+                    r = r[:, :0]
+        return out
 
 
 class WordTokenizer:
-    """Ids of texts by a word-level BPE file, each distinct white-space chunk encoded once.
+    """Ids of texts by a word-level BPE file, each distinct white-space chunk encoded once
+    and found again by its 64-bit hash.
 
     The file's pre-tokenizer never joins text across white space, so the ids of a text are those of
-    its chunks in order. Chunks are cut at ASCII white space only.
+    its chunks in order. Chunks are cut at ASCII white space only. A chunk of Latin letters, with or without
+    ASCII punctuation after them, is merged here in bulk; any other goes to the library.
     """
 
-    MARK = "\x01"
+    #: Latin letters that NFC leaves alone and whose lower case is one letter, then punctuation that starts a pre-token of its own.
+    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        self.merges = ByteLevelMerges(model)
+        self.bulk = self.merges.ok and self._agrees()
+        self.tails: dict[str, bytes] = {"": b""}
         self._clear()
 
+    def _agrees(self) -> bool:
+        """Whether bulk merging and the library give the same for words of all kinds: other files are left to the library."""
+        words = ["a", "the", "lowercase", "tokenization", "straße", "élève", "ÿ", "señor", "zzzzqqqq", "aaaaaaaa", "internationalisation"]
+        got = self.merges.encode([w.encode() for w in words])
+        same = all(np.frombuffer(g, dtype="<u4").tolist() == self.tokenizer.encode(w, add_special_tokens=False).ids for g, w in zip(got, words))
+        return same and self.tokenizer.encode("The word,.. x", add_special_tokens=False).ids == [i for w in ("the", "word", ",..", "x") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.cores: dict[str, bytes] = {}
+        self.known = np.zeros(_SLOTS, dtype=np.uint64)  # word hashes by open addressing; 0: a free slot
+        self.place = np.zeros(_SLOTS, dtype=np.int32)
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
         self.ends = np.zeros(CACHE_WORDS + 1, dtype=np.int64)
-        self.used = 0
+        self.words = self.used = self.held = 0
 
-    def _encode(self, chunks: list[bytes]) -> list[np.ndarray]:
+    def _library(self, strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
+
+    def _encode(self, chunks: list[bytes]) -> list[bytes]:
         strings = [c.decode("utf-8") for c in chunks]
-        if self.mark is not None and not any(self.MARK in s for s in strings):
-            got = np.array(self.tokenizer.encode(f" {self.MARK} ".join(strings), add_special_tokens=False).ids, dtype=np.uint32)
-            at = np.flatnonzero(got == self.mark)
-            if len(at) == len(strings) - 1:
-                return [got[a:b] for a, b in zip(np.r_[0, at + 1].tolist(), np.r_[at, len(got)].tolist())]
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(strings, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.index) + len(chunks) > CACHE_WORDS:
-            self._clear()
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            got = self._encode(part)
-            n = sum(map(len, got))
-            while self.used + n > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            k = len(self.index)
-            self.ids[self.used : self.used + n] = np.concatenate(got)
-            self.ends[k + 1 : k + 1 + len(part)] = self.used + np.cumsum([len(g) for g in got])
-            self.index.update(zip(part, range(k, k + len(part))))
-            self.used += n
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text."""
-        split = [t.split() for t in texts]
-        distinct: set[bytes] = set()
-        for c in split:
-            distinct.update(c)
-        new = [c for c in distinct if c not in self.index and len(c) <= CACHE_BYTES]
-        if len(new) > CACHE_WORDS:
-            return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch([t.decode("utf-8") for t in texts], add_special_tokens=False)]
-        if len(self.index) + len(new) > CACHE_WORDS:
-            self._clear()
-            new = [c for c in distinct if len(c) <= CACHE_BYTES]
+        if not self.bulk:
+            return self._library(strings)
+        cores, tails, longest = [], [], ByteLevelMerges.LONGEST
+        for s in strings:
+            m = self.SIMPLE.fullmatch(s) if len(s) <= longest else None
+            cores.append(m[1].lower() if m else "")
+            tails.append(m[2] if m else "")
+        new = list({c for c in cores if c and c not in self.cores})
         if new:
-            self._learn(new)
-        out = []
-        for t, c in zip(texts, split):
-            try:
-                at = np.fromiter(map(self.index.__getitem__, c), dtype=np.int64, count=len(c))
-            except KeyError:  # it holds a chunk too long to be kept
-                out.append(np.array(self.tokenizer.encode(t.decode("utf-8"), add_special_tokens=False).ids, dtype=np.uint32))
-                continue
-            a, b = self.ends[at], self.ends[at + 1]
-            n = b - a
-            total = int(n.sum())
-            first = np.cumsum(n) - n
-            out.append(self.ids[np.repeat(a - first, n) + np.arange(total)])
+            self.cores.update(zip(new, self.merges.encode([c.encode() for c in new])))
+        for t in {t for t in tails if t not in self.tails}:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[t] = self._library([t])[0]
+        for t in set(tails) - self.tails.keys():
+            self.tails[t] = self._library([t])[0]
+        out = [self.cores[c] + self.tails[t] if c else None for c, t in zip(cores, tails)]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._library([strings[i] for i in rest])):
+            out[i] = x
         return out
 
+    def _learn(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        """Keeps the ids of new chunks; ``hashes`` are theirs and distinct."""
+        got = self._encode(chunks)
+        flat = np.frombuffer(b"".join(got), dtype="<u4")
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        k = self.words
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.ends[k + 1 : k + 1 + len(chunks)] = self.used + np.cumsum([len(g) // 4 for g in got])
+        self.words, self.used, self.held = k + len(chunks), self.used + len(flat), self.held + sum(map(len, chunks))
+        index = np.arange(k, k + len(chunks), dtype=np.int32)
+        slot = (hashes >> _SHIFT).astype(np.int64)
+        while len(hashes):
+            free = np.flatnonzero(self.known[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.known[slot[won]], self.place[slot[won]] = hashes[won], index[won]
+            left = np.ones(len(hashes), dtype=bool)
+            left[won] = False
+            hashes, index, slot = hashes[left], index[left], (slot[left] + 1) % _SLOTS
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The index of each hash, -1 where it is unknown."""
+        out = np.full(len(h), -1, dtype=np.int32)
+        slot = (h >> _SHIFT).astype(np.int64)
+        who = None
+        while True:
+            there = self.known[slot]
+            hit = there == h
+            if who is None:
+                out[hit] = self.place[slot[hit]]
+                who = np.flatnonzero(~hit & (there != 0))
+            else:
+                out[who[hit]] = self.place[slot[hit]]
+                who = who[~hit & (there != 0)]
+            if not len(who):
+                return out
+            go = ~hit & (there != 0)
+            slot, h = (slot[go] + 1) % _SLOTS, h[go]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a piece (UTF-8 bytes and offsets)."""
+        starts, ends, first = words(data, off, ~IS_SPACE)
+        if len(starts) > CACHE_WORDS // 2:  # in halves, so that the new words of a step always have room
+            if len(off) > 2:
+                m = len(off) // 2
+                return self.encode(data[: off[m]], off[: m + 1]) + self.encode(data[off[m] :], off[m:] - off[m])
+            cut = int(starts[len(starts) // 2])
+            return [np.concatenate([self.encode(d, np.array([0, len(d)]))[0] for d in (data[:cut], data[cut:])])]
+        h = span_hash(prefix_hash(data), starts, ends)
+        h[h == 0] = 1
+        at = self._find(h)
+        if (at < 0).any():
+            new, one = np.unique(h[at < 0], return_index=True)
+            if self.words + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
+                self._clear()
+                at[:] = -1
+                new, one = np.unique(h, return_index=True)
+            k = np.flatnonzero(at < 0)[one]
+            raw = data.tobytes()
+            self._learn(new, [raw[a:b] for a, b in zip(starts[k].tolist(), ends[k].tolist())])
+            at = self._find(h)
+        a = self.ends[at]
+        n = self.ends[at + 1] - a
+        total = np.zeros(len(n) + 1, dtype=np.int64)
+        np.cumsum(n, out=total[1:])
+        ids = self.ids[np.repeat(a - total[:-1], n) + np.arange(total[-1])]
+        cuts = total[first]
+        return [ids[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> Callable[[list[bytes]], list[np.ndarray]]:
+def word_tokenizer(path: str) -> Callable[[np.ndarray, np.ndarray], list[np.ndarray]]:
     """The worker's tokenizer of that file."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
@@ -208,18 +351,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
         for b in batches:
             id_type = b.schema.field(0).type
             docs_ids = b.column(0).to_pylist()
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            i = 0
-            while i < len(texts):
-                j, size = i, 0
-                while j < len(texts) and (j == i or size + len(texts[j]) <= 2 << 20):
-                    size += len(texts[j])
-                    j += 1
-                for doc, ids in zip(docs_ids[i:j], encode(texts[i:j])):
+            for i, j, data, off in pieces(b.column(1)):
+                for doc, ids in zip(docs_ids[i:j], encode(data, off)):
                     ids = np.concatenate([ids, end])
                     for s in range(0, len(ids), window):
                         put(doc, s, ids[s : s + window], len(ids))
-                i = j
             if len(done) > 2000:
                 yield rows()
         # open windows are dissolved, fullest first kept whole while they are nearly full, and the rest cut to fit
