@@ -76,7 +76,7 @@ def python_tokens(text: str) -> list[str]:
 def fnv1a(term: Column) -> Column:
     """The 32-bit FNV-1a hash of a term's UTF-8 bytes."""
     hexed = F.hex(term.cast("binary"))
-    places = F.sequence(F.lit(0), F.length(hexed) / 2 - 1)
+    places = F.sequence(F.lit(0), (F.length(hexed) / 2 - 1).cast("int"))
     parts = F.when(F.length(hexed) > 0, F.transform(places, lambda i: F.conv(F.substring(hexed, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("long")))
     return F.when(F.length(hexed) == 0, F.lit(2166136261)).otherwise(F.aggregate(parts, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * 16777619).bitwiseAND(F.lit(4294967295))))
 
