@@ -4,6 +4,7 @@ connected components and a columnar shuffle."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -28,6 +29,15 @@ def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def trim() -> None:
+    """Hands memory that a task has freed back to the system: workers live on, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 _own: dict[str, str] = {}
 
 
@@ -134,7 +144,7 @@ class Scatter:
     SCHEMA = "bucket int, payload binary"
     ARROW = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
-    def __init__(self, buckets: int, flush: int = 48 << 20, combine: Callable[[np.ndarray], np.ndarray] | None = None):
+    def __init__(self, buckets: int, flush: int = 16 << 20, combine: Callable[[np.ndarray], np.ndarray] | None = None):
         self.buckets, self.flush, self.combine = buckets, flush, combine
         self.held: list[np.ndarray] = []
         self.size = 0
@@ -168,6 +178,7 @@ class Scatter:
                 ids, blobs, held = [], [], 0
         if ids:
             yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], schema=self.ARROW)
+        trim()
 
 
 def records(payload: pa.ChunkedArray | pa.Array, dtype: np.dtype) -> np.ndarray:

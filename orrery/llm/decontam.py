@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bounded_batches
+from orrery.llm.common import bounded_batches, trim
 
 WINDOW = 13
 #: Most bytes of normalised benchmark text in one automaton; more text makes more of them, each scanned in turn.
@@ -35,21 +34,14 @@ def windows(ws: list[bytes]) -> set[bytes]:
     return {b" ".join(ws[i : i + WINDOW]) for i in range(max(1, len(ws) - WINDOW + 1))} if ws else set()
 
 
-_built: dict[str, object] = {}
+def _automaton(keys: dict[str, tuple[str, ...]]) -> object:
+    import ahocorasick
 
-
-def _automaton(name: str, keys: dict[str, tuple[str, ...]]) -> object:
-    if name not in _built:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        for k, items in keys.items():
-            a.add_word(f" {k} ", (len(k) + 2, items))
-        a.make_automaton()
-        if len(_built) >= 4:
-            _built.clear()
-        _built[name] = a
-    return _built[name]
+    a = ahocorasick.Automaton()
+    for k, items in keys.items():
+        a.add_word(f" {k} ", (len(k) + 2, items))
+    a.make_automaton()
+    return a
 
 
 def _groups(benchmark: DataFrame, limit: int) -> Iterator[dict[str, tuple[str, ...]]]:
@@ -93,10 +85,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, l
 def _pass(out: DataFrame, shared: object, k: int, kinds: list[pa.DataType], base: str, last: bool) -> DataFrame:
     """One automaton over all texts, adding to the hits found so far; the last pass drops the text."""
 
-    name = uuid.uuid4().hex
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _automaton(name, shared.value) if shared.value else None
+        a = _automaton(shared.value) if shared.value else None
         for b in batches:
             n_words, hits, items = [], [], []
             for text, old, had in zip(b.column(k).to_pylist(), b.column(k + 2).to_pylist(), b.column(k + 3).to_pylist()):
@@ -123,6 +113,8 @@ def _pass(out: DataFrame, shared: object, k: int, kinds: list[pa.DataType], base
             cols = [pa.array(n_words, kinds[0]), pa.array(hits, kinds[1]), pa.array(items, kinds[2])]
             ids = b.columns[:k] if last else b.columns[: k + 1]
             yield pa.record_batch([*ids, *cols], names=[*b.schema.names[: len(ids)], "n_words", "hits", "items"])
+        del a
+        trim()
 
     text = "" if last else ", _t string"
     return out.mapInArrow(run, f"{base}{text}, n_words long, hits array<struct<first:int,end:int>>, items array<string>")

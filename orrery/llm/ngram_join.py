@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Scatter, _union_find, bounded_batches, components, lookup, records, sized_broadcast, table
+from orrery.llm.common import Scatter, _union_find, bounded_batches, components, lookup, records, sized_broadcast, table, trim
 from orrery.llm.textbytes import pieces, shingle_sets
 
 GRAM = 5
@@ -78,6 +78,8 @@ def _survey(docs: DataFrame) -> DataFrame:
             rows = [np.minimum(x, 65535).astype("<u2").tobytes() for x in cells.reshape(_BLOCKS, -1)]
             nothing = [None] * _BLOCKS
             yield pa.record_batch([pa.array(x, t) for x, t in zip((nothing, nothing, nothing, nothing, list(range(_BLOCKS)), rows), kinds)], names=names)
+        del cells
+        trim()
 
     return _source(docs).mapInArrow(scan, "d long, key binary, n int, m1 long, block int, counts binary")
 
@@ -197,6 +199,8 @@ def _balls(prefixes: DataFrame) -> DataFrame:
         rest = [x for m in open_.values() for x in m]
         for i in range(0, len(rest), 2000):
             yield out(rest[i : i + 2000])
+        del rest, open_, seen
+        trim()
 
     return prefixes.repartition("bucket").mapInArrow(build, "ball long, keys array<binary>, lo int, hi int, grams binary, places binary")
 
@@ -334,6 +338,7 @@ def _compare(pairs: DataFrame) -> DataFrame:
                 ys += low[k].tolist()
                 ns += [0] * len(k)
             yield pa.record_batch([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(ns, pa.int64())], names=["x", "y", "n"])
+        trim()
 
     return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "x long, y long, n long")
 

@@ -20,17 +20,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from orrery.llm.common import bounded_batches
-from orrery.llm.textbytes import IS_SPACE, pieces, prefix_hash, span_hash, words
+from orrery.llm.common import bounded_batches, trim
+from orrery.llm.textbytes import IS_SPACE, LOWER, pieces, prefix_hash, span_hash, words
 
 WINDOW = 4096
 END_ID = 2
 #: Whole words whose ids one worker keeps; beyond it the memory starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Bytes of these words.
-CACHE_BYTES = 32 << 20
-_SLOTS = 1 << 22
-_SHIFT = np.uint64(64 - 22)
+CACHE_BYTES = 16 << 20
+_SLOTS = 1 << 20
+_SHIFT = np.uint64(64 - 20)
 
 
 class ByteLevelMerges:
@@ -54,15 +54,15 @@ class ByteLevelMerges:
         made = np.array([vocab[a + b] for a, b in merges], dtype=np.int32)
         _, once = np.unique(keys, return_index=True)
         self.keys, self.rank, self.made = keys[once], once.astype(np.int32), made
-        # a table of 2**22 slots answers nearly all lookups at once; the few keys that share a slot are searched
-        self.slot = np.full(1 << 22, -1, dtype=np.int32)
+        # a table of 2**21 slots answers nearly all lookups at once; the few keys that share a slot are searched
+        self.slot = np.full(1 << 21, -1, dtype=np.int32)
         self.slot[self._slot(self.keys)] = np.arange(len(self.keys), dtype=np.int32)
         self.shared = np.flatnonzero(self.slot[self._slot(self.keys)] != np.arange(len(self.keys)))
         self.ok = bool((self.first >= 0).all() and (self.last >= 0).all()) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges"))
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(42)).astype(np.int64)
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         keys = a.astype(np.int64) * self.size + b
@@ -112,17 +112,49 @@ class ByteLevelMerges:
         return out
 
 
+#: ASCII punctuation but for the apostrophe, which begins some pre-tokens with letters.
+_PUNCT = np.zeros(256, dtype=bool)
+_PUNCT[[*b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _apart(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks with the punctuation at their end as chunks of its own, where a Latin letter stands before it: there a pre-token ends."""
+    if not len(starts):
+        return starts, ends, first
+    tail = ends.copy()
+    live = np.flatnonzero(_PUNCT[data[ends - 1]])
+    for _ in range(32):  # a longer run stays with its chunk
+        if not len(live):
+            break
+        tail[live] -= 1
+        live = live[tail[live] > starts[live]]
+        live = live[_PUNCT[data[tail[live] - 1]]]
+    tail[live] = starts[live]
+    before, two = data[tail - 1], data[np.maximum(tail - 2, 0)]
+    latin = _LETTER[before] | ((two == 0xC3) & (before >= 0x80) & (before < 0xC0) & (before != 0x97) & (before != 0xB7) & (tail - starts >= 2))
+    special = (data[np.minimum(tail, len(data) - 1)] == 0x7C) & (data[np.minimum(tail + 1, len(data) - 1)] == 0x3E)  # |> ends an added token
+    split = (tail > starts) & (tail < ends) & latin & ~special
+    at = np.arange(len(starts)) + np.r_[0, np.cumsum(split)[:-1]]
+    n = len(starts) + int(split.sum())
+    s, e = np.empty(n, dtype=starts.dtype), np.empty(n, dtype=ends.dtype)
+    s[at], e[at] = starts, np.where(split, tail, ends)
+    s[at[split] + 1], e[at[split] + 1] = tail[split], ends[split]
+    return s, e, np.r_[at, n][first]
+
+
 class WordTokenizer:
     """Ids of texts by a word-level BPE file, each distinct white-space chunk encoded once
     and found again by its 64-bit hash.
 
     The file's pre-tokenizer never joins text across white space, so the ids of a text are those of
-    its chunks in order. Chunks are cut at ASCII white space only. A chunk of Latin letters, with or without
-    ASCII punctuation after them, is merged here in bulk; any other goes to the library.
+    its chunks in order. Chunks are cut at ASCII white space only. ASCII punctuation after a Latin letter
+    is a chunk of its own. Chunks of Latin letters are merged here in bulk; all others go to the library.
     """
 
-    #: Latin letters that NFC leaves alone and whose lower case is one letter, then punctuation that starts a pre-token of its own.
-    SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+    #: Latin letters that NFC leaves alone and whose lower case is one letter.
+    SIMPLE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -133,7 +165,6 @@ class WordTokenizer:
             model = json.load(f)["model"]
         self.merges = ByteLevelMerges(model)
         self.bulk = self.merges.ok and self._agrees()
-        self.tails: dict[str, bytes] = {"": b""}
         self._clear()
 
     def _agrees(self) -> bool:
@@ -144,7 +175,6 @@ class WordTokenizer:
         return same and self.tokenizer.encode("The word,.. x", add_special_tokens=False).ids == [i for w in ("the", "word", ",..", "x") for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
 
     def _clear(self) -> None:
-        self.cores: dict[str, bytes] = {}
         self.known = np.zeros(_SLOTS, dtype=np.uint64)  # word hashes by open addressing; 0: a free slot
         self.place = np.zeros(_SLOTS, dtype=np.int32)
         self.ids = np.zeros(1 << 20, dtype=np.uint32)
@@ -158,21 +188,11 @@ class WordTokenizer:
         strings = [c.decode("utf-8") for c in chunks]
         if not self.bulk:
             return self._library(strings)
-        cores, tails, longest = [], [], ByteLevelMerges.LONGEST
-        for s in strings:
-            m = self.SIMPLE.fullmatch(s) if len(s) <= longest else None
-            cores.append(m[1].lower() if m else "")
-            tails.append(m[2] if m else "")
-        new = list({c for c in cores if c and c not in self.cores})
-        if new:
-            self.cores.update(zip(new, self.merges.encode([c.encode() for c in new])))
-        for t in {t for t in tails if t not in self.tails}:
-            if len(self.tails) > 10_000:
-                self.tails = {"": b""}
-            self.tails[t] = self._library([t])[0]
-        for t in set(tails) - self.tails.keys():
-            self.tails[t] = self._library([t])[0]
-        out = [self.cores[c] + self.tails[t] if c else None for c, t in zip(cores, tails)]
+        longest, simple = ByteLevelMerges.LONGEST, self.SIMPLE.fullmatch
+        easy = [i for i, s in enumerate(strings) if len(s) <= longest and simple(s)]
+        out: list[bytes | None] = [None] * len(strings)
+        for i, x in zip(easy, self.merges.encode([strings[i].lower().encode() for i in easy])):
+            out[i] = x
         rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self._library([strings[i] for i in rest])):
             out[i] = x
@@ -221,12 +241,15 @@ class WordTokenizer:
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a piece (UTF-8 bytes and offsets)."""
         starts, ends, first = words(data, off, ~IS_SPACE)
+        if self.bulk:
+            starts, ends, first = _apart(data, starts, ends, first)
         if len(starts) > CACHE_WORDS // 2:  # in halves, so that the new words of a step always have room
             if len(off) > 2:
                 m = len(off) // 2
                 return self.encode(data[: off[m]], off[: m + 1]) + self.encode(data[off[m] :], off[m:] - off[m])
             cut = int(starts[len(starts) // 2])
             return [np.concatenate([self.encode(d, np.array([0, len(d)]))[0] for d in (data[:cut], data[cut:])])]
+        data = LOWER[data]  # A to Z come out alike in either case
         h = span_hash(prefix_hash(data), starts, ends)
         h[h == 0] = 1
         at = self._find(h)
@@ -373,6 +396,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
                 start, ids, at = start + n, ids[n:], at + n
         if done:
             yield rows()
+        trim()
 
     ids = ", ids array<int>" if with_ids else ""
     return source.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{ids}")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import BROADCAST_BYTES, Scatter, bounded_batches, lookup, records, table
+from orrery.llm.common import BROADCAST_BYTES, Scatter, bounded_batches, lookup, records, table, trim
 from orrery.llm.textbytes import BASE, buffers, mix, pieces, powers, prefix_hash
 
 WIDTH = 400
@@ -200,6 +200,7 @@ def _contents(work: DataFrame, width: int) -> DataFrame:
                     cols[5] += ee
                 kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "n", "digit", "content", "s", "e"])
+        trim()
 
     return work.select("key", "n", "text", "runs").mapInArrow(scan, "key binary, n long, digit long, content binary, s int, e int")
 
