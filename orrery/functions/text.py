@@ -82,6 +82,15 @@ def fnv1a(term: Column) -> Column:
 
 
 def term_counts(text_tokens: Column) -> Column:
-    """map<term, count>; empty for null."""
-    t = F.coalesce(text_tokens, F.array().cast("array<string>"))
-    return F.map_from_entries(F.transform(F.array_distinct(t), lambda x: F.struct(x, F.size(F.filter(t, lambda y: y == x)))))
+    """map<term, count>; empty for null. Equal terms are found by one sort."""
+    t = F.array_sort(F.coalesce(text_tokens, F.array().cast("array<string>")))
+
+    def bind(value: Column, body):  # noqa: ANN001, ANN202
+        """``body`` of a value that is computed once."""
+        return F.transform(F.array(value), body)[0]
+
+    def runs(s: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
+        return bind(places, lambda p: F.transform(p, lambda i, j: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s) + 1) - i).alias("n"))))
+
+    return F.map_from_entries(bind(t, lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<term:string,n:int>>"))))
