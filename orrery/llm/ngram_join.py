@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import Scatter, _union_find, bounded_batches, components, lookup, records, sized_broadcast, table, trim
-from orrery.llm.textbytes import pieces, shingle_sets
+from orrery.llm.textbytes import mix, pieces, shingle_sets
 
 GRAM = 5
 #: Linked: NUM * union <= DEN * intersection.
@@ -35,6 +35,8 @@ _BLOCKS = 64
 BALL_SETS = 128
 BALL_GRAMS = 1 << 20
 BUCKET_BYTES = 8 << 20
+#: An index list of more balls is split: its balls are dealt to blocks and each two blocks meet in a task of their own.
+HOT_LIST = 100_000
 _LEAST = -(1 << 63)
 
 _POST = np.dtype([("h", "<u8"), ("ball", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("pos", "<i4")])
@@ -205,17 +207,73 @@ def _balls(prefixes: DataFrame) -> DataFrame:
     return prefixes.repartition("bucket").mapInArrow(build, "ball long, keys array<binary>, lo int, hi int, grams binary, places binary")
 
 
-def _candidates(balls: DataFrame, buckets: int) -> DataFrame:
+def _hot_grams(balls: DataFrame, size: int) -> dict[int, int]:
+    """Blocks for each gram under which more than HOT_LIST balls stand (or a millionth of all postings, if that is more).
+
+    A task reports a gram that has half that share of its own postings. If a gram has the whole share, then the tasks that don't
+    report it hold less than half of its postings, so half the limit is always reported; at most two million grams are hot.
+    """
+    limit = max(HOT_LIST, size // 1_000_000)
+    share = limit / max(size, 1) / 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = np.zeros(0, dtype=np.uint64)
+        n = np.zeros(0, dtype=np.int64)
+        total = 0
+        held: list[np.ndarray] = []
+
+        def fold() -> None:
+            nonlocal grams, n
+            new = np.concatenate(held) if held else np.zeros(0, dtype=np.uint64)
+            held.clear()
+            both, at = np.unique(np.concatenate([grams, new]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, np.ones(len(new), dtype=np.int64)]), len(both)).astype(np.int64)
+            keep = n > share * total / 2  # what is dropped here and seen again later may be reported too low, by half its share at most
+            grams, n = both[keep], n[keep]
+
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                held.append(np.frombuffer(raw, dtype="<u8"))
+                total += len(held[-1])
+            if sum(map(len, held)) > 1 << 21:
+                fold()
+        fold()
+        keep = n >= max(2, share * total / 2)
+        yield pa.record_batch([pa.array(grams[keep].view(np.int64)), pa.array(n[keep])], names=["gram", "n"])
+
+    found = balls.select("grams").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= limit / 4).collect()
+    return {r["gram"] & (1 << 64) - 1: math.ceil(4 * r["n"] / HOT_LIST) for r in found}
+
+
+def _candidates(balls: DataFrame, buckets: int, hot: dict[int, int]) -> DataFrame:
     """(a, b), a < b: balls that share a prefix gram and whose sizes and positions leave room for a link."""
+    order = sorted(hot)
+    shared = balls.sparkSession.sparkContext.broadcast((np.array(order, dtype=np.uint64), np.array([hot[g] for g in order], dtype=np.int64)))
+
+    def split(r: np.ndarray, grams: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Postings of hot grams go to each pair of blocks that theirs belongs to."""
+        k = np.minimum(np.searchsorted(grams, r["h"]), len(grams) - 1)
+        is_hot = grams[k] == r["h"]
+        if not is_hot.any():
+            return r
+        h, s = r[is_hot], blocks[k[is_hot]]
+        own = (mix(h["ball"].astype(np.uint64)) % s.astype(np.uint64)).astype(np.int64)
+        copies = np.repeat(h, s)
+        own, width = np.repeat(own, s), np.repeat(s, s)
+        other = np.arange(len(copies)) - np.repeat(np.cumsum(s) - s, s)
+        pair = np.minimum(own, other) * width + np.maximum(own, other) + 1
+        copies["h"] = mix(copies["h"] + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return np.concatenate([r[~is_hot], copies])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Scatter(buckets)
+        hot_grams, blocks = shared.value
         for b in batches:
             for ball, lo, hi, grams, places in zip(*(b.column(i).to_pylist() for i in range(5))):
                 g = np.frombuffer(grams, dtype="<u8")
                 r = np.empty(len(g), dtype=_POST)
                 r["h"], r["ball"], r["lo"], r["hi"], r["pos"] = g, ball, lo, hi, np.frombuffer(places, dtype="<i4")
-                yield from out.add(r)
+                yield from out.add(split(r, hot_grams, blocks) if len(hot_grams) else r)
         yield from out.out()
 
     def match(t: pa.Table) -> pa.Table:
@@ -381,7 +439,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     levels = _levels(survey.where("block IS NOT NULL"))
     balls = table(_balls(_prefixes(docs, levels, {r["m1"]: math.ceil(r["c"] / 10_000) for r in crowd})))
     size = balls.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0] // 4
-    pairs = table(_candidates(balls, max(1, math.ceil(size * _POST.itemsize / BUCKET_BYTES))))
+    pairs = table(_candidates(balls, max(1, math.ceil(size * _POST.itemsize / BUCKET_BYTES)), _hot_grams(balls, size)))
     several = balls.where(F.size("keys") > 1).select(F.col("ball").alias("a"), F.col("ball").alias("b"))
     todo = table(pairs.unionByName(several))
     needed = todo.select(F.explode(F.array("a", "b")).alias("ball")).distinct()

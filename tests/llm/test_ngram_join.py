@@ -34,10 +34,17 @@ def test_join(request, which):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute.jaccard_links(pairs(docs)), key=key)
 
 
-def test_many_near_copies(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BALL_SETS", 8)
+@pytest.mark.parametrize("ball,hot", [(8, 100_000), (2, 3), (128, 1)])
+def test_many_near_copies(spark, monkeypatch, ball, hot):
+    monkeypatch.setattr(ngram_join, "BALL_SETS", ball)
+    monkeypatch.setattr(ngram_join, "HOT_LIST", hot)
     docs = spark.createDataFrame(near_copies(90) + near_copies(5), "doc_id long, text string").repartition(3)
+    if hot == 3:
+        found = []
+        plain = ngram_join._hot_grams
+        monkeypatch.setattr(ngram_join, "_hot_grams", lambda *a: found.append(plain(*a)) or found[-1])
     got = ngram_join.similar_sets(docs)
+    assert hot != 3 or max(found[0].values()) > 1
     want = brute.jaccard_links(pairs(docs))
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert max(r[2] for r in want) > 30
