@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import bounded_batches, table
 
-#: Ranges at first, and sampled keys for each of them.
+#: Ranges at first: one for a million rows, between these bounds, so that the splitters stay a bounded list. Sampled keys for each of them.
 RANGES = 256
+MOST_RANGES = 8192
+RANGE_ROWS = 1_000_000
 SAMPLES = 16
 #: A range with more than so many times the mean bytes is subdivided.
 OVERFULL = 2.0
@@ -106,7 +108,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     large = spark.createDataFrame(placed, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
 
     small = rows.where(F.col("size") <= bound)
-    ranged = table(_ranged(small, splitters(small)))
+    ranged = table(_ranged(small, splitters(small, min(MOST_RANGES, max(RANGES, rows.count() // RANGE_ROWS)))))
     # what each shard may still take; prefix sums of it are the shard ends in the order of the keys
     rest = int(total - loads.sum())
     level = _level(loads, rest)
