@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from orrery.errors import SchemaError
 
 #: Letters, digits and the underscore of any script.
 TOKEN = r"[\p{L}\p{N}_]+"
+_PAIR = np.dtype([("ix", "<u4"), ("w", "<f4")])
 ENGLISH_STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
@@ -94,3 +97,23 @@ def term_counts(text_tokens: Column) -> Column:
         return bind(places, lambda p: F.transform(p, lambda i, j: F.struct(F.get(s, i - 1).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s) + 1) - i).alias("n"))))
 
     return F.map_from_entries(bind(t, lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<term:string,n:int>>"))))
+
+
+def sparse_to_bytes(vector: Column) -> Column:
+    """A map<index, weight> as packed little-endian (uint32, float32) pairs by index; null for null."""
+
+    @F.pandas_udf("binary")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda m: None if m is None else np.array(sorted(dict(m).items()), dtype=_PAIR).tobytes())
+
+    return run(vector)
+
+
+def sparse_from_bytes(packed: Column) -> Column:
+    """The map<index, weight> of packed pairs."""
+
+    @F.pandas_udf("array<struct<ix:long,w:float>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: None if b is None else [{"ix": int(i), "w": float(w)} for i, w in np.frombuffer(b, dtype=_PAIR)])
+
+    return F.map_from_entries(run(packed))

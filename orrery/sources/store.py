@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +28,9 @@ from pyspark.sql import types as T
 from orrery import providers
 from orrery.errors import AlreadyExistsError, NotFoundError, QueryError, SchemaError, StateError
 from orrery.functions import metrics, temporal, text
-from orrery.operators import ann, fulltext, live
-from orrery.operators.fusion import boost
-from orrery.operators.knn import grouped_top_k, knn, order, scored, top_k
+from orrery.operators import ann, fulltext, fusion, live
+from orrery.operators.knn import grouped_top_k, order, scored, top_k
+from orrery.plans.chain import from_spec, hybrid
 from orrery.plans.filter import to_column
 from orrery.plans.projection import output_columns
 from orrery.schema import CollectionSpec, FieldSpec, conform, problem
@@ -276,11 +277,12 @@ class Collection:
         rows = self._where(self.live(partitions).where(F.col(self.pk).isin(list(set(pks)))), expr, None)
         return rows.join(F.broadcast(wanted), F.col(self.pk) == F.col("_want")).orderBy("_pos").select(*output_columns(self.spec, output_fields))
 
-    def search(self, queries: list | DataFrame, limit: int = 10, metric: str | None = None, *, field: str | None = None, expr: str | None = None, partitions: list[str] | None = None, output_fields: list[str] | None = None, offset: int = 0, radius: float | None = None, range_filter: float | None = None, group_by: str | None = None, group_size: int = 1, strict_group_size: bool = False, ranker: dict | None = None, timezone: str | None = None, params: dict | None = None) -> DataFrame:
+    def search(self, queries: list | DataFrame, limit: int = 10, metric: str | None = None, *, field: str | None = None, expr: str | None = None, partitions: list[str] | None = None, output_fields: list[str] | None = None, offset: int = 0, radius: float | None = None, range_filter: float | None = None, group_by: str | None = None, group_size: int = 1, strict_group_size: bool = False, ranker: dict | None = None, timezone: str | None = None, chain: list[dict] | None = None, digits: int | None = None) -> DataFrame:
         """(qid, id, distance, rank, fields ...): the best rows of each query.
 
         queries: vectors, texts (for a BM25 or embedded field), or a frame (qid, qvector). distance is the public score. Order of the
-        steps: filter, score, boost, range, groups or top-k. ``params``: nprobe of an inverted-list index.
+        steps: filter, score, boost, range, groups or top-k, then the rerank ``chain`` (its $score starts as the distance, BM25 as the positive
+        relevance), then rounding to ``digits``. A chain excludes a boost ranker.
         """
         self._need_loaded()
         f = self._search_field(field)
@@ -305,21 +307,68 @@ class Collection:
             extra = ["group_rank"]
         else:
             out, extra = top_k(hits, order(metric), limit, offset), []
-        shown = [c for c in output_columns(self.spec, fields, search=True)]
-        return out.select("qid", "id", F.col("score").alias("distance"), "rank", *extra, *shown)
+        shown = output_columns(self.spec, fields, search=True)
+        if chain is not None:
+            if ranker is not None:
+                raise QueryError("a chain and a ranker exclude each other")
+            times = {x.name for x in self.spec.fields if x.type == "TIMESTAMPTZ"}
+            if metric == "BM25":
+                out = out.withColumn("score", -F.col("score"))
+            out = from_spec(chain, out.columns, times).execute(out)
+        score = F.col("score") if digits is None else fusion.round_decimal(F.col("score"), digits)
+        return out.select("qid", "id", score.alias("distance"), "rank", *extra, *shown)
+
+    def hybrid_search(self, requests: list[dict], rerank: str = "rrf", limit: int = 10, *, offset: int = 0, group_by: str | None = None, group_size: int = 1, digits: int | None = None, output_fields: list[str] | None = None, decay: dict | None = None, **merge: Any) -> DataFrame:
+        """(qid, id, score, rank, fields ...): several searches fused.
+
+        requests: arguments of ``search`` ({"queries", "limit", "field", "metric", ...}); rerank: rrf, weighted, max, sum or avg with its
+        parameters (k, weights, norm_score, force_descending) in ``merge``; decay: {"field", "function", "origin", "scale", ...}, a factor on the
+        fused score. All routes and the fusion are one plan.
+        """
+        if not requests:
+            raise QueryError("there is no request")
+        routes = []
+        for r in requests:
+            f = self._search_field(r.get("field"))
+            metric = "BM25" if f.type == "SPARSE_FLOAT_VECTOR" else metrics.check_metric(r.get("metric") or self._index_metric(f.name) or "COSINE")
+            hits = self.search(**(r | {"output_fields": ["*"]})).withColumnRenamed("distance", "score").drop("rank")
+            # a relevance, so that normalised scores and sorts have one direction
+            routes.append((hits.withColumn("score", -F.col("score")) if metric == "BM25" else hits, metric))
+        of = dict(decay or {})
+        out = hybrid(routes, rerank, limit, offset=offset, group=group_by, group_size=group_size, digits=digits, decay_of=of.pop("field", None), decay_params=of, **merge)
+        shown = output_columns(self.spec, ["*"] if output_fields is None else output_fields, search=True)
+        extra = ["group_rank", "group_score"] if group_by else []
+        return out.withColumn(self.pk, F.col("id")).select("qid", "id", "score", "rank", *extra, *shown) if self.pk != "id" else out.select("qid", "id", "score", "rank", *extra, *shown)
 
     def search_index(self, queries: list | DataFrame, limit: int = 10, field: str | None = None, nprobe: int = ann.NPROBE) -> DataFrame:
-        """(qid, id, score, rank) by the field's inverted-list or projection index."""
+        """(qid, id, score, rank) by the field's inverted-list or projection index, which is written anew if rows have changed since."""
         f = self._search_field(field)
         info = self.state["indexes"].get(f.name)
         if not info or info["index_type"] not in ("IVF_FLAT", "IVF_SQ8", "LSH"):
             raise NotFoundError(f"{f.name} has no approximate index")
-        rows, q = self.live(), self._query_frame(queries, f)
+        rows, facts = self.build_index(f.name)
+        q = self._query_frame(queries, f)
         if info["index_type"] == "LSH":
-            built = ann.build_lsh(rows, vector=f.name, id_col=self.pk, dim=f.dim)
-            return ann.search_lsh(built, q, info["metric_type"], limit, f.dim)
-        built = ann.build_ivf(rows, info["metric_type"], info["params"].get("nlist", ann.NLIST), sq8=info["index_type"] == "IVF_SQ8", vector=f.name, id_col=self.pk)
-        return ann.search_ivf(built, q, limit, nprobe)
+            return ann.search_lsh(rows, q, info["metric_type"], limit, f.dim, facts["tables"], facts["bits"])
+        return ann.search_ivf(ann.IvfIndex(rows, np.array(facts["centroids"]), info["metric_type"]), q, limit, nprobe)
+
+    def build_index(self, field: str) -> tuple[DataFrame, dict]:
+        """The written index of a field, lists as folders, and its facts; built if there is none for the present rows."""
+        f, info, state = self.spec[field], self.index_info(field), self.state
+        at = self.path / f"index-{field}"
+        facts = json.loads((at / "facts.json").read_text()) if (at / "facts.json").exists() else {}
+        if facts.get("seq") != state["next_seq"] or facts.get("info") != info:
+            shutil.rmtree(at, ignore_errors=True)
+            facts = {"seq": state["next_seq"], "info": info}
+            if info["index_type"] == "LSH":
+                facts |= {"tables": info["params"].get("tables", 16), "bits": info["params"].get("bits", 6)}
+                ann.build_lsh(self.live(), facts["tables"], facts["bits"], vector=field, id_col=self.pk, dim=f.dim).write.parquet(str(at / "rows"))
+            else:
+                built = ann.build_ivf(self.live(), info["metric_type"], info["params"].get("nlist", ann.NLIST), sq8=info["index_type"] == "IVF_SQ8", vector=field, id_col=self.pk)
+                built.rows.write.partitionBy("list").parquet(str(at / "rows"))
+                facts["centroids"] = built.centroids.tolist()
+            write_json(at / "facts.json", facts)
+        return self.spark.read.parquet(str(at / "rows")), facts
 
     def _search_field(self, field: str | None) -> FieldSpec:
         if field is not None:
@@ -362,8 +411,6 @@ class Collection:
         return rows.join(found, F.col(self.pk) == F.col("_id")).drop("_id")
 
     def _boosted(self, score: Column, metric: str, ranker: dict) -> Column:
-        from orrery.operators.fusion import random_score
-
         functions = []
         for f in ranker.get("functions", []):
             p = f.get("params", f)
@@ -371,10 +418,10 @@ class Collection:
             weight: Column = F.lit(float(p["weight"]))
             if (r := p.get("random_score")) is not None:
                 of = r.get("field") or self.pk
-                weight = weight * random_score(F.col(f"`{of}`"), r.get("seed", 0), self.spec[of].type == "VARCHAR")
+                weight = weight * fusion.random_score(F.col(f"`{of}`"), r.get("seed", 0), self.spec[of].type == "VARCHAR")
             functions.append((cond, weight))
         p = ranker.get("params", {})
-        return boost(score, metric, functions, p.get("function_mode", "multiply"), p.get("boost_mode", "multiply"))
+        return fusion.boost(score, metric, functions, p.get("function_mode", "multiply"), p.get("boost_mode", "multiply"))
 
     def query_iterator(self, expr: str | None = None, batch: int = 1000, output_fields: list[str] | None = None) -> Iterator[DataFrame]:
         """Pages of matching rows by primary key; each page is a keyset query of its own."""
@@ -490,6 +537,12 @@ class Collection:
     def load_state(self) -> str:
         return self.state["load"]
 
+    def flush(self) -> None:
+        """Nothing to do: every write is on disk when it returns."""
+
+    def close(self) -> None:
+        self._forget()
+
     def describe(self) -> dict:
         s = self.state
         return {"name": self.name, "fields": [f.name for f in self.spec.fields], "partitions": s["partitions"], "indexes": s["indexes"], "load_state": s["load"], "properties": s["properties"], "num_entities": self.num_entities()}

@@ -148,12 +148,25 @@ def test_search(catalog):
     assert c.search(["a blue fox"], 1, field="emb").first().id == 4
     pages = [[r.id for r in p.orderBy(F.desc("score")).collect()] for p in c.search_iterator([1.0, 0.0], batch=2, field="vec")]
     assert pages == [[1, 2], [3]]
+    both = [{"queries": [[1.0, 0.0]], "limit": 3, "field": "vec"}, {"queries": ["fox"], "limit": 3, "field": "terms"}]
+    fused = c.hybrid_search(both, "rrf", 2, output_fields=["kind"]).orderBy("rank").collect()
+    assert fused[0].id == 1 and round(fused[0].score, 6) == round(2 / 61, 6) and fused[0].kind == "a"
+    assert c.hybrid_search(both, "weighted", 4, weights=[0.5, 0.5], digits=3).count() == 4
+    assert c.hybrid_search(both, "rrf", 2, group_by="kind").count() == 2
+    chained = c.search([[1.0, 0.0]], 3, field="vec", chain=[{"op": "map", "expr": "round_decimal", "params": {"decimal": 1}, "inputs": ["$score"], "output": "$score"}, {"op": "sort", "by": "$score", "order": "asc"}, {"op": "limit", "limit": 2}], output_fields=[])
+    assert [(r.id, r.distance, r["rank"]) for r in chained.orderBy("rank").collect()] == [(3, 0.0, 1), (2, 0.8, 2)]
+    from orrery.functions import text as words
+
+    packed = c.live().where("id = 2").select(words.sparse_to_bytes(F.col("terms")).alias("p"), "terms")
+    again = packed.select("p", "terms", words.sparse_from_bytes(F.col("p")).alias("back")).first()
+    assert again.back == again.terms and len(again.p) == 8 * len(again.terms)
     c.create_index("vec", "IVF_FLAT", "COSINE", {"nlist": 2})
     with pytest.raises(StateError):
         c.query()
     c.load()
     assert c.search([[1.0, 0.0]], 1).first().id == 1
-    assert c.search_index([[1.0, 0.0]], 3, "vec", nprobe=2).count() == 3
+    for _ in range(2):  # the second time from the written index
+        assert [r.id for r in c.search_index([[1.0, 0.0]], 3, "vec", nprobe=2).orderBy("rank").collect()] == [1, 2, 3]
     with pytest.raises(StateError):
         c.drop_index("vec")
     c.release()
