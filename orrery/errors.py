@@ -30,9 +30,9 @@ class QueryError(EngineError):
 class FilterError(EngineError):
     """A filter expression is wrong; ``position`` counts from 0."""
 
-    def __init__(self, message: str, source: str = "", position: int = 0):
-        self.source, self.position = source, position
-        mark = f"\n  {source}\n  {' ' * position}^" if source else ""
+    def __init__(self, message: str, expression: str = "", position: int = 0):
+        self.source, self.position = expression, position
+        mark = f"\n  {expression}\n  {' ' * position}^" if expression else ""
         super().__init__(f"{message} (at {position}){mark}")
 
 

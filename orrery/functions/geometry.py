@@ -21,7 +21,7 @@ Shape = list[tuple[float, float]]
 def parse_wkt(text: object) -> Shape:
     m = _SHAPE.fullmatch(text) if isinstance(text, str) else None
     if m is None:
-        raise SchemaError("a geometry is WKT: POINT(x y) or POLYGON((x y, ...))")
+        raise SchemaError("a geometry is the WKT of a point or of a polygon with one ring")
     corners: Shape = []
     for pair in (m[1] if m[1] is not None else m[2]).split(","):
         try:

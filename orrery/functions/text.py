@@ -22,7 +22,7 @@ def analyzer(params: dict[str, Any] | None = None):  # noqa: ANN201
     """A function from a text column to its tokens.
 
     params: {"tokenizer": "standard" (default) or "jieba", or a dict with "type"; "filter":
-    [{"type": "stop", "stop_words": [...]}]}; ``_english_`` stands for the usual English stop words. "jieba" needs that
+    a list of {"stop_words": [...], "type": "stop"}}; ``_english_`` stands for the usual English stop words. "jieba" needs that
     library on the workers.
     """
     params = params or {}

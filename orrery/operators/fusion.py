@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from orrery.errors import QueryError
 from orrery.functions import metrics
 
+SCORERS = "avg max sum".split()
+MODES = "avg max min multiply sum weighted".split()
+
 
 def merge(routes: list[tuple[DataFrame, str]], how: str = "rrf", *, k: float = 60, weights: list[float] | None = None, norm_score: bool = True, force_descending: bool = False) -> DataFrame:
     """Fuses ``routes``, pairs of (hits, metric), hits being (qid, id, score, ...), to (qid, id, score, ...).
@@ -27,7 +30,7 @@ def merge(routes: list[tuple[DataFrame, str]], how: str = "rrf", *, k: float = 6
             raise QueryError("weighted needs a weight for each route")
         if any(not 0 <= w <= 1 for w in weights):
             raise QueryError("weights lie between 0 and 1")
-    if how not in ("rrf", "weighted", "max", "sum", "avg"):
+    if how not in ("rrf", "weighted", *SCORERS):
         raise QueryError(f"unknown fusion {how!r}")
     names = [m for _, m in routes]
     convert = force_descending or len({m in metrics.ASCENDING for m in names}) > 1 or len(set(names)) > 1
@@ -62,7 +65,7 @@ def _pad(p: DataFrame, like: DataFrame) -> DataFrame:
 
 def merged_ascending(routes_metrics: list[str], how: str, force_descending: bool = False) -> bool:
     """Whether the smallest merged score is the best."""
-    return how in ("max", "sum", "avg") and not force_descending and set(routes_metrics) == {"L2"}
+    return how in SCORERS and not force_descending and set(routes_metrics) == {"L2"}
 
 
 def sort_key(col: str, descending: bool = True) -> list[Column]:
@@ -71,16 +74,16 @@ def sort_key(col: str, descending: bool = True) -> list[Column]:
     return [clean.desc_nulls_last() if descending else clean.asc_nulls_last(), F.col("id").asc()]
 
 
-def decay(value: Column, function: str, origin: float, scale: float, offset: float = 0.0, rate: float = 0.5) -> Column:
+def decay(value: Column, curve: str, origin: float, scale: float, offset: float = 0, rate: float = 1 / 2) -> Column:
     """Factor from 1 at the origin (and up to ``offset`` from it) down to ``rate`` at ``scale`` beyond; null is 0."""
-    if function not in ("gauss", "exp", "linear"):
-        raise QueryError(f"unknown decay {function!r}")
+    if curve not in ("gauss", "exp", "linear"):
+        raise QueryError(f"unknown decay {curve!r}")
     if scale <= 0 or offset < 0 or not 0 < rate < 1:
         raise QueryError("decay needs scale > 0, offset >= 0 and 0 < decay < 1")
     d = F.greatest(F.abs(value.cast("double") - F.lit(float(origin))) - F.lit(float(offset)), F.lit(0.0))
-    if function == "gauss":
+    if curve == "gauss":
         f = F.exp(d * d * F.lit(math.log(rate) / (scale * scale)))
-    elif function == "exp":
+    elif curve == "exp":
         f = F.exp(d * F.lit(math.log(rate) / scale))
     else:
         f = F.greatest(1 - d * F.lit((1 - rate) / scale), F.lit(0.0))
@@ -89,7 +92,7 @@ def decay(value: Column, function: str, origin: float, scale: float, offset: flo
 
 def num_combine(columns: list[Column], mode: str = "sum", weights: list[float] | None = None) -> Column:
     """multiply, sum, max, min, avg or weighted of two columns or more; 0 where any is null, an error where the result isn't finite."""
-    if mode not in ("multiply", "sum", "max", "min", "avg", "weighted"):
+    if mode not in MODES:
         raise QueryError(f"unknown mode {mode!r}")
     if len(columns) < 2:
         raise QueryError("num_combine needs two columns at least")
@@ -155,7 +158,7 @@ def boost(score: Column, metric: str, functions: list[tuple[Column | None, Colum
 
 def group_hits(hits: DataFrame, group: str, limit: int, size: int = 1, scorer: str = "max", offset: int = 0) -> DataFrame:
     """Per qid groups of the best ``size`` hits; groups ordered by max, sum or avg of the scores of these, ``limit`` of them after ``offset``."""
-    if scorer not in ("max", "sum", "avg"):
+    if scorer not in SCORERS:
         raise QueryError(f"unknown group scorer {scorer!r}")
     within = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid", group).orderBy(*sort_key("score")))).where(F.col("rank") <= size)
     agg = {"max": F.max, "sum": F.sum, "avg": F.avg}[scorer]

@@ -23,7 +23,7 @@ from orrery.errors import FilterError, FilterFieldError, FilterParseError, Filte
 from orrery.functions import geometry, temporal, text, variants
 from orrery.schema import META, CollectionSpec
 
-# ---------------------------------------------------------------- words
+# -- words
 
 _LEX = re.compile(
     r"""\s*(?:
@@ -36,7 +36,7 @@ _LEX = re.compile(
     re.VERBOSE | re.DOTALL,
 )
 _HINTS = {"=": "use '==' to compare", "<>": "use '!=' to compare", "&": "use '&&' or 'and'", "|": "use '||' or 'or'"}
-_ESCAPES = {'"': '"', "'": "'", "\\": "\\", "n": "\n", "r": "\r", "t": "\t"}
+_ESCAPES = dict(zip("\"'\\nrt", "\"'\\\n\r\t"))
 _WORDS = {"and", "or", "not", "in", "like", "is", "null", "exists"}
 _BOOLS = {"true": True, "True": True, "TRUE": True, "false": False, "False": False, "FALSE": False}
 
@@ -88,7 +88,7 @@ def _unescape(body: str, source: str, at: int) -> str:
     return re.sub(r"\\(.)", one, body, flags=re.DOTALL)
 
 
-# ---------------------------------------------------------------- trees
+# -- trees
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ class Node:
     at: int
 
 
-_COMPARE = ("==", "!=", "<", "<=", ">", ">=")
+_COMPARE = tuple("== != < <= > >=".split())
 _ARRAY = {f"{p}_contains{s}": (p, s.strip("_")) for p in ("array", "json") for s in ("", "_all", "_any")}
 _GEO = {f"{p}{s}": s for p in ("st_", "geometry_") for s in ("contains", "within", "intersects")}
 
@@ -308,7 +308,7 @@ def parse(source: str, timezone: str | None = None) -> Node:
     return _Parser(source, timezone).parse()
 
 
-# ---------------------------------------------------------------- columns
+# -- columns
 
 _SEMANTIC = {"BOOL": "bool", "INT8": "int", "INT16": "int", "INT32": "int", "INT64": "int", "FLOAT": "float", "DOUBLE": "float", "VARCHAR": "str", "JSON": "str", "TIMESTAMPTZ": "time", "ARRAY": "dyn", "GEOMETRY": "geo"}
 _NUMBERS = ("int", "float")

@@ -38,7 +38,7 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-# ---------------------------------------------------------------- vectors
+# -- vectors
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,7 +234,7 @@ def function_chain(spark: SparkSession, sf: str) -> DataFrame:
     chain = from_spec(
         [
             {"op": "map", "expr": "decay", "params": {"function": "linear", "origin": 3, "scale": 2, "offset": 1, "decay": 0.4}, "inputs": ["label"], "output": "near"},
-            {"op": "map", "expr": "num_combine", "params": {"mode": "weighted", "weights": [0.5, 0.5]}, "inputs": ["$score", "near"], "output": "$score"},
+            {"op": "map", "expr": "num_combine", "params": {"weights": [0.5, 0.5], "mode": "weighted"}, "inputs": ["$score", "near"], "output": "$score"},
             {"op": "map", "expr": "round_decimal", "params": {"decimal": 4}, "inputs": ["$score"], "output": "$score"},
             {"op": "sort", "by": "$score", "order": "desc"},
             {"op": "limit", "limit": 5, "offset": 2},
@@ -276,7 +276,7 @@ def search_iterator_page(spark: SparkSession, sf: str) -> DataFrame:
     return shown(hits.where(F.col("score") < 0.05))
 
 
-# ---------------------------------------------------------------- text
+# -- text
 
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 _POSTS = f"t AS (SELECT doc_id AS id, {_TOKENS.format('text')} AS toks FROM documents), p AS (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM t), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
@@ -289,7 +289,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def _bm25_sql(where: str = "TRUE") -> str:
     return f"""WITH {_POSTS}, st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM t),
 q AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS term FROM benchmark) GROUP BY ALL),
-s AS (SELECT q.qid, tf.id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * qtf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN documents d ON d.doc_id = tf.id, st WHERE {where} GROUP BY q.qid, tf.id),
+s AS (SELECT q.qid, tf.id, sum(ln(1 + (n - df + 0.5) / (0.5 + df)) * qtf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN documents d ON d.doc_id = tf.id, st WHERE {where} GROUP BY q.qid, tf.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s)
 SELECT qid, id, round(score, 3) AS score, rank FROM r WHERE rank <= 10"""
 
@@ -336,7 +336,7 @@ def fnv_term_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT conv_id, turn, len(list_filter({_TOKENS.format('text')}, lambda x: x NOT IN ('the', 'of', 'and'))) AS n FROM conversations")
 def analyzer_stop_words(spark: SparkSession, sf: str) -> DataFrame:
-    a = text.analyzer({"tokenizer": "standard", "filter": [{"type": "stop", "stop_words": ["the", "of", "and"]}]})
+    a = text.analyzer({"filter": [{"stop_words": ["the", "of", "and"], "type": "stop"}]})
     return read(spark, sf, "conversations").select("conv_id", "turn", F.size(a(F.col("text"))).cast("long").alias("n"))
 
 
@@ -351,7 +351,7 @@ def sparse_inner_product(spark: SparkSession, sf: str) -> DataFrame:
     return shown(hits, "rank")
 
 
-# ---------------------------------------------------------------- filters on tables
+# -- filters on tables
 
 
 def _spec(*fields: str, dynamic: bool = False) -> CollectionSpec:
@@ -480,7 +480,7 @@ def geo_dwithin(spark: SparkSession, sf: str) -> DataFrame:
     return _places(spark, sf).where(to_column("st_dwithin(shape, 'POINT(20 20)', 7)", PARTS)).select("p_partkey")
 
 
-# ---------------------------------------------------------------- the log
+# -- the log
 
 _DATA = "data AS (SELECT user_id AS pk, event_id AS _seq, value, event_type FROM events WHERE event_type <> 'error')"
 _GONE = "gone AS (SELECT user_id AS pk, max(event_id) AS dseq FROM events WHERE event_type = 'error' GROUP BY user_id)"

@@ -71,8 +71,8 @@ class CollectionSpec:
     description: str = ""
 
     def __post_init__(self) -> None:
-        object.__setattr__(self, "fields", tuple(self.fields))
-        object.__setattr__(self, "functions", tuple(self.functions))
+        for part in ("fields", "functions"):
+            object.__setattr__(self, part, tuple(getattr(self, part)))
         names = [f.name for f in self.fields]
         _need(len(set(names)) == len(names), "field names repeat")
         for f in self.fields:

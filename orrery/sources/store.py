@@ -33,14 +33,16 @@ from orrery.operators.knn import grouped_top_k, order, scored, top_k
 from orrery.plans.chain import from_spec, hybrid
 from orrery.plans.filter import to_column
 from orrery.plans.projection import output_columns
-from orrery.schema import CollectionSpec, FieldSpec, conform, problem
+from orrery.schema import INTS, CollectionSpec, FieldSpec, conform, problem
 
 DEFAULT_PARTITION = "_default"
 ALL_PARTITIONS = "_all"
 KEY_BUCKETS = 16
 #: Bytes that a file of a compacted partition has about.
 COMPACT_BYTES = 128 << 20
-INDEXES = {"FLAT", "BRUTE_FORCE", "AUTOINDEX", "HNSW", "HNSW_SQ", "IVF_FLAT", "IVF_SQ8", "LSH", "SPARSE_INVERTED_INDEX", "INVERTED"}
+#: Exact ones (graphs are answered exactly), approximate ones, and those of sparse and scalar fields.
+INDEXES = frozenset("FLAT BRUTE_FORCE AUTOINDEX HNSW HNSW_SQ IVF_FLAT IVF_SQ8 LSH SPARSE_INVERTED_INDEX INVERTED".split())
+GROUPABLE = frozenset({"VARCHAR", "BOOL", *INTS})
 
 
 def write_json(path: Path, value: Any) -> None:
@@ -78,7 +80,7 @@ class Collection:
         (path / "spec.json").write_text(spec.to_json())
         return Collection(spark, path)
 
-    # ------------------------------------------------------------ state
+    # -- state
 
     @property
     def state(self) -> dict:
@@ -107,7 +109,7 @@ class Collection:
         p = self.state["properties"] | (properties or {})
         self._set(properties={k: v for k, v in p.items() if k not in (delete_keys or [])})
 
-    # ------------------------------------------------------------ frames
+    # -- frames
 
     def _folder(self, what: str) -> str:
         return str(self.path / self.state[what])
@@ -138,7 +140,7 @@ class Collection:
             if p not in self.state["partitions"]:
                 raise NotFoundError(f"no partition is called {p!r}")
 
-    # ------------------------------------------------------------ writing
+    # -- writing
 
     def frame(self, records: list[dict] | DataFrame) -> DataFrame:
         """Records as rows: keys that no field has stay columns; timestamps are read in the collection's zone."""
@@ -173,7 +175,7 @@ class Collection:
         if dynamic:
             packed = [json.dumps({k: r[k] for k in sorted(r) if k in dynamic}) if any(k in dynamic for k in r) else None for r in records]
             fields = [f for f in fields if f.name in self.spec] + [T.StructField("$meta", T.StringType())]
-            rows = [{k: v for k, v in row.items() if k in self.spec} | {"$meta": m} for row, m in zip(rows, packed)]
+            rows = [{n: row[n] for n in names if n in self.spec} | {"$meta": m} for row, m in zip(rows, packed)]
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], T.StructType(fields))
 
     def insert(self, records: list[dict] | DataFrame, partition: str = DEFAULT_PARTITION) -> int:
@@ -252,7 +254,7 @@ class Collection:
         self._set(next_seq=seq + 1)
         return n
 
-    # ------------------------------------------------------------ reading
+    # -- reading
 
     def _where(self, rows: DataFrame, expr: str | None, timezone: str | None) -> DataFrame:
         return rows.where(to_column(expr, self.spec, timezone or self.timezone)) if expr else rows
@@ -287,7 +289,7 @@ class Collection:
         self._need_loaded()
         f = self._search_field(field)
         fields = ["*"] if output_fields is None else output_fields
-        if group_by is not None and (group_by not in self.spec or self.spec[group_by].type not in ("BOOL", "INT8", "INT16", "INT32", "INT64", "VARCHAR")):
+        if group_by is not None and (group_by not in self.spec or self.spec[group_by].type not in GROUPABLE):
             raise QueryError(f"{group_by!r} can't be grouped by")
         rows = self.live(partitions)
         cond = to_column(expr, self.spec, timezone or self.timezone) if expr else None
@@ -466,7 +468,7 @@ class Collection:
         rows = self._where(self.live(), expr, None).drop("_seq", "_partition")
         (rows.drop(self.pk) if self.spec.primary.auto_id else rows).write.json(path)
 
-    # ------------------------------------------------------------ partitions, indexes, loading
+    # -- partitions, indexes, loading
 
     def create_partition(self, name: str) -> None:
         if self.spec.partition_key:
@@ -484,7 +486,8 @@ class Collection:
         self._set(partitions=[p for p in self.state["partitions"] if p != name])
 
     def has_partition(self, name: str) -> bool:
-        return name in self.state["partitions"]
+        known = self.list_partitions()
+        return name in known
 
     def list_partitions(self) -> list[str]:
         return list(self.state["partitions"])
@@ -547,7 +550,7 @@ class Collection:
         s = self.state
         return {"name": self.name, "fields": [f.name for f in self.spec.fields], "partitions": s["partitions"], "indexes": s["indexes"], "load_state": s["load"], "properties": s["properties"], "num_entities": self.num_entities()}
 
-    # ------------------------------------------------------------ maintenance
+    # -- maintenance
 
     def truncate(self) -> None:
         """No rows any more; partitions, indexes and state stay."""

@@ -28,7 +28,7 @@ T0 = datetime(2024, 1, 1, tzinfo=UTC)
 ROWS = [
     ("a", 10, "Red fox", 0.5, True, ["x", "y"], [1, 2, 3], '{"n": 1, "s": "one", "l": [1, "a", true], "d": {"e": [5, 6]}}', "POINT(1 1)", T0, [1.0, 0.0], '{"color": "red", "size": 3}'),
     ("b", 30, None, 1.5, False, None, [], '{"n": "1", "s": null}', "POINT(20 20)", T0.replace(month=2), [0.0, 1.0], '{"color": "blue", "size": "3"}'),
-    ("c", None, "100% wool_x", -2.0, True, [], None, None, "POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))", None, [1.0, 1.0], None),
+    ("c", None, "100% wool_x", -2.0, True, [], None, None, "POLYGON((0 0, 0 4, 4 4, 4 0, 0 0))", None, [1.0, 1.0], None),
     ("d", 70, "blue Fox!", 0.0, False, ["y", "z"], [9], '[1, 2, "q"]', None, T0.replace(year=2025), [1.0, 2.0], '{"size": null, "ok": true}'),
     ("e", -5, "", 9.25, True, ["x"], [3, 3], "not json", "nonsense", T0, [2.0, 2.0], "broken"),
 ]
@@ -87,7 +87,7 @@ CASES = [
     ("tags[5] == 'x'", ""),
     ("text_match(title, 'FOX wool_x')", "acd"),
     ("not text_match(title, 'fox')", "bce"),
-    ("st_within(shape, 'POLYGON((0 0, 10 0, 10 10, 0 10, 0 0))')", "ac"),
+    ("st_within(shape, 'POLYGON((0 0, 0 10, 10 10, 10 0, 0 0))')", "ac"),
     ("ST_CONTAINS(shape, 'POINT(4 2)')", "c"),
     ("geometry_intersects(shape, 'POLYGON((3 3, 5 3, 5 5, 3 5, 3 3))')", "c"),
     ("st_dwithin(shape, 'POINT(1 3)', 2)", "ac"),

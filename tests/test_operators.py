@@ -139,7 +139,7 @@ def test_time():
 
 def test_geometry():
     p = geometry.parse_wkt
-    square, inner, apart = p("POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))"), p("polygon ((1 1, 2 1, 2 2, 1 1))"), p("POLYGON((9 9, 10 9, 10 10, 9 9))")
+    square, inner, apart = p("POLYGON((0 0, 0 4, 4 4, 4 0, 0 0))"), p("polygon ((1 1, 2 1, 2 2, 1 1))"), p("POLYGON((9 9, 10 9, 10 10, 9 9))")
     assert geometry.contains(square, inner) and geometry.within(inner, square) and not geometry.contains(inner, square)
     assert geometry.intersects(square, inner) and not geometry.intersects(square, apart)
     assert geometry.distance(square, apart) == pytest.approx(math.hypot(5, 5)) and geometry.distance(p("POINT(2 7)"), square) == 3

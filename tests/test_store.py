@@ -16,7 +16,7 @@ SPEC = CollectionSpec(
         FieldSpec("title", "VARCHAR", nullable=True, max_length=8),
         FieldSpec("rank", "INT32", default=7),
         FieldSpec("tenant", "VARCHAR", nullable=True),
-        FieldSpec("vec", "FLOAT_VECTOR", dim=2),
+        FieldSpec("spot", "FLOAT_VECTOR", dim=2),
     ),
     dynamic=True,
 )
@@ -32,7 +32,7 @@ def ids(df):
 
 
 def row(i, **more):
-    return {"id": i, "vec": [float(i), 1.0], **more}
+    return {"id": i, "spot": [float(i), 1.0], **more}
 
 
 def test_write_and_read(catalog):
@@ -49,9 +49,9 @@ def test_write_and_read(catalog):
     assert c.delete([1]) == 1 and ids(c.query()) == [2, 3]
     assert c.insert([row(1)]) == 1 and c.num_entities() == 3
     assert c.delete_where("rank == 9") == 1 and ids(c.query()) == [1, 3]
-    assert c.upsert([{"id": 3, "title": "drei"}, {"id": 1, "title": None, "vec": [5.0, 5.0]}]) == 2
+    assert c.upsert([{"id": 3, "title": "drei"}, {"id": 1, "title": None, "spot": [5.0, 5.0]}]) == 2
     got = {r.id: r for r in c.query().collect()}
-    assert got[3].title == "drei" and list(got[3].vec) == [3.0, 1.0] and got[1].title is None and list(got[1].vec) == [5.0, 5.0]
+    assert got[3].title == "drei" and list(got[3].spot) == [3.0, 1.0] and got[1].title is None and list(got[1].spot) == [5.0, 5.0]
     assert [ids(p) for p in c.query_iterator(batch=1)] == [[1], [3]]
 
 
@@ -59,11 +59,11 @@ def test_write_and_read(catalog):
     "bad",
     [
         {"id": 1},
-        {"id": None, "vec": [1.0, 2.0]},
-        {"id": 1, "vec": [1.0]},
-        {"id": 1, "vec": [1.0, 2.0], "title": "much too long"},
-        {"id": "x", "vec": [1.0, 2.0]},
-        {"id": 1, "vec": [1.0, 2.0], "rank": 1 << 40},
+        {"id": None, "spot": [1.0, 2.0]},
+        {"id": 1, "spot": [1.0]},
+        {"id": 1, "spot": [1.0, 2.0], "title": "much too long"},
+        {"id": "x", "spot": [1.0, 2.0]},
+        {"id": 1, "spot": [1.0, 2.0], "rank": 1 << 40},
     ],
 )
 def test_bad_records_write_nothing(catalog, bad):
@@ -117,9 +117,9 @@ def test_partitions_compaction_snapshots(catalog):
     assert ids(c.query()) == [4, 7]
     c.truncate()
     assert c.num_entities() == 0
-    keyed = CollectionSpec((FieldSpec("id", "INT64", primary=True, auto_id=True), FieldSpec("tenant", "VARCHAR", partition_key=True, nullable=True), FieldSpec("vec", "FLOAT_VECTOR", dim=2)))
+    keyed = CollectionSpec((FieldSpec("id", "INT64", primary=True, auto_id=True), FieldSpec("tenant", "VARCHAR", partition_key=True, nullable=True), FieldSpec("spot", "FLOAT_VECTOR", dim=2)))
     k = catalog.create_collection("keyed", keyed)
-    k.insert([{"tenant": t, "vec": [1.0, 2.0]} for t in ("a", "b", None)])
+    k.insert([{"tenant": t, "spot": [1.0, 2.0]} for t in ("a", "b", None)])
     import hashlib
 
     want = {t: f"_pk_{int(hashlib.md5(str(t).encode()).hexdigest(), 16) % 16}" for t in ("a", "b", None)}
@@ -130,11 +130,11 @@ def test_partitions_compaction_snapshots(catalog):
 
 def test_search(catalog):
     text = CollectionSpec(
-        (FieldSpec("id", "INT64", primary=True), FieldSpec("body", "VARCHAR", analyzer={}, nullable=True), FieldSpec("kind", "VARCHAR"), FieldSpec("vec", "FLOAT_VECTOR", dim=2, nullable=True), FieldSpec("terms", "SPARSE_FLOAT_VECTOR", nullable=True), FieldSpec("emb", "FLOAT_VECTOR", dim=8)),
+        (FieldSpec("id", "INT64", primary=True), FieldSpec("body", "VARCHAR", analyzer={}, nullable=True), FieldSpec("kind", "VARCHAR"), FieldSpec("spot", "FLOAT_VECTOR", dim=2, nullable=True), FieldSpec("terms", "SPARSE_FLOAT_VECTOR", nullable=True), FieldSpec("emb", "FLOAT_VECTOR", dim=8)),
         (FunctionSpec("f", "BM25", "body", "terms"), FunctionSpec("g", "TEXT_EMBEDDING", "body", "emb")),
     )
     c = catalog.create_collection("texts", text)
-    c.insert([{"id": 1, "body": "red fox", "kind": "a", "vec": [1.0, 0.0]}, {"id": 2, "body": "red red wine", "kind": "a", "vec": [0.8, 0.6]}, {"id": 3, "body": None, "kind": "b", "vec": [0.0, 1.0]}, {"id": 4, "body": "a blue fox", "kind": "b", "vec": None}])
+    c.insert([{"id": 1, "body": "red fox", "kind": "a", "spot": [1.0, 0.0]}, {"id": 2, "body": "red red wine", "kind": "a", "spot": [0.8, 0.6]}, {"id": 3, "body": None, "kind": "b", "spot": [0.0, 1.0]}, {"id": 4, "body": "a blue fox", "kind": "b", "spot": None}])
     hits = c.search([[1.0, 0.0]], 2, output_fields=["kind"]).orderBy("rank").collect()
     assert [(r.id, round(r.distance, 6), r.kind) for r in hits] == [(1, 1.0, "a"), (2, 0.8, "a")]
     assert [r.id for r in c.search([[1.0, 0.0]], 5, "L2", expr="kind == 'b'").collect()] == [3]
@@ -146,31 +146,31 @@ def test_search(catalog):
     found = c.search(["fox red"], 5, field="terms").orderBy("rank").collect()
     assert {r.id for r in found} == {1, 2, 4} and found[0].id == 1 and found[0].distance < 0
     assert c.search(["a blue fox"], 1, field="emb").first().id == 4
-    pages = [[r.id for r in p.orderBy(F.desc("score")).collect()] for p in c.search_iterator([1.0, 0.0], batch=2, field="vec")]
+    pages = [[r.id for r in p.orderBy(F.desc("score")).collect()] for p in c.search_iterator([1.0, 0.0], batch=2, field="spot")]
     assert pages == [[1, 2], [3]]
-    both = [{"queries": [[1.0, 0.0]], "limit": 3, "field": "vec"}, {"queries": ["fox"], "limit": 3, "field": "terms"}]
+    both = [{"queries": [[1.0, 0.0]], "limit": 3, "field": "spot"}, {"queries": ["fox"], "limit": 3, "field": "terms"}]
     fused = c.hybrid_search(both, "rrf", 2, output_fields=["kind"]).orderBy("rank").collect()
     assert fused[0].id == 1 and round(fused[0].score, 6) == round(2 / 61, 6) and fused[0].kind == "a"
     assert c.hybrid_search(both, "weighted", 4, weights=[0.5, 0.5], digits=3).count() == 4
     assert c.hybrid_search(both, "rrf", 2, group_by="kind").count() == 2
-    chained = c.search([[1.0, 0.0]], 3, field="vec", chain=[{"op": "map", "expr": "round_decimal", "params": {"decimal": 1}, "inputs": ["$score"], "output": "$score"}, {"op": "sort", "by": "$score", "order": "asc"}, {"op": "limit", "limit": 2}], output_fields=[])
+    chained = c.search([[1.0, 0.0]], 3, field="spot", chain=[{"op": "map", "expr": "round_decimal", "params": {"decimal": 1}, "inputs": ["$score"], "output": "$score"}, {"op": "sort", "by": "$score", "order": "asc"}, {"op": "limit", "limit": 2}], output_fields=[])
     assert [(r.id, r.distance, r["rank"]) for r in chained.orderBy("rank").collect()] == [(3, 0.0, 1), (2, 0.8, 2)]
     from orrery.functions import text as words
 
     packed = c.live().where("id = 2").select(words.sparse_to_bytes(F.col("terms")).alias("p"), "terms")
     again = packed.select("p", "terms", words.sparse_from_bytes(F.col("p")).alias("back")).first()
     assert again.back == again.terms and len(again.p) == 8 * len(again.terms)
-    c.create_index("vec", "IVF_FLAT", "COSINE", {"nlist": 2})
+    c.create_index("spot", "IVF_FLAT", "COSINE", {"nlist": 2})
     with pytest.raises(StateError):
         c.query()
     c.load()
     assert c.search([[1.0, 0.0]], 1).first().id == 1
     for _ in range(2):  # the second time from the written index
-        assert [r.id for r in c.search_index([[1.0, 0.0]], 3, "vec", nprobe=2).orderBy("rank").collect()] == [1, 2, 3]
+        assert [r.id for r in c.search_index([[1.0, 0.0]], 3, "spot", nprobe=2).orderBy("rank").collect()] == [1, 2, 3]
     with pytest.raises(StateError):
-        c.drop_index("vec")
+        c.drop_index("spot")
     c.release()
-    c.drop_index("vec")
+    c.drop_index("spot")
     assert not c.has_index() and c.describe()["num_entities"] == 4
     with pytest.raises(QueryError):
         c.search([[1.0]], 1)
@@ -227,7 +227,7 @@ def test_streams(spark, catalog, tmp_path):
     src = str(tmp_path / "in")
     df.repartition(1).write.parquet(src)
     c = catalog.create_collection("streamed", SPEC)
-    stream = spark.readStream.schema(df.schema).parquet(src).drop("s").withColumn("vec", F.array(F.lit(1.0), F.lit(2.0)))
+    stream = spark.readStream.schema(df.schema).parquet(src).drop("s").withColumn("spot", F.array(F.lit(1.0), F.lit(2.0)))
     for _ in range(2):
         apply_mutations(stream, c, str(tmp_path / "ckpt")).awaitTermination()
     assert ids(c.query()) == [2, 3]
