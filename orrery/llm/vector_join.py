@@ -31,7 +31,7 @@ _SLACK = 1e-9
 
 
 def _survey(vectors: DataFrame) -> DataFrame:
-    """(v, label, dim, key, raw): raw the components as float64, key a digest of label and components; null if it can't link."""
+    """(v, label, dim, key, raw): raw the components as they came, key a digest of label and components; null if it can't link."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -40,12 +40,13 @@ def _survey(vectors: DataFrame) -> DataFrame:
                 v = x.values
                 a = None
                 if label is not None and v is not None and len(v) and not v.null_count:
+                    kind = "<f4" if pa.types.is_float32(v.type) else "<f8"
                     a = v.to_numpy(zero_copy_only=False).astype("<f8")
                     norm = float(np.sqrt(a @ a))
                     if not (np.isfinite(a).all() and 0 < norm < np.inf):
                         m = np.abs(a).max()
                         a = a / m if np.isfinite(a).all() and m > 0 else None
-                raws.append(None if a is None else a.tobytes())
+                raws.append(None if a is None else a.astype(kind).tobytes())
                 dims.append(0 if a is None else len(a))
                 keys.append(None if a is None else xxhash.xxh3_128_digest(f"{label}:".encode() + raws[-1]))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["v", "label", "dim", "key", "raw"])
@@ -54,8 +55,10 @@ def _survey(vectors: DataFrame) -> DataFrame:
     return source.mapInArrow(scan, "v long, label long, dim int, key binary, raw binary")
 
 
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype="<f8").reshape(len(raw), -1)
+def _unit(raw: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    kind = "<f4" if raw and len(raw[0]) == 4 * dim else "<f8"
+    x = np.frombuffer(b"".join(raw), dtype=kind).astype(np.float64).reshape(len(raw), -1)
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -70,7 +73,7 @@ def _rotation(per: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
         total, n = np.zeros((dim + 1, dim + 1)), 0
         for b in batches:
             if b.num_rows:
-                u = np.c_[_unit(b.column(0).to_pylist()), np.ones(b.num_rows)]
+                u = np.c_[_unit(b.column(0).to_pylist(), dim), np.ones(b.num_rows)]
                 total += u.T @ u
                 n += 1
         if n:
@@ -113,7 +116,7 @@ def _links(per: DataFrame, dim: int, threshold: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            r = _unit(b.column(3).to_pylist()) @ turn
+            r = _unit(b.column(3).to_pylist(), dim) @ turn
             for k in range(len(cut) - 1):
                 strip = np.floor(r[:, cut[k]] / width[k]).astype(np.int32)
                 for side in (0, 1):
@@ -137,7 +140,7 @@ def _links(per: DataFrame, dim: int, threshold: float) -> DataFrame:
         p, q, block = t.column("p")[0].as_py(), t.column("q")[0].as_py(), t.column("block")[0].as_py()
         u, side = t.column("u").to_numpy(), t.column("side").to_numpy()
         nid, copies = t.column("nid").to_numpy(), t.column("copies").to_numpy()
-        unit = _unit(t.column("raw").to_pylist())
+        unit = _unit(t.column("raw").to_pylist(), dim)
         rot = unit @ turn
         a = np.flatnonzero(side == 0 if p < 0 else u == p)
         b = np.flatnonzero(side == 1 if p < 0 else u == q)
