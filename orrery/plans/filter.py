@@ -331,8 +331,9 @@ def _walk(n: Any) -> list[Node]:
 
 
 class _Compiler:
-    def __init__(self, source: str, spec: CollectionSpec, row_mode: bool):
-        self.source, self.spec, self.row_mode = source, spec, row_mode
+    def __init__(self, source: str, spec: CollectionSpec, row_mode: bool, positive: bool = False):
+        """``positive``: unknown may stay unknown, as a filter drops it; tests then keep a form that reaches the Parquet scan."""
+        self.source, self.spec, self.row_mode, self.positive = source, spec, row_mode, positive
 
     def bad_type(self, message: str, n: Node) -> FilterTypeError:
         return FilterTypeError(message, self.source, n.at)
@@ -429,7 +430,10 @@ class _Compiler:
                 out = out & p if n.op == "and" else out | p
             return out
         if n.op == "not":
-            return ~self.boolean(n.args[0], "not")
+            before, self.positive = self.positive, False
+            out = ~self.boolean(n.args[0], "not")
+            self.positive = before
+            return out
         if n.op in ("field", "meta", "path", "lit"):
             v = self.value(n)
             if v.kind == "bool":
@@ -454,7 +458,14 @@ class _Compiler:
             raise self.bad_type(f"'{op}' can't compare {a.kind} and {b.kind}", n)
         x, y = a.col, b.col
         if a.kind in _NUMBERS and "float" in (a.kind, b.kind):
-            x, y = (F.when(~F.isnan(c.cast("double")), c.cast("double")) for c in (x, y))
+            x, y = x.cast("double"), y.cast("double")
+            sides = [c for c, v, m in ((x, a, n.args[1]), (y, b, n.args[2])) if v.kind == "float" and m.op != "lit"]
+            if self.positive:
+                out = _compare(op, x, y)
+                for c in sides:
+                    out = out & ~F.isnan(c)
+                return out
+            x, y = (F.when(~F.isnan(c), c) for c in (x, y))
         return _compare(op, x, y)
 
     @staticmethod
@@ -496,7 +507,7 @@ class _Compiler:
             c = v.col.cast("double") if v.kind == "float" or "float" in kinds else v.col
             found = c.isin([x.args[1] for x in values])
         if not self.row_mode:
-            found = F.coalesce(found, F.lit(False))
+            found = found if self.positive and not negated else F.coalesce(found, F.lit(False))
         elif not values:
             absent = v.col.missing if v.kind == "dyn" else v.col.isNull()
             found = F.when(~absent, F.lit(False))
@@ -589,10 +600,19 @@ def _compare(op: str, x: Column, y: Column) -> Column:
 
 def to_column(source: str, spec: CollectionSpec, timezone: str | None = None) -> Column:
     """The condition ``source`` over the columns of ``spec``; never null."""
+    return F.coalesce(_compiled(source, spec, timezone, positive=False), F.lit(False))
+
+
+def predicate(source: str, spec: CollectionSpec, timezone: str | None = None) -> Column:
+    """The same for ``DataFrame.where`` alone: null where the condition is unknown, and open to pushdown."""
+    return _compiled(source, spec, timezone, positive=True)
+
+
+def _compiled(source: str, spec: CollectionSpec, timezone: str | None, positive: bool) -> Column:
     tree = parse(source, timezone)
-    compiler = _Compiler(source, spec, any(x.op in _ROW_OPS for x in _walk(tree)))
+    compiler = _Compiler(source, spec, any(x.op in _ROW_OPS for x in _walk(tree)), positive)
     try:
-        return F.coalesce(compiler.boolean(tree, "filter"), F.lit(False))
+        return compiler.boolean(tree, "filter")
     except FilterError:
         raise
     except SchemaError as e:

@@ -14,7 +14,7 @@ from orrery.functions import metrics, temporal, text
 from orrery.operators import ann, fulltext, fusion, live
 from orrery.operators.knn import MATRIX_QUERIES, grouped_top_k, knn, knn_matrix, order, scored, top_k
 from orrery.plans.chain import Chain, expression, from_spec, hybrid
-from orrery.plans.filter import to_column
+from orrery.plans.filter import predicate
 from orrery.schema import CollectionSpec, FieldSpec
 from orrery.sources.store import key_bucket
 
@@ -90,7 +90,7 @@ EMBEDDING_SPEC = CollectionSpec((FieldSpec("id", "INT64", primary=True), FieldSp
 
 @query(_top("COSINE", where="e.label IN (1, 3, 5) AND e.vec_id > 20"))
 def knn_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return shown(knn(vectors(spark, sf), probes(spark, sf), "COSINE", 10, where=to_column("label in [1, 3, 5] and id > 20", EMBEDDING_SPEC)), "rank")
+    return shown(knn(vectors(spark, sf), probes(spark, sf), "COSINE", 10, where=predicate("label in [1, 3, 5] and id > 20", EMBEDDING_SPEC)), "rank")
 
 
 @query(_top("COSINE", 20, keep="score > 0.1 AND score <= 0.35"))
@@ -302,19 +302,19 @@ def _bm25(spark: SparkSession, sf: str, where: Column | None = None) -> DataFram
 
 
 query(_bm25_sql(), "bm25_topk")(lambda spark, sf: _bm25(spark, sf))
-query(_bm25_sql("d.lang = 'en' AND d.n_chars > 500"), "bm25_filtered")(lambda spark, sf: _bm25(spark, sf, to_column("lang == 'en' and n_chars > 500", DOCUMENT_SPEC)))
+query(_bm25_sql("d.lang = 'en' AND d.n_chars > 500"), "bm25_filtered")(lambda spark, sf: _bm25(spark, sf, predicate("lang == 'en' and n_chars > 500", DOCUMENT_SPEC)))
 
 DOCUMENT_SPEC = CollectionSpec((FieldSpec("id", "INT64", primary=True), FieldSpec("text", "VARCHAR"), FieldSpec("lang", "VARCHAR"), FieldSpec("source", "VARCHAR"), FieldSpec("n_chars", "INT64"), FieldSpec("v", "FLOAT_VECTOR", dim=1)))
 
 
 @query(f"SELECT doc_id AS id FROM documents WHERE list_has_any({_TOKENS.format('text')}, ['the', 'licensed', 'que'])")
 def text_match_or(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where(to_column("text_match(text, 'The licensed QUE')", DOCUMENT_SPEC)).select("id")
+    return documents(spark, sf).where(predicate("text_match(text, 'The licensed QUE')", DOCUMENT_SPEC)).select("id")
 
 
 @query(f"SELECT doc_id AS id FROM documents WHERE NOT list_has_any({_TOKENS.format('text')}, ['the', 'und'])")
 def text_match_not(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where(to_column("not text_match(text, 'the und')", DOCUMENT_SPEC)).select("id")
+    return documents(spark, sf).where(predicate("not text_match(text, 'the und')", DOCUMENT_SPEC)).select("id")
 
 
 @query(f"WITH {_POSTS} SELECT id, term, tf, dl FROM tf")
@@ -385,7 +385,7 @@ _FILTERS = {
 
 
 def _filtered(source: str) -> Query:
-    return lambda spark, sf: lineitem(spark, sf).where(to_column(source, LINEITEM)).select("l_orderkey", "l_linenumber", F.col("l_quantity"))
+    return lambda spark, sf: lineitem(spark, sf).where(predicate(source, LINEITEM)).select("l_orderkey", "l_linenumber", F.col("l_quantity"))
 
 
 for _n, (_src, _sql) in _FILTERS.items():
@@ -401,12 +401,12 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE (props->>'$.k')::INT = 3 OR (props->>'$.k')::INT > 90")
 def json_path_eq(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).where(to_column("props['k'] == 3 or props['k'] > 90", EVENTS)).select("event_id")
+    return events(spark, sf).where(predicate("props['k'] == 3 or props['k'] > 90", EVENTS)).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE (props->>'$.k') IS NOT NULL AND event_type <> 'view'")
 def json_exists(spark: SparkSession, sf: str) -> DataFrame:
-    return events(spark, sf).where(to_column("exists props['k'] and not exists props['none'] and event_type != 'view'", EVENTS)).select("event_id")
+    return events(spark, sf).where(predicate("exists props['k'] and not exists props['none'] and event_type != 'view'", EVENTS)).select("event_id")
 
 
 def _with_meta(spark: SparkSession, sf: str) -> DataFrame:
@@ -418,12 +418,12 @@ def _with_meta(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_id FROM events WHERE event_type IN ('view', 'purchase') AND event_type = 'purchase' AND user_id >= 40 OR event_type = 'click'")
 def meta_dynamic(spark: SparkSession, sf: str) -> DataFrame:
-    return _with_meta(spark, sf).where(to_column("(kind in ['view', 'purchase'] and size >= 40) or $meta['kind'] == 'click'", EVENTS_DYNAMIC)).select("event_id")
+    return _with_meta(spark, sf).where(predicate("(kind in ['view', 'purchase'] and size >= 40) or $meta['kind'] == 'click'", EVENTS_DYNAMIC)).select("event_id")
 
 
 @query("SELECT event_id FROM events WHERE event_type NOT IN ('error') AND NOT (event_type = 'purchase' AND user_id = 7)")
 def meta_cross_type(spark: SparkSession, sf: str) -> DataFrame:
-    return _with_meta(spark, sf).where(to_column("size != 7", EVENTS_DYNAMIC)).select("event_id")
+    return _with_meta(spark, sf).where(predicate("size != 7", EVENTS_DYNAMIC)).select("event_id")
 
 
 def _lists(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,7 +445,7 @@ _ARRAYS = {
 
 
 def _on_lists(source: str) -> Query:
-    return lambda spark, sf: _lists(spark, sf).where(to_column(source, EVENTS)).select("user_id")
+    return lambda spark, sf: _lists(spark, sf).where(predicate(source, EVENTS)).select("user_id")
 
 
 for _n, (_src, _sql) in _ARRAYS.items():
@@ -472,12 +472,12 @@ def _places(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 30 AND p_partkey % 50 BETWEEN 5 AND 25 AND (p_partkey % 50 - 5) <= (p_size - 10)")
 def geo_point_in_polygon(spark: SparkSession, sf: str) -> DataFrame:
-    return _places(spark, sf).where(to_column("st_within(shape, 'POLYGON((10 5, 30 5, 30 25, 10 5))')", PARTS)).select("p_partkey")
+    return _places(spark, sf).where(predicate("st_within(shape, 'POLYGON((10 5, 30 5, 30 25, 10 5))')", PARTS)).select("p_partkey")
 
 
 @query("SELECT p_partkey FROM part WHERE sqrt(power(p_size - 20, 2) + power(p_partkey % 50 - 20, 2)) <= 7 + 1e-9")
 def geo_dwithin(spark: SparkSession, sf: str) -> DataFrame:
-    return _places(spark, sf).where(to_column("st_dwithin(shape, 'POINT(20 20)', 7)", PARTS)).select("p_partkey")
+    return _places(spark, sf).where(predicate("st_dwithin(shape, 'POINT(20 20)', 7)", PARTS)).select("p_partkey")
 
 
 # -- the log
@@ -524,7 +524,7 @@ def upsert_partial(spark: SparkSession, sf: str) -> DataFrame:
 def delete_by_filter(spark: SparkSession, sf: str) -> DataFrame:
     data, gone = _log(spark, sf)
     spec = _spec("pk:INT64", "value:DOUBLE")
-    hit = live.live_rows(data, gone, "pk").where(to_column("value > 50", spec)).select("pk", F.lit(1 << 60).alias("_seq"))
+    hit = live.live_rows(data, gone, "pk").where(predicate("value > 50", spec)).select("pk", F.lit(1 << 60).alias("_seq"))
     return live.live_rows(data, gone.unionByName(hit), "pk").select("pk", "_seq")
 
 
@@ -552,7 +552,7 @@ def count_star(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {_LIVE} SELECT count(*) AS n FROM live WHERE value < 20 AND event_type = 'view'")
 def count_filtered(spark: SparkSession, sf: str) -> DataFrame:
     rows = live.live_rows(*_log(spark, sf), "pk")
-    return rows.where(to_column("value < 20 and event_type == 'view'", _spec("value:DOUBLE", "event_type:VARCHAR"))).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(predicate("value < 20 and event_type == 'view'", _spec("value:DOUBLE", "event_type:VARCHAR"))).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {_LIVE} SELECT 'p' || (pk % 4) AS _partition, count(*) AS n FROM live GROUP BY ALL")
@@ -586,7 +586,7 @@ def collection_from_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a collection built from dimension tables, under a filter."""
     rows = read(spark, sf, "customer").join(F.broadcast(read(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(read(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
     spec = _spec("r_name:VARCHAR", "c_acctbal:DOUBLE")
-    return rows.where(to_column("r_name in ['ASIA', 'EUROPE'] or c_acctbal < 0", spec)).select("c_custkey", "c_mktsegment", "n_name", "r_name")
+    return rows.where(predicate("r_name in ['ASIA', 'EUROPE'] or c_acctbal < 0", spec)).select("c_custkey", "c_mktsegment", "n_name", "r_name")
 
 
 __all__ = ["QUERIES", "SQL", "grouped_top_k"]

@@ -31,7 +31,7 @@ from orrery.functions import metrics, temporal, text
 from orrery.operators import ann, fulltext, fusion, live
 from orrery.operators.knn import grouped_top_k, order, scored, top_k
 from orrery.plans.chain import from_spec, hybrid
-from orrery.plans.filter import to_column
+from orrery.plans.filter import predicate, to_column
 from orrery.plans.projection import output_columns
 from orrery.schema import INTS, CollectionSpec, FieldSpec, conform, problem
 
@@ -237,7 +237,7 @@ class Collection:
     def delete_where(self, expr: str, partition: str | None = None) -> int:
         """Deletes the live rows that match; the matching keys never leave the cluster."""
         self._known([partition] if partition else None)
-        found = self.live([partition] if partition else None).where(to_column(expr, self.spec, self.timezone)).select(self.pk)
+        found = self.live([partition] if partition else None).where(predicate(expr, self.spec, self.timezone)).select(self.pk)
         return self._bury(found, partition)
 
     def _bury(self, keys: DataFrame, partition: str | None) -> int:
@@ -257,7 +257,7 @@ class Collection:
     # -- reading
 
     def _where(self, rows: DataFrame, expr: str | None, timezone: str | None) -> DataFrame:
-        return rows.where(to_column(expr, self.spec, timezone or self.timezone)) if expr else rows
+        return rows.where(predicate(expr, self.spec, timezone or self.timezone)) if expr else rows
 
     def query(self, expr: str | None = None, output_fields: list[str] | None = None, partitions: list[str] | None = None, limit: int | None = None, offset: int = 0, timezone: str | None = None) -> DataFrame:
         """Matching rows; with a limit or an offset in the order of the primary key. ``["count(*)"]`` counts them."""
@@ -292,7 +292,7 @@ class Collection:
         if group_by is not None and (group_by not in self.spec or self.spec[group_by].type not in GROUPABLE):
             raise QueryError(f"{group_by!r} can't be grouped by")
         rows = self.live(partitions)
-        cond = to_column(expr, self.spec, timezone or self.timezone) if expr else None
+        cond = predicate(expr, self.spec, timezone or self.timezone) if expr else None
         if f.type == "SPARSE_FLOAT_VECTOR":
             hits, metric = self._sparse_hits(f, rows, queries, cond), "BM25"
         else:

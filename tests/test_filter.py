@@ -5,7 +5,7 @@ from datetime import UTC, datetime
 import pytest
 
 from orrery.errors import FilterError, FilterFieldError, FilterParseError, FilterTypeError
-from orrery.plans.filter import parse, to_column, tokenize
+from orrery.plans.filter import parse, predicate, to_column, tokenize
 from orrery.schema import CollectionSpec, FieldSpec
 
 SPEC = CollectionSpec(
@@ -110,6 +110,18 @@ def test_cases(rows):
     got = [(e, "".join(r.id for r in flags if r[f"c{i}"])) for i, (e, _) in enumerate(CASES)]
     assert got == CASES
     assert not any(v is None for r in flags for v in r)
+    kept = rows.select("id", *[predicate(e, SPEC, "UTC").alias(f"c{i}") for i, (e, _) in enumerate(CASES)]).collect()
+    assert [(e, "".join(r.id for r in kept if r[f"c{i}"])) for i, (e, _) in enumerate(CASES)] == CASES
+
+
+def test_pushdown(spark, tmp_path, capsys):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 2.0, "a")], "age long, score double, title string").write.parquet(path)
+    spec = CollectionSpec((FieldSpec("id", "INT64", primary=True), FieldSpec("age", "INT64"), FieldSpec("score", "DOUBLE"), FieldSpec("title", "VARCHAR"), FieldSpec("v", "FLOAT_VECTOR", dim=1)))
+    spark.read.parquet(path).where(predicate("age > 3 and score <= 1.5 and title in ['a', 'b']", spec)).select("age").explain("formatted")
+    plan = capsys.readouterr().out
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+    assert "GreaterThan(age,3)" in pushed and "LessThanOrEqual(score,1.5)" in pushed and "In(title" in pushed
 
 
 @pytest.mark.parametrize(
