@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontam, langid, ngram_join, packing, pii
-from orrery.llm.common import lookup, scratch_dir, table
+from orrery.llm.common import scratch_dir, sized_broadcast, table
 
 #: The first stage is a fitted classifier and the last a tokenizer, so no SQL gives these rows; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
@@ -29,14 +29,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Of rows that repeat an id one stays. Documents without words link with nothing and stay.
     """
-    groups = ngram_join.similar_sets(docs).select("doc_id", "component_id")
-    gone = table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumn("_gone", F.lit(True)))
-    kept = lookup(docs, gone, "doc_id").where(F.col("_gone").isNull()).select(*docs.columns)
+    groups = table(ngram_join.similar_sets(docs).select("doc_id", "component_id"))
+    gone = table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
+    kept = docs.join(sized_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
     repeated = table(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
     if repeated.isEmpty():
         return kept
-    twice = kept.join(F.broadcast(repeated) if repeated.count() < 100_000 else repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+    twice = kept.join(sized_broadcast(repeated, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(sized_broadcast(repeated, 16), "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,9 +24,10 @@ DRIVER_EDGES = 1_000_000
 BROADCAST_BYTES = 16 << 20
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keeps Arrow batches small: a batch of ``rows`` long texts still fits a Python worker."""
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Keeps Arrow batches small, in rows and in bytes: one with very long texts still fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def trim() -> None:

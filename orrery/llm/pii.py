@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bounded_batches, lookup, table
+from orrery.llm.common import bounded_batches, lookup, sized_broadcast, table, trim
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern is trusted from so many distinct instances and this share of known ones.
@@ -119,6 +119,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 digests.append(hashlib.sha256(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in base).encode()).hexdigest())
                 named.append([{"start": s, "end": e, "pattern": p, "value": hashlib.md5(text[s:e].encode()).hexdigest(), "seed": z} for s, e, p, z in mentions(text, base)])
             yield pa.record_batch([b.column(0), b.column(1), pa.array(bases, pa.list_(span)), pa.array(digests, pa.string()), pa.array(named, pa.list_(mention))], names=["doc_id", "key", "base", "base_sha256", "mentions"])
+        trim()
 
     source = docs.select("doc_id", row_key(docs["doc_id"], docs["text"]).alias("key"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -160,9 +161,10 @@ def extract(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by ``<KIND>`` and n_chars (if there is such a column) counted anew."""
-    spans = extract(docs).select("key", F.concat("base", "secrets").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["key"])
+    spans = table(extract(docs).select(F.col("key").alias("_key"), F.concat("base", "secrets").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"]))
     keyed = docs.withColumn("_key", row_key(docs["doc_id"], docs["text"]))
-    joined = keyed.join(spans.withColumnRenamed("key", "_key"), "_key", "left")
+    most = 100 + 40 * (spans.agg(F.max(F.size("_spans"))).first()[0] or 0)
+    joined = keyed.join(sized_broadcast(spans, most), "_key", "left")
 
     @F.pandas_udf("string")
     def mask(text, found):  # noqa: ANN001, ANN202
