@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bounded_batches
+from orrery.llm.common import bounded_batches, trim
 from orrery.llm.textbytes import pieces
 
 #: Columns of the count matrix.
@@ -185,6 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
                 langs += x
                 posts.append(p)
             yield pa.record_batch([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(np.concatenate(posts), pa.float64())], names=[*(f"k{i}" for i in range(len(keep))), "lang_pred", "score"])
+        trim()
 
     kinds = ", ".join(f"k{i} {source.schema[i].dataType.simpleString()}" for i in range(len(keep)))
     out = source.mapInArrow(score, f"{kinds}, lang_pred string, score double")

@@ -140,6 +140,8 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, hot: dict[int, int]) -> DataF
                     cols[4].append(s[order].tobytes())
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "key", "n", "low", "prefix"])
+        del seen
+        trim()
 
     return _source(docs).mapInArrow(scan, "bucket long, key binary, n int, low binary, prefix binary")
 
@@ -312,6 +314,8 @@ def _candidates(balls: DataFrame, buckets: int, hot: dict[int, int]) -> DataFram
                 found = [np.unique(np.concatenate(found))]
             i = j
         p = np.unique(np.concatenate(found))
+        del found, r, h, lo, hi, pos, ball, group, total, many, stop, end, reach
+        trim()
         return pa.table({"a": pa.array(p["a"]), "b": pa.array(p["b"])})
 
     return balls.select("ball", "lo", "hi", "grams", "places").mapInArrow(send, Scatter.SCHEMA).groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
@@ -410,6 +414,8 @@ def _payloads(members: DataFrame, docs: DataFrame) -> DataFrame:
             got = [s for _, _, data, off in pieces(b.column(4)) for s in shingle_sets(data, off, GRAM)]
             k = [i for i, s in enumerate(got) if _digest(s) == keys[i]]
             yield pa.record_batch([pa.array([ball[i] for i in k], pa.int64()), pa.array([nid[i] for i in k], pa.int64()), pa.array([copies[i] for i in k], pa.int64()), pa.array([got[i].tobytes() for i in k], pa.binary())], names=["ball", "nid", "copies", "grams"])
+            del got
+        trim()
 
     def join(t: pa.Table) -> pa.Table:
         rows = {n: (n, c, np.frombuffer(g, dtype="<u8")) for n, c, g in zip(*(t.column(x).to_pylist() for x in ("nid", "copies", "grams")))}

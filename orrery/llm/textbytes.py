@@ -54,8 +54,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty texts."""
-    if isinstance(col, pa.ChunkedArray):
-        col = col.combine_chunks()
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
     if col.null_count:
         col = col.fill_null("")
     if not pa.types.is_large_string(col.type):
@@ -66,7 +65,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def pieces(col: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive runs of whole texts of about ``most`` bytes.
 
     A text longer than that is a run of its own; texts are never cut.
