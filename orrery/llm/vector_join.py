@@ -103,6 +103,47 @@ def _edges(dim: int) -> np.ndarray:
     return np.cumsum([0, *(len(range(i, dim, blocks)) for i in range(blocks))])
 
 
+def _linked_tile(rot: np.ndarray, unit: np.ndarray, a: np.ndarray, b: np.ndarray, cut: np.ndarray, block: int, most: np.ndarray, threshold: float, near: np.ndarray) -> np.ndarray:
+    """Which pairs of a x b are linked and first near in ``block``: products decide what is clear, the rest is computed pair by pair."""
+
+    def split(value: np.ndarray, limit: float, exact) -> np.ndarray:  # noqa: ANN001
+        """value <= limit, exactly."""
+        out = value <= limit
+        i, j = np.nonzero(np.abs(value - limit) <= 1e-9)
+        for c in range(0, len(i), 1 << 16):
+            x, y = i[c : c + (1 << 16)], j[c : c + (1 << 16)]
+            out[x, y] = exact(a[x], b[y]) <= limit
+        return out
+
+    own = near
+    for k in range(block, -1, -1):
+        x, y = rot[a, cut[k] : cut[k + 1]], rot[b, cut[k] : cut[k + 1]]
+        d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
+        there = split(d, most[k], lambda m, o, k=k: np.add.reduceat((rot[m] - rot[o]) ** 2, cut[:-1], axis=1)[:, k])
+        own = own & there if k == block else own & ~there
+    return own & split(-(unit[a] @ unit[b].T), -threshold, lambda m, o: -(unit[m] * unit[o]).sum(axis=1))
+
+
+def _forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, column) that join what ``link`` joins: all of the row with most links, one for what hangs on these, the rest as it is."""
+    if not link.any():
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    r0 = int(link.sum(axis=1).argmax())
+    cols = np.flatnonzero(link[r0])
+    with_ = link[:, cols]
+    rows = np.flatnonzero(with_.any(axis=1))
+    us, vs = [np.full(len(cols), r0), rows], [cols, cols[with_[rows].argmax(axis=1)]]
+    more = link[rows]
+    more[:, cols] = False
+    extra = np.flatnonzero(more.any(axis=0))
+    us.append(rows[more[:, extra].argmax(axis=0)])
+    vs.append(extra)
+    rest = link.copy()
+    rest[rows] = False
+    i, j = np.nonzero(rest)
+    return np.concatenate([*us, i]), np.concatenate([*vs, j])
+
+
 def _links(per: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(x, y, n): with y null, vector x has n linked rows more; else x and y are joined."""
     axes, share = _rotation(per, dim)
@@ -152,6 +193,16 @@ def _links(per: DataFrame, dim: int, threshold: float) -> DataFrame:
             for i in range(0, len(left), 512):
                 l = left[i : i + 512]  # noqa: E741
                 near = sq[l][:, None] + sq[right][None, :] - 2 * (x[l] @ x[right].T) <= most[block] + 1e-7
+                if near.sum() > near.size // 8:  # a cluster: all in matrix products, no list of pairs
+                    link = _linked_tile(rot, unit, l, right, cut, block, most, threshold, near)
+                    if same:
+                        link &= np.arange(i, i + len(l))[:, None] < np.arange(len(right))[None, :]
+                    n[l] += link @ copies[right]
+                    n[right] += copies[l] @ link
+                    eu, ev = _forest(link)
+                    us.append(nid[l[eu]])
+                    vs.append(nid[right[ev]])
+                    continue
                 li, ri = np.nonzero(near)
                 if same:
                     ok = li + i < ri

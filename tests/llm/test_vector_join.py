@@ -52,6 +52,28 @@ def test_join(spark, monkeypatch, dim, chunk, kind):
     assert max(r[1] for r in got) > 5
 
 
+def test_tight_clusters(spark):
+    """Most pairs of a strip are near: the matrix way, with vectors on both sides of the threshold."""
+    rng = np.random.default_rng(8)
+    c = rng.standard_normal((2, 32))
+    rows = [(i, (c[i % 2] + rng.standard_normal(32) * (0.24 if i % 5 else 0.31)).tolist(), 4) for i in range(160)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    want = links(rows)
+    assert sorted(map(tuple, vector_join.near_vectors(df).collect())) == sorted(want)
+    assert len({r[1] for r in want}) > 5 and min(r[1] for r in want) < 60 < max(r[1] for r in want)
+
+
+def test_forest():
+    rng = np.random.default_rng(2)
+    for p in (0.02, 0.1, 0.5, 0.9):
+        link = rng.random((30, 40)) < p
+        i, j = np.nonzero(link)
+        u, v = vector_join._forest(link)
+        assert link[u, v].all()
+        want, got = (brute.classes(70, list(zip(x.tolist(), (y + 30).tolist()))) for x, y in ((i, j), (u, v)))
+        assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
 def test_empty_and_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     assert vector_join.near_vectors(df.limit(0)).count() == 0
