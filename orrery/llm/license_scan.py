@@ -3,7 +3,8 @@
 The rolling word k-gram hashes of all texts are joined with the positions of the license templates
 (a constant of this module, so its size is bounded). Hits of one text and template vote for
 the diagonal ``position in text - position in template``; neighbouring diagonals merge, and a merged span counts
-if its hits cover enough of the template.
+if its hits cover enough of the template. Templates of one family differ by a word or two, so their k-grams don't tell them
+apart: there the telling words inside a span decide its license.
 """
 
 from __future__ import annotations
@@ -49,46 +50,96 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved"),
 )
 
+#: (family, part of the label, words): what tells the licenses of a family apart.
+MARKS = (
+    ("gnu", "gpl", "gnu general"),
+    ("gnu", "lgpl", "lesser general"),
+    ("gnu", "lgpl", "library general"),
+    ("gnu", "agpl", "affero general"),
+    ("cc", "nc", "noncommercial"),
+    ("cc", "nc", "non commercial"),
+    ("cc", "nc", "by nc"),
+    ("cc", "sa", "sharealike"),
+    ("cc", "sa", "share alike"),
+    ("cc", "sa", "by sa"),
+    ("cc", "sa", "nc sa"),
+    ("cc", "nd", "noderivatives"),
+    ("cc", "nd", "noderivs"),
+    ("cc", "nd", "no derivatives"),
+    ("cc", "nd", "no derivs"),
+    ("cc", "nd", "no derivative works"),
+    ("cc", "nd", "by nd"),
+    ("cc", "nd", "nc nd"),
+)
+#: Families of the template labels, and the license of a family if no telling word is there.
+FAMILY = {"gpl": "gnu", "lgpl": "gnu", "cc-by": "cc", "cc-by-nc": "cc", "cc-by-sa": "cc"}
+PLAIN = {"gnu": "gpl", "cc": "cc-by"}
+#: Words of a text in a stretch: spans and marks meet by stretches.
+STRETCH = 256
+
+
+def _named(marks: list[tuple[int, int, str, str]]) -> list[dict]:
+    """(family, label, at) of the marks (at, words, family, part) of one text; Creative Commons marks that touch make one label."""
+    out = [{"family": f, "label": part, "at": at} for at, _, f, part in marks if f != "cc"]
+    end, parts = -1, set()
+    for at, n, f, part in sorted(marks):
+        if f != "cc":
+            continue
+        if at > end:
+            parts = set()
+            out.append({"family": f, "label": "", "at": at})
+            own = out[-1]
+        parts.add(part)
+        end = max(end, at + n)
+        own["label"] = "-".join(["cc-by", *(x for x in ("nc", "sa", "nd") if x in parts)])
+    return out
+
 
 def _hashes(text: str) -> np.ndarray:
     return word_hashes(*buffers(pa.array([text])), IS_ALNUM)[0]
 
 
 def template_positions(spark: SparkSession) -> DataFrame:
-    """(gram, template, label, tpos, n_grams) of every k-gram of every template."""
+    """(gram, template, label, family, tpos, n_grams) of every k-gram of every template."""
     rows = []
     for t, (label, text) in enumerate(TEMPLATES):
         g = gram_hashes(_hashes(text), GRAM).view(np.int64).tolist()
-        rows += [(x, t, label, p, len(set(g))) for p, x in enumerate(g)]
-    return spark.createDataFrame(rows, "gram long, template int, label string, tpos int, n_grams int")
+        rows += [(x, t, label, FAMILY.get(label), p, len(set(g))) for p, x in enumerate(g)]
+    return spark.createDataFrame(rows, "gram long, template int, label string, family string, tpos int, n_grams int")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_words, base, grams): one pass; grams are those k-grams that any template has, with their places."""
+    """(doc_id, key, n_words, base, grams, marks): one pass; grams are those k-grams that any template has, with their places, marks the telling words of texts with such grams."""
     spark = docs.sparkSession
     bounded_batches(spark)
     known = np.unique(np.concatenate([gram_hashes(_hashes(t), GRAM) for _, t in TEMPLATES]))
     low = np.zeros(1 << 16, dtype=bool)
     low[known >> np.uint64(48)] = True
     phrases = [(label, _hashes(p)) for p, label in PHRASES]
+    telling = [(f, part, _hashes(p)) for f, part, p in MARKS]
     place = pa.struct([("label", pa.string()), ("at", pa.int32())])
     gram = pa.struct([("gram", pa.int64()), ("pos", pa.int32())])
+    mark = pa.struct([("family", pa.string()), ("label", pa.string()), ("at", pa.int32())])
+
+    def places(h: np.ndarray, first: np.ndarray, ph: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(word, text) of every place of the phrase."""
+        hit = np.flatnonzero(h[: max(0, len(h) - len(ph) + 1)] == ph[0])
+        for k in range(1, len(ph)):
+            hit = hit[h[hit + k] == ph[k]]
+        d = np.searchsorted(first, hit, side="right") - 1
+        ok = hit + len(ph) <= first[d + 1] if len(hit) else hit.astype(bool)
+        return zip(hit[ok].tolist(), d[ok].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, bases, grams = [], [], []
+            n_words, bases, grams, marks = [], [], [], []
             for i, j, data, off in pieces(b.column(2)):
                 h, _, _, first = word_hashes(data, off, IS_ALNUM)
                 n_words += np.diff(first).tolist()
                 own_b: list[list] = [[] for _ in range(j - i)]
                 own_g: list[list] = [[] for _ in range(j - i)]
                 for label, ph in phrases:
-                    hit = np.flatnonzero(h[: max(0, len(h) - len(ph) + 1)] == ph[0])
-                    for k in range(1, len(ph)):
-                        hit = hit[h[hit + k] == ph[k]]
-                    d = np.searchsorted(first, hit, side="right") - 1
-                    ok = hit + len(ph) <= first[d + 1] if len(hit) else hit.astype(bool)
-                    for p, r in zip(hit[ok].tolist(), d[ok].tolist()):
+                    for p, r in places(h, first, ph):
                         own_b[r].append({"label": label, "at": p - int(first[r])})
                 g = gram_hashes(h, GRAM)
                 hit = np.flatnonzero(low[g >> np.uint64(48)])
@@ -98,29 +149,47 @@ def scan(docs: DataFrame) -> DataFrame:
                     ok = hit + GRAM <= first[d + 1]
                     for p, r in zip(hit[ok].tolist(), d[ok].tolist()):
                         own_g[r].append({"gram": int(g[p].view(np.int64)), "pos": p - int(first[r])})
+                own_m: list[list] = [[] for _ in range(j - i)]
+                if any(own_g):
+                    for f, part, ph in telling:
+                        for p, r in places(h, first, ph):
+                            if own_g[r]:
+                                own_m[r].append((p - int(first[r]), len(ph), f, part))
                 bases += own_b
                 grams += own_g
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(bases, pa.list_(place)), pa.array(grams, pa.list_(gram))], names=["doc_id", "key", "n_words", "base", "grams"])
+                marks += map(_named, own_m)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(bases, pa.list_(place)), pa.array(grams, pa.list_(gram)), pa.array(marks, pa.list_(mark))], names=["doc_id", "key", "n_words", "base", "grams", "marks"])
 
     source = docs.select("doc_id", row_key(docs["doc_id"], docs["text"]).alias("key"), "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, key string, n_words long, base array<struct<label:string,at:int>>, grams array<struct<gram:long,pos:int>>")
+    return source.mapInArrow(run, f"doc_id {kind}, key string, n_words long, base array<struct<label:string,at:int>>, grams array<struct<gram:long,pos:int>>, marks array<struct<family:string,label:string,at:int>>")
 
 
-def vote(grams: DataFrame) -> DataFrame:
-    """(key, label, first, last, cover) of the verified spans; ``grams``: (key, gram, pos).
+def vote(grams: DataFrame, marks: DataFrame) -> DataFrame:
+    """(key, label, first, last, cover) of the verified spans; ``grams``: (key, gram, pos), ``marks``: (key, family, label, at).
 
     A hit votes for its diagonal; per diagonal the votes are counted before anything moves. Diagonals of one text
-    and template at most DRIFT apart merge if their places are near, too.
+    and template at most DRIFT apart merge if their places are near, too. A covered span of a family has the licenses that the marks in it name (Creative Commons
+    ones may follow directly on it), whichever template of the family covers it.
     """
     templates = template_positions(grams.sparkSession)
-    votes = grams.join(F.broadcast(templates), "gram").groupBy("key", "template", "label", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"), F.floor(F.col("pos") / 256).alias("stretch")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("gram").alias("seen"))
+    votes = grams.join(F.broadcast(templates), "gram").groupBy("key", "template", "label", "family", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"), F.floor(F.col("pos") / STRETCH).alias("stretch")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("gram").alias("seen"))
     w = Window.partitionBy("key", "template").orderBy("diagonal", "first")
     step = (F.col("diagonal") - F.lag("diagonal").over(w) > DRIFT) | (F.abs(F.col("first") - F.lag("last").over(w)) > F.col("n_grams") + DRIFT)
     merged = votes.withColumn("new", F.coalesce(step, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    spans = merged.groupBy("key", "template", "label", "n_grams", "run").agg(F.min("first").alias("first"), (F.max("last") + GRAM).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"))
+    spans = merged.groupBy("key", "template", "label", "family", "n_grams", "run").agg(F.min("first").alias("first"), (F.max("last") + GRAM).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"))
     cover = F.col("n") / F.col("n_grams")
-    return spans.where(cover >= COVER).select("key", "label", "first", "last", cover.alias("cover"))
+    found = table(spans.where(cover >= COVER).select("key", "template", "run", "label", "family", "first", "last", cover.alias("cover")))
+    alone = found.where("family IS NULL").select("key", "label", "first", "last", "cover")
+    stretch = F.explode(F.sequence(F.floor(F.col("first") / STRETCH), F.floor(F.col("last") / STRETCH)))
+    near = found.where("family IS NOT NULL").drop("label").withColumn("stretch", stretch)
+    named = marks.withColumn("stretch", F.floor(F.col("at") / STRETCH))
+    inside = (F.col("at") >= F.col("first")) & (F.col("at") < F.col("last") + (F.col("family") == "cc").cast("int"))
+    name = F.collect_set(F.when(inside, F.col("label")))
+    told = near.join(named, ["key", "family", "stretch"], "left").groupBy("key", "template", "run", "family", "first", "last", "cover").agg(name.alias("names"))
+    plain = F.create_map(*(F.lit(x) for kv in PLAIN.items() for x in kv))[F.col("family")]
+    label = F.explode(F.when(F.size("names") > 0, F.col("names")).otherwise(F.array(plain)))
+    return alone.unionByName(told.select("key", label.alias("label"), "first", "last", "cover"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -130,6 +199,7 @@ def detect(docs: DataFrame) -> DataFrame:
     words. A null or empty text has none; repeated rows get equal results.
     """
     found = table(scan(docs))
-    grams = found.where(F.size("grams") > 0).select("key", "grams").dropDuplicates(["key"]).select("key", F.explode("grams").alias("g")).select("key", "g.*")
-    spans = vote(grams).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", "first", "last", "cover"))).alias("spans"))
+    once = table(found.where(F.size("grams") > 0).select("key", "grams", "marks").dropDuplicates(["key"]))
+    grams = once.select("key", F.explode("grams").alias("g")).select("key", "g.*")
+    spans = vote(grams, once.select("key", F.explode("marks").alias("m")).select("key", "m.*")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", "first", "last", "cover"))).alias("spans"))
     return found.select("doc_id", "key", "n_words", "base").join(spans, "key", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<label:string,first:int,last:int,cover:double>>)"))).drop("key")

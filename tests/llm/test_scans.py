@@ -60,6 +60,31 @@ def test_license_diagonals(spark):
     assert ("mit", 9) in got[1] and not got[2] and got[3] == {("cc-by-nc", 0)}
 
 
+def test_license_families(spark):
+    cc = "This work is licensed under a Creative Commons Attribution{} License"
+    texts = {
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation": {"gpl"},
+        "Use it under the terms of the GNU General Public License as published by the Free Software Foundation.": {"gpl"},
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": {"lgpl"},
+        "under the terms of the GNU Library General Public License as published by the Free Software Foundation": {"lgpl"},
+        "This work is licensed under the GNU Lesser General Public License version 3": {"lgpl"},
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation": {"agpl"},
+        cc.format(" 4.0 International"): {"cc-by"},
+        cc.format("-ShareAlike 4.0 International"): {"cc-by-sa"},
+        cc.format("-NonCommercial 4.0 International"): {"cc-by-nc"},
+        cc.format("-Non-Commercial 4.0 International"): {"cc-by-nc"},
+        cc.format("-NonCommercial-ShareAlike 3.0 Unported"): {"cc-by-nc-sa"},
+        cc.format("-NoDerivatives 4.0 International"): {"cc-by-nd"},
+        cc.format("-ShareAlike 4.0 International") + ". " + "w " * 300 + cc.format("-NonCommercial 4.0 International"): {"cc-by-sa", "cc-by-nc"},
+        "Licensed under CC BY-SA 4.0": {"cc-by-sa"},
+        "Licensed under CC BY-NC-SA 4.0": {"cc-by-nc-sa"},
+        "Licensed under CC BY-NC-ND 4.0": {"cc-by-nc-nd"},
+    }
+    docs = spark.createDataFrame([*enumerate(texts), *((1000 + i, "w " * (250 - i) + t) for i, t in enumerate(texts))], "doc_id long, text string")
+    got = {r.doc_id: {s["label"] for s in r.spans} for r in license_scan.detect(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [got[1000 + i] for i in range(len(texts))] == list(texts.values())
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_packing_round_trip(request, which):
     import public_tokenizers
