@@ -31,6 +31,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Elements whose inside is markup, code or controls, never text.
 _SILENT = frozenset("script style template noscript head title textarea select option button svg math iframe object canvas audio video map datalist dialog".split())
 _RAW = frozenset("script style textarea title iframe noscript".split())
+#: Tags that a head may hold; any other one, or text, closes a head whose end tag is left out.
+_HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -91,13 +93,27 @@ class Page:
 
 
 def parse(page: str | None) -> Page:
-    """Block elements and text blocks of a page. Broken markup is repaired as browsers do in the common cases; nothing is cut off."""
+    """Block elements and text blocks of a page. Broken markup is repaired as browsers do in the common cases; nothing is cut off.
+
+    A silent element without an end tag of its own would swallow the blocks behind it, so the page is parsed again with it as a plain block.
+    """
+    loud: set[int] = set()
+    while (tree := _parse(page, loud)) is None:
+        pass
+    return tree
+
+
+def _parse(page: str | None, loud: set[int]) -> Page | None:
+    """The tree, with the tags at ``loud`` not silent; None if such tags were found and added."""
     tree = Page()
     root = tree.add(-1, "#root", "", None)
-    stack: list[tuple[str, int]] = [("#root", root)]  # all open elements with the block node that they belong to
+    # all open elements with the block node that they belong to, and the place of the tag if silent
+    stack: list[tuple[str, int, int | None]] = [("#root", root, None)]
     opened = {"#root": 1}
     buf: list[str] = []
     links, in_link, silent = 0, 0, 0
+    again = False
+    endless: set[str] = set()  # raw elements that have no end tag from here on
 
     def flush() -> None:
         nonlocal links
@@ -115,12 +131,15 @@ def parse(page: str | None) -> Page:
             f.append(f"e:{int(text[-1] in '.!?:;\"”»…')}")
         links = 0
 
-    def pop() -> None:
-        nonlocal silent, in_link
-        tag, _ = stack.pop()
+    def pop(ended: bool = False) -> None:
+        nonlocal silent, in_link, again
+        tag, _, start = stack.pop()
         opened[tag] -= 1
-        silent -= tag in _SILENT
+        silent -= start is not None
         in_link -= tag == "a"
+        if start is not None and not ended and tag != "head" and tag not in _RAW:
+            loud.add(start)
+            again |= not silent
 
     page = page or ""
     at = 0
@@ -130,6 +149,8 @@ def parse(page: str | None) -> Page:
         while lt >= 0 and not (m := _TAG.match(page, lt)):
             lt = page.find("<", lt + 1)
         raw = page[at : lt if lt >= 0 else len(page)]
+        if silent and stack[-1][0] == "head" and raw.strip():
+            pop()
         if raw and not silent:
             s = _html.unescape(raw) if "&" in raw else raw
             buf.append(s)
@@ -142,6 +163,8 @@ def parse(page: str | None) -> Page:
             continue
         tag = tag.lower()
         block = tag not in _INLINE
+        if silent and stack[-1][0] == "head" and (tag in ("body", "html", "br") if m["e"] else tag not in _HEAD and tag != "head"):
+            pop()
         if m["e"]:
             if not opened.get(tag):
                 if block and not silent:
@@ -161,16 +184,23 @@ def parse(page: str | None) -> Page:
                 flush()
             while True:
                 last = stack[-1][0]
-                pop()
+                pop(last == tag)
                 if last == tag:
                     break
             continue
-        if silent and tag not in _SILENT:
+        quiet = tag in _SILENT and lt not in loud
+        end = None
+        if quiet and tag in _RAW:
+            end = None if tag in endless else re.compile(f"</{tag}", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
+            quiet = end is not None or tag in ("script", "style")
+        if silent and not quiet:
             continue
         if block:
             flush()
-            if opened.get("p") and tag not in _SILENT:
-                while opened["p"] and any(t == "p" for t, _ in stack):
+            if opened.get("p") and not quiet:
+                while opened["p"] and any(t == "p" for t, _, _ in stack):
                     pop()
             if tag in _CLOSES:
                 own, stop = _CLOSES[tag]
@@ -185,22 +215,23 @@ def parse(page: str | None) -> Page:
         if tag in _VOID or m["a"].endswith("/") and tag in ("svg", "path"):
             continue
         node = stack[-1][1]
-        if block and tag not in _SILENT:
+        if block and not quiet:
             above = tree.element[node]
             node = tree.add(node, tag, m["a"], None)
             tree.feats[node] = [f"t:{tag}<{above}", *(f"w:{w}" for w in _attr_words(m["a"]))]
         elif not block and m["a"] and (w := _attr_words(m["a"])) and "hidden" in w:
             node = tree.add(node, tag, m["a"], None)
             tree.feats[node] += [f"w:{x}" for x in w]
-        stack.append((tag, node))
+        stack.append((tag, node, lt if quiet else None))
         opened[tag] = opened.get(tag, 0) + 1
-        silent += tag in _SILENT
+        silent += quiet
         in_link += tag == "a"
-        if tag in _RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
+        if quiet and tag in _RAW:
             at = end.start() if end else len(page)
     flush()
-    return tree
+    while silent:
+        pop()
+    return None if again else tree
 
 
 @dataclass

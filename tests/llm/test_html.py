@@ -48,6 +48,27 @@ def test_odd_pages(spark, model):
     assert H.extract(df.limit(0), model).count() == 0
 
 
+def texts(page):
+    return [t for t in H.parse(page).text if t]
+
+
+def test_open_head(model):
+    article = "<article><h1>T</h1><p>some words of text here, quite a few.</p></article>"
+    head = "<html><head><meta charset=utf-8><title>t</title><script>x<y</script>"
+    want = H.main_text([f"{head}</head><body>{article}</body></html>"], model)
+    assert want[0].endswith("quite a few.")
+    assert H.main_text([f"{head}<body>{article}</body></html>", f"{head}{article}", f"{head}<body>{article}</html>"], model) == want * 3
+    assert texts(f"{head}plain <b>text</b>") == ["plain text"] and texts(f"{head}<template><p>x</p></template></head><p>y") == ["y"]
+
+
+def test_open_silent_elements():
+    for tag in ("button", "select", "svg", "dialog", "template", "canvas", "textarea", "iframe"):
+        assert texts(f"<div><{tag}><p>one</p></div><p>two</p><{tag}>no</{tag}><p>three</p>")[-2:] == ["two", "three"] or tag in ("textarea", "iframe")
+        assert texts(f"<p>zero</p><{tag}><p>one</p><p>two</p>") == ["zero", "one", "two"]
+    assert texts("<select><option>a<option>b</select><p>c") == ["c"] and texts("<svg><text>a</svg><p>b") == ["b"]
+    assert texts("<p>a</p><script>b<p>c</p>") == ["a"] and len(texts("<button>" * 3000 + "<p>x")) == 1
+
+
 def test_messages_against_enumeration(model):
     import itertools
 
