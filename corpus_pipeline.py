@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontam, langid, ngram_join, packing, pii
-from orrery.llm.common import scratch_dir, sized_broadcast, table
+from orrery.llm.common import lookup, scratch_dir, sized_broadcast, table
 
 #: The first stage is a fitted classifier and the last a tokenizer, so no SQL gives these rows; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
@@ -25,18 +25,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that n-gram Jaccard links join: the one whose id names the group.
+    """Keeps one row of each group that n-gram Jaccard links join: that of the smallest doc_id (null last), then text digest.
 
-    Of rows that repeat an id one stays. Documents without words link with nothing and stay.
+    Rows are told apart by id and text, so ids may repeat or be null; of rows that agree in both the least in all columns
+    stays. Documents without words link with nothing and stay.
     """
-    groups = table(ngram_join.similar_sets(docs).select("doc_id", "component_id"))
-    gone = table(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    kept = docs.join(sized_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
-    repeated = table(groups.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    found = table(ngram_join.similar_sets(docs, rows_too=True).where("group IS NOT NULL").select("group", "doc_id", "digest"))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    several = found.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
+    ranked = table(lookup(found, table(several), "group", "inner").select(ngram_join.row_id(F.col("doc_id")).alias("_d"), F.col("digest").alias("_t"), rank.eqNullSafe(F.col("first")).alias("kept")))
+    gone = table(ranked.where("NOT kept").select("_d", "_t").distinct())
+    repeated = table(ranked.where("kept").groupBy("_d", "_t").count().where("count > 1").select("_d", "_t"))
+    keyed = docs.withColumns({"_d": ngram_join.row_id(docs["doc_id"]), "_t": ngram_join.text_digest(docs["text"])})
+    kept = keyed.join(sized_broadcast(gone, 40), ["_d", "_t"], "left_anti")
     if repeated.isEmpty():
-        return kept
-    twice = kept.join(sized_broadcast(repeated, 16), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(sized_broadcast(repeated, 16), "doc_id", "left_anti").select(*docs.columns).unionByName(twice)
+        return kept.select(*docs.columns)
+    one = F.min(F.struct(*docs.columns)).alias("row")
+    twice = kept.join(sized_broadcast(repeated, 40), ["_d", "_t"], "left_semi").groupBy("_d", "_t").agg(one).select("row.*")
+    return kept.join(sized_broadcast(repeated, 40), ["_d", "_t"], "left_anti").select(*docs.columns).unionByName(twice)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

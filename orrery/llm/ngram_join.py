@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import Scatter, _union_find, bounded_batches, components, lookup, records, sized_broadcast, table, trim
@@ -52,17 +52,27 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(_LEAST)).alias("d"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    return docs.select(row_id(docs["doc_id"]).alias("d"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
-def _survey(docs: DataFrame) -> DataFrame:
-    """Per row (d, key, n, m1), and per task the counts of its distinct sets' grams by cell (block, counts)."""
+def row_id(doc_id: Column) -> Column:
+    """The id as a long that is never null."""
+    return F.coalesce(doc_id.cast("long"), F.lit(_LEAST))
+
+
+def text_digest(text: Column) -> Column:
+    """Tells texts apart; a null one counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _survey(docs: DataFrame, digests: bool) -> DataFrame:
+    """Per row (d, key, n, m1, digest of the text if asked for), and per task the counts of its distinct sets' grams by cell (block, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.uint32)
         seen: set[bytes] = set()
-        names = ["d", "key", "n", "m1", "block", "counts"]
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["d", "key", "n", "m1", "block", "counts", "digest"]
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         for b in batches:
             keys, ns, m1 = [], [], []
             for _, _, data, off in pieces(b.column(1)):
@@ -75,15 +85,16 @@ def _survey(docs: DataFrame) -> DataFrame:
                         seen.add(k)
                         np.add.at(cells, (s >> np.uint64(42)).astype(np.int64), 1)
             nothing = [None] * len(ns)
-            yield pa.record_batch([b.column(0), *(pa.array(x, t) for x, t in zip((keys, ns, m1, nothing, nothing), kinds[1:]))], names=names)
+            yield pa.record_batch([b.column(0), *(pa.array(x, t) for x, t in zip((keys, ns, m1, nothing, nothing), kinds[1:])), b.column(2)], names=names)
         if seen:
             rows = [np.minimum(x, 65535).astype("<u2").tobytes() for x in cells.reshape(_BLOCKS, -1)]
             nothing = [None] * _BLOCKS
-            yield pa.record_batch([pa.array(x, t) for x, t in zip((nothing, nothing, nothing, nothing, list(range(_BLOCKS)), rows), kinds)], names=names)
+            yield pa.record_batch([pa.array(x, t) for x, t in zip((nothing, nothing, nothing, nothing, list(range(_BLOCKS)), rows, nothing), kinds)], names=names)
         del cells
         trim()
 
-    return _source(docs).mapInArrow(scan, "d long, key binary, n int, m1 long, block int, counts binary")
+    digest = text_digest(F.col("text")) if digests else F.lit(None).cast("binary")
+    return _source(docs).withColumn("digest", digest).mapInArrow(scan, "d long, key binary, n int, m1 long, block int, counts binary, digest binary")
 
 
 def _levels(parts: DataFrame) -> np.ndarray:
@@ -425,17 +436,18 @@ def _payloads(members: DataFrame, docs: DataFrame) -> DataFrame:
     return texts.select("ball", "nid", "copies", "key", "text").mapInArrow(sets, "ball long, nid long, copies long, grams binary").groupBy("ball").applyInArrow(join, "ball long, payload binary")
 
 
-def similar_sets(docs: DataFrame) -> DataFrame:
+def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
     """(doc_id, n_shingles, n_similar, component_id) for every row of ``docs`` (doc_id, text).
 
     A row's set: distinct runs of 5 words (ASCII white space between them, A-Z lower-cased); the whole
     sequence if there are fewer. Null, empty and blank texts have the empty set and no links. n_similar counts the other rows
     with Jaccard similarity of 0.8 at least, equal rows included; component_id is the smallest doc_id reached by links. A null
-    doc_id counts as a row and is never the smallest unless all are null.
+    doc_id counts as a row and is never the smallest unless all are null. With ``rows_too`` also digest (``text_digest``) and
+    group, a number that exactly the rows joined by links share; null for an empty set.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    survey = table(_survey(docs))
+    survey = table(_survey(docs, rows_too))
     rows = survey.where("block IS NULL")
     real = F.when(F.col("d") != _LEAST, F.col("d"))
     per = table(rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("d").alias("d"), F.min(real).alias("least"), F.first("n").alias("n")))
@@ -457,7 +469,7 @@ def similar_sets(docs: DataFrame) -> DataFrame:
     counts = found.where("y IS NULL").groupBy(F.col("x").alias("nid")).agg(F.sum("n").alias("linked"))
     comp = table(components(found.where("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "nid"))
     low = comp.join(per.select("nid", "least"), "nid").groupBy("component").agg(F.min("least").alias("low"))
-    named = lookup(comp, low, "component").select("nid", "low")
-    answer = per.join(counts, "nid", "left").join(named, "nid", "left").select("key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("low", "least").alias("low"))
-    out = lookup(rows.select(real.alias("doc_id"), "key", "n"), table(answer), "key")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("low", "doc_id").alias("component_id"))
+    named = lookup(comp, low, "component").select("nid", "low", "component")
+    answer = per.join(counts, "nid", "left").join(named, "nid", "left").select("key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("low", "least").alias("low"), F.coalesce("component", "nid").alias("group"))
+    out = lookup(rows.select(real.alias("doc_id"), "key", "n", "digest"), table(answer), "key")
+    return out.select(*(["digest", "group"] if rows_too else []), "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("low", "doc_id").alias("component_id"))

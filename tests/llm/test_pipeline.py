@@ -50,5 +50,13 @@ def test_repeated_ids(spark):
     assert sorted(str(r.doc_id) for r in P.drop_near_duplicates(spark, docs, "").collect()) == ["1", "3", "None"]
 
 
+def test_repeated_and_null_ids_of_other_texts(spark):
+    a, b, c, d = ("a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b")
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, c, "s"), (3, d, "s"), (3, d, "r"), (None, a, "s"), (None, c, "s"), (None, "p q r", "s"), (None, "p q r", "s"), (None, "k l m", "s"), (4, "k l m", "s"), (None, None, "s"), (None, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(1, a, "s"), (2, b, "s"), (3, c, "s"), (3, d, "r"), (None, "p q r", "s"), (4, "k l m", "s"), (None, None, "s"), (None, "", "s")]
+    assert sorted(map(str, map(tuple, P.drop_near_duplicates(spark, docs, "").collect()))) == sorted(map(str, want))
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 100
