@@ -25,7 +25,6 @@ KINDS = ("email", "ip", "card", "phone")
 #: A pattern is trusted from so many distinct instances and this share of known ones.
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
-ROUNDS = 4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
@@ -130,15 +129,14 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
     """(pattern, confidence) of the pattern-instance graph ``edges`` (pattern, value, seed), in rounds until none is added."""
     known = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
     before = -1
-    for _ in range(ROUNDS):
+    while True:  # scores only grow and so does the trusted set: an equal number is an equal set
         stats = edges.join(known, "value").groupBy("pattern").agg(F.count("*").alias("n"), F.avg("score").alias("confidence"))
         good = table(stats.where((F.col("n") >= MIN_SUPPORT) & (F.col("confidence") >= MIN_CONFIDENCE)).select("pattern", "confidence"))
         if (n := good.count()) == before:
-            break
+            return good
         before = n
         reached = lookup(edges, good, "pattern").groupBy("value").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("confidence"), F.lit(0.0))).alias("score"))
         known = table(reached)
-    return good
 
 
 def extract(docs: DataFrame) -> DataFrame:

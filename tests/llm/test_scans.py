@@ -33,6 +33,13 @@ def test_pii_bootstrap(spark):
     assert red[10] == 'has token = "<SECRET>" here' and red[12] is None and red[11] == rows[7][1]
 
 
+def test_pii_long_chain(spark):
+    rows = [("p0", f"seed{i}", 1) for i in range(3)] + [("p0", "x1", 0)]
+    rows += [e for k in range(1, 8) for e in ((f"p{k}", f"s{k}", 1), (f"p{k}", f"x{k}", 0), (f"p{k}", f"x{k + 1}", 0))]
+    edges = spark.createDataFrame([*rows, ("other", "y1", 0), ("other", "y2", 0), ("other", "x8", 0)], "pattern string, value string, seed int")
+    assert {r.pattern for r in pii.trusted_patterns(edges).collect()} == {f"p{k}" for k in range(8)}
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 @pytest.mark.parametrize("limit", [1 << 20, 2000])
 def test_decontamination(request, spark, which, limit):
