@@ -31,7 +31,11 @@ def test_stages(spark, tmp_path):
 
     before, after = seen["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    assert sorted(d for d, _ in pairs(after)) == sorted(r[0] for r in brute.decontaminate(pairs(before), items) if not r[5])
+    judged = {r[0]: r for r in brute.decontaminate(pairs(before), items)}
+    assert sorted(d for d, _ in pairs(after)) == sorted(d for d, r in judged.items() if not r[5])
+    assert not any(r[2] for r in brute.decontaminate(pairs(after), items))
+    texts = dict(pairs(before))
+    assert {d for d, t in pairs(after) if t != texts[d]} == {d for d, r in judged.items() if r[2] and not r[5]}
 
     before, after = seen["personal_data"]
     texts = dict(pairs(after))

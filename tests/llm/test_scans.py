@@ -50,6 +50,39 @@ def test_decontamination(request, spark, which, limit):
     assert sorted(map(tuple, f.collect()), key=key) == sorted(brute.decontaminate(pairs(docs), items), key=key)
 
 
+def test_decontamination_cuts_passages(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven Wizards prepare a feast tonight"
+    split = [" ".join(item.split()[:6]), " ".join(item.split()[6:])]
+    body = " ".join(f"word{i}" for i in range(600))
+    rows = [(1, f"Éa {body}. {item.upper()}! Then {body}", "a"), (2, item, "b"), (3, body, "c"), (4, None, "d"), (5, "", "e"), (6, f"{body} {split[0]} {item} {split[1]}", "f"), (None, f"{body}; {item}", "g"), (7, f"{item}: {body}", "h"), (8, f"{body} end {body} {body}", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string").withColumn("n_chars", F.length("text"))
+    bench = spark.createDataFrame([(1, item), (2, "end"), (None, body), (3, None)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontam.clean(docs, bench).collect()}
+    assert got[1].text == f"Éa {body}. Then {body}" and got[1].hits == "a" and got[1].n_chars == len(got[1].text)
+    assert set(got) == {None, 1, 3, 4, 5, 6, 7, 8} and got[3].text == body and got[4].text is None and got[5].text == ""
+    assert got[6].text == f"{body} " and got[None].text == f"{body}; " and got[7].text == body and got[8].text == f"{body} {body} {body}"
+    assert not any(r[2] for r in brute.decontaminate([(d, r.text) for d, r in got.items()], [(1, item), (2, "end")]))
+    assert decontam.clean(docs.limit(0), bench).count() == 0 and decontam.clean(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_decontamination_automaton_lanes(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    monkeypatch.setattr(decontam, "LANE", 7)
+    items = [(str(i), " ".join(rng.choice("abc") for _ in range(rng.randint(1, 40)))) for i in range(60)]
+    docs = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 400)))) for i in range(40)] + [(99, " x ".join(t for _, t in items))]
+    a, pairs = decontam.Automaton([(i, decontam.item_words(t)) for i, t in items]), decontam.PairMap(10)
+    for _, t in items:
+        pairs.add(decontam.item_words(t))
+    want = {r[0]: r for r in brute.decontaminate(docs, items)}
+    for d, t in docs:
+        h = decontam.item_words(t)
+        spans = a.match(h, *pairs.stretches(h, decontam.np.array([0, len(h)])))
+        ids = a.items(spans[2])
+        assert (sum(e - s for s, e in decontam._merged(*spans[:2])), len(ids), decontam.items_digest(ids)) == want[d][2:5]
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_license_base(request, which):
     docs = request.getfixturevalue(which)
