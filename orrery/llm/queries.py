@@ -68,7 +68,7 @@ def op9_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_radix_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeated_spans(_read(spark, sf_dir, "documents"))
+    return suffix_dedup.repeated_spans(_read(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def queries() -> dict[str, Query]:

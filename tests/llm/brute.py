@@ -137,3 +137,20 @@ def repeated_bytes(docs, k=400):
             at = e
         out.append((d, len(b), sum(e - s for s, e in runs), len(runs), sha(kept + b[at:])))
     return out
+
+
+def shared_words(docs, k=51):
+    """docs: (doc_id, text); rows (doc_id, words in runs of k words that stand in another row)."""
+    ws = [ALNUM.findall((t or "").translate(LOWER)) for _, t in docs]
+    where = defaultdict(set)
+    for r, w in enumerate(ws):
+        for i in range(len(w) - k + 1):
+            where[hash(tuple(w[i : i + k]))].add(r)
+    out = []
+    for (d, _), w in zip(docs, ws):
+        hit = set()
+        for i in range(len(w) - k + 1):
+            if len(where[hash(tuple(w[i : i + k]))]) > 1:
+                hit.update(range(i, i + k))
+        out.append((d, len(hit)))
+    return out
