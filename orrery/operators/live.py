@@ -11,8 +11,8 @@ def live_rows(data: DataFrame, deletes: DataFrame | None, pk: str, partitions: l
 
     data: the columns of the collection with ``_seq`` and ``_partition``; deletes: (pk, _seq). ``partitions`` limits the rows that are
     looked at (a key whose newer version lies elsewhere still shows its newest version here); tombstones hold for all
-    partitions. ``upto`` reads the log as it was at that ``_seq``. The newest row comes from a partial and a final aggregate
-    with no sort; tombstones are aggregated to one per key before the join.
+    partitions. ``upto`` reads the log as it was at that ``_seq``. The newest row comes from a partial and a final aggregate,
+    both by sorting, as whole rows are what they keep; tombstones are aggregated to one per key before the join.
     """
     if partitions is not None:
         data = data.where(F.col("_partition").isin(partitions))
@@ -21,10 +21,13 @@ def live_rows(data: DataFrame, deletes: DataFrame | None, pk: str, partitions: l
     newest = data.groupBy(pk).agg(F.max_by(F.struct(*data.columns), F.col("_seq")).alias("_row")).select("_row.*")
     if deletes is None:
         return newest
-    if upto is not None:
-        deletes = deletes.where(F.col("_seq") <= upto)
+    return without_deleted(newest, deletes if upto is None else deletes.where(F.col("_seq") <= upto), pk)
+
+
+def without_deleted(rows: DataFrame, deletes: DataFrame, pk: str) -> DataFrame:
+    """``rows`` without those that a tombstone with a larger ``_seq`` hides."""
     last = deletes.groupBy(F.col(pk).alias("_pk")).agg(F.max("_seq").alias("_dseq"))
-    return newest.join(last, (F.col(pk) == F.col("_pk")) & (F.col("_dseq") > F.col("_seq")), "left_anti")
+    return rows.join(last, (F.col(pk) == F.col("_pk")) & (F.col("_dseq") > F.col("_seq")), "left_anti")
 
 
 def tombstone_watermark(data: DataFrame, deletes: DataFrame) -> DataFrame:

@@ -2,43 +2,44 @@
 
 from __future__ import annotations
 
-import json
 import re
-import shutil
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from orrery.errors import AlreadyExistsError, NotFoundError, SchemaError, StateError
 from orrery.functions.temporal import check_timezone
 from orrery.schema import CollectionSpec
-from orrery.sources.store import Collection, write_json
+from orrery.sources.files import Files, Versions
+from orrery.sources.store import Collection
 
 DEFAULT = "default"
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,254}")
 
 
 class Catalog:
-    """``root/DATABASE/database.json`` and ``root/DATABASE/COLLECTION/``; the database ``default`` always exists."""
+    """``root/DATABASE/database/NUMBER.json`` and ``root/DATABASE/COLLECTION/``; the database ``default`` always exists."""
 
-    def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root, self.closed = spark, Path(root), False
-        if not (self.root / DEFAULT / "database.json").exists():
-            self._make(DEFAULT, {})
+    def __init__(self, spark: SparkSession, root: object):
+        self.spark, self.files, self.closed = spark, Files(spark, root), False
+        if not self._version(DEFAULT).exists():
+            self._version(DEFAULT).write(0, {"properties": {}, "aliases": {}})
 
-    def _make(self, name: str, properties: dict) -> None:
-        (self.root / name).mkdir(parents=True, exist_ok=True)
-        write_json(self.root / name / "database.json", {"properties": properties, "aliases": {}})
+    def _version(self, database: str) -> Versions:
+        return Versions(self.files.sub(database), "database")
 
     def _db(self, name: str) -> dict:
         if self.closed:
             raise StateError("the catalog is closed")
         if not self.has_database(name):
             raise NotFoundError(f"no database is called {name!r}")
-        return json.loads((self.root / name / "database.json").read_text())
+        return self._version(name).read()[1]
 
     def _save(self, name: str, value: dict) -> None:
-        write_json(self.root / name / "database.json", value)
+        if not self._version(name).write(self._version(name).read()[0], value):
+            raise StateError("another writer was faster; nothing was changed")
+
+    def _is_collection(self, database: str, name: str) -> bool:
+        return self.files.exists(f"{database}/{name}/spec.json")
 
     # databases
 
@@ -48,19 +49,19 @@ class Catalog:
             raise AlreadyExistsError(f"there is a database {name!r}")
         if "timezone" in (properties or {}):
             check_timezone(properties["timezone"])
-        self._make(name, properties or {})
+        self._version(name).write(0, {"properties": properties or {}, "aliases": {}})
 
     def drop_database(self, name: str) -> None:
         self._db(name)
         if name == DEFAULT or self.list_collections(name):
             raise StateError(f"{name} is the default database or not empty")
-        shutil.rmtree(self.root / name)
+        self.files.remove(name)
 
     def has_database(self, name: str) -> bool:
-        return (self.root / name / "database.json").exists()
+        return self._version(name).exists()
 
     def list_databases(self) -> list[str]:
-        return sorted(p.parent.name for p in self.root.glob("*/database.json"))
+        return [n for n in self.files.list() if self._version(n).exists()]
 
     def describe_database(self, name: str = DEFAULT) -> dict:
         return {"name": name, "properties": self._db(name)["properties"], "collections": self.list_collections(name)}
@@ -83,16 +84,16 @@ class Catalog:
         if name in d["aliases"] or self.has_collection(name, database):
             raise AlreadyExistsError(f"the name {name!r} is taken")
         zone = {"timezone": d["properties"]["timezone"]} if "timezone" in d["properties"] else {}
-        return Collection.create(self.spark, self.root / database / name, spec, zone | (properties or {}))
+        return Collection.create(self.spark, self.files.at(f"{database}/{name}"), spec, zone | (properties or {}))
 
     def collection(self, name: str, database: str = DEFAULT) -> Collection:
         real = self.resolve(name, database)
-        return Collection(self.spark, self.root / database / real)
+        return Collection(self.spark, self.files.at(f"{database}/{real}"))
 
     def drop_collection(self, name: str, database: str = DEFAULT) -> None:
         """Drops the collection and its aliases; nothing happens if there is none."""
         d = self._db(database)
-        shutil.rmtree(self.root / database / name, ignore_errors=True)
+        self.files.remove(f"{database}/{name}")
         d["aliases"] = {a: c for a, c in d["aliases"].items() if c != name}
         self._save(database, d)
 
@@ -103,16 +104,16 @@ class Catalog:
             raise NotFoundError(f"no collection is called {old!r}")
         if new in d["aliases"] or self.has_collection(new, database):
             raise AlreadyExistsError(f"the name {new!r} is taken")
-        (self.root / database / old).rename(self.root / database / new)
+        self.files.rename(f"{database}/{old}", f"{database}/{new}")
         d["aliases"] = {a: new if c == old else c for a, c in d["aliases"].items()}
         self._save(database, d)
 
     def has_collection(self, name: str, database: str = DEFAULT) -> bool:
-        return (self.root / database / self._db(database)["aliases"].get(name, name) / "spec.json").exists()
+        return self._is_collection(database, self._db(database)["aliases"].get(name, name))
 
     def list_collections(self, database: str = DEFAULT) -> list[str]:
         self._db(database)
-        return sorted(p.parent.name for p in (self.root / database).glob("*/spec.json"))
+        return [n for n in self.files.list(database) if self._is_collection(database, n)]
 
     def truncate_collection(self, name: str, database: str = DEFAULT) -> None:
         self.collection(name, database).truncate()
@@ -143,8 +144,8 @@ class Catalog:
         rows = c.snapshot_rows(snapshot)
         out = self.create_collection(new, c.spec, c.state["properties"], database)
         s = c.state["snapshots"][snapshot]
-        rows.write.mode("append").partitionBy("_partition").parquet(out._folder("data"))  # noqa: SLF001
-        out._set(next_seq=s["seq"] + 1, next_id=c.state["next_id"], partitions=s["partitions"])  # noqa: SLF001
+        entry = out._write(rows, 1, s["seq"], live=True)  # noqa: SLF001
+        out._set(data=[entry], next_seq=s["seq"] + 1, next_id=c.state["next_id"], partitions=s["partitions"])  # noqa: SLF001
         return out
 
     # aliases
@@ -163,7 +164,7 @@ class Catalog:
         self._point(d, alias, collection, database)
 
     def _point(self, d: dict, alias: str, collection: str, database: str) -> None:
-        if not (self.root / database / collection / "spec.json").exists():
+        if not self._is_collection(database, collection):
             raise NotFoundError(f"no collection is called {collection!r}")
         d["aliases"][alias] = collection
         self._save(database, d)
@@ -184,7 +185,7 @@ class Catalog:
 
     def resolve(self, name: str, database: str = DEFAULT) -> str:
         real = self._db(database)["aliases"].get(name, name)
-        if not (self.root / database / real / "spec.json").exists():
+        if not self._is_collection(database, real):
             raise NotFoundError(f"no collection is called {name!r}")
         return real
 

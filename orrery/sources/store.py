@@ -1,23 +1,23 @@
 """A collection: an append-only mutation log on Parquet and the live view of it.
 
-Layout of a collection's folder::
+Layout of a collection's folder, on any file system that Spark reads::
 
-    spec.json  state.json
-    data/_partition=NAME/...   rows with _seq
-    deletes/...                (pk, _seq, _partition)
+    spec.json  state/NUMBER.json
+    data/_append=TAG/_partition=NAME/...   rows with _seq
+    deletes/_append=TAG/...                (pk, _seq, _partition)
 
-Every write is one committed append; ``state.json`` with the next ``_seq`` is replaced last, so that an append that failed half-way is
-never counted on. One writer at a time, as with the log of any single-writer store; readers need no lock.
+Every write is an append to a folder of its own, and it counts from the moment that the next state lists the folder: what a
+failed append left behind is never read (``recover`` removes it), and its numbers are given out anew. A state is a new file that
+must not exist yet, so of two writers one fails; readers need no lock. Snapshots are lists of folders, and no folder that one
+lists is removed. Compaction leaves one folder of visible rows, which later reads scan without an aggregate; only the keys of
+what was appended since are held against it.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -33,6 +33,7 @@ from orrery.operators.knn import grouped_top_k, order, scored, top_k
 from orrery.plans.chain import from_spec, hybrid
 from orrery.plans.filter import predicate, to_column
 from orrery.plans.projection import output_columns
+from orrery.sources.files import Files, Versions
 from orrery.schema import INTS, CollectionSpec, FieldSpec, conform, problem
 
 DEFAULT_PARTITION = "_default"
@@ -40,18 +41,13 @@ ALL_PARTITIONS = "_all"
 KEY_BUCKETS = 16
 #: Bytes that a file of a compacted partition has about.
 COMPACT_BYTES = 128 << 20
+#: From so many small appends on, a write merges them into one.
+MERGE_APPENDS = 64
 #: Exact ones (graphs are answered exactly), approximate ones, and those of sparse and scalar fields.
 INDEXES = frozenset("FLAT BRUTE_FORCE AUTOINDEX HNSW HNSW_SQ IVF_FLAT IVF_SQ8 LSH SPARSE_INVERTED_INDEX INVERTED".split())
 GROUPABLE = frozenset({"VARCHAR", "BOOL", *INTS})
 
 
-def write_json(path: Path, value: Any) -> None:
-    """Atomic: readers see the old file or the new one."""
-    tmp = path.with_name(f".{path.name}.{uuid.uuid4().hex}")
-    tmp.write_text(json.dumps(value))
-    os.replace(tmp, path)
-
-
 def key_bucket(value: Column) -> Column:
     """The partition of a partition key: md5 of its text modulo 16, which is the last hex digit."""
     digest = F.md5(F.coalesce(value.cast("string"), F.lit("None")).cast("binary"))
@@ -61,34 +57,61 @@ def key_bucket(value: Column) -> Column:
 class Collection:
     """Rows, partitions, indexes and state under ``path``."""
 
-    def __init__(self, spark: SparkSession, path: str | Path, name: str | None = None):
-        self.spark, self.path = spark, Path(path)
-        if not (self.path / "spec.json").exists():
+    def __init__(self, spark: SparkSession, path: object, name: str | None = None):
+        self.spark, self.files = spark, Files(spark, path)
+        self.versions = Versions(self.files, "state")
+        if not self.files.exists("spec.json"):
             raise NotFoundError(f"no collection at {path}")
-        self.name = name or self.path.name
-        self.spec = CollectionSpec.from_json((self.path / "spec.json").read_text())
+        self.name = name or self.files.root.rsplit("/", 1)[-1]
+        self.spec = CollectionSpec.from_json(json.dumps(self.files.read("spec.json")))
         self._loaded: DataFrame | None = None
 
     @staticmethod
-    def create(spark: SparkSession, path: str | Path, spec: CollectionSpec, properties: dict | None = None) -> Collection:
-        path = Path(path)
-        if (path / "spec.json").exists():
+    def create(spark: SparkSession, path: object, spec: CollectionSpec, properties: dict | None = None) -> Collection:
+        files = Files(spark, path)
+        if files.exists("spec.json"):
             raise AlreadyExistsError(f"{path} is a collection")
-        path.mkdir(parents=True, exist_ok=True)
+        files.make()
         names = [f"_pk_{i}" for i in range(KEY_BUCKETS)] if spec.partition_key else []
-        write_json(path / "state.json", {"next_seq": 1, "next_id": 1, "partitions": [DEFAULT_PARTITION, *names], "indexes": {}, "load": "released", "properties": properties or {}, "snapshots": {}, "data": "data", "deletes": "deletes"})
-        (path / "spec.json").write_text(spec.to_json())
+        start = {"next_seq": 1, "next_id": 1, "partitions": [DEFAULT_PARTITION, *names], "indexes": {}, "load": "released", "properties": properties or {}, "snapshots": {}, "data": [], "deletes": [], "dropped": {}, "batch": -1}
+        versions = Versions(files, "state")
+        if not versions.exists():
+            versions.write(0, start)
+        files.write("spec.json", json.loads(spec.to_json()))
         return Collection(spark, path)
 
     # -- state
 
+    @property
+    def path(self) -> str:
+        return self.files.root
+
     @property
     def state(self) -> dict:
-        return json.loads((self.path / "state.json").read_text())
+        return self.versions.read()[1]
 
     def _set(self, **change: Any) -> None:
-        write_json(self.path / "state.json", self.state | change)
-        self._forget()
+        self._change(lambda s: change)
+
+    def _change(self, of: Callable[[dict], dict]) -> dict:
+        """Replaces parts of the state by ``of`` (the state), again if another writer was faster; the state before."""
+        while True:
+            number, state = self.versions.read()
+            if self.versions.write(number, state | of(state)):
+                self._forget()
+                return state
+
+    def _commit(self, seq: int, data: list[dict] | None = None, deletes: list[dict] | None = None, **more: Any) -> None:
+        """Makes appends count whose numbers begin at ``seq``."""
+
+        def change(s: dict) -> dict:
+            if s["next_seq"] != seq:
+                raise StateError("another writer was faster; nothing was written")
+            return {"data": s["data"] + (data or []), "deletes": s["deletes"] + (deletes or []), **more}
+
+        self._change(change)
+        if len(self.state["data"]) + len(self.state["deletes"]) > MERGE_APPENDS:
+            self.merge_appends()
 
     def _forget(self) -> None:
         if self._loaded is not None:
@@ -111,29 +134,54 @@ class Collection:
 
     # -- frames
 
-    def _folder(self, what: str) -> str:
-        return str(self.path / self.state[what])
-
-    def data(self) -> DataFrame:
+    def data(self, state: dict | None = None) -> DataFrame:
         """The log's rows with ``_seq`` and ``_partition``; a filter on ``_partition`` reads those folders only."""
+        state = state or self.state
+        return self._rows(state["data"], state)
+
+    def _rows(self, entries: list[dict], state: dict) -> DataFrame:
         schema = self.spec.struct(hidden=True)
-        if not any(Path(self._folder("data")).rglob("*.parquet")):
+        rows = self._read("data", entries, schema)
+        for name, seq in state["dropped"].items():
+            rows = rows.where(~((F.col("_partition") == name) & (F.col("_seq") <= seq)))
+        return rows
+
+    def _read(self, what: str, entries: list[dict], schema: T.StructType) -> DataFrame:
+        if not entries:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._folder("data")).where(F.col("_seq") < self.state["next_seq"])
+        paths = [self.files.at(f"{what}/_append={e['tag']}") for e in entries]
+        read = self.spark.read.schema(T.StructType([*schema, T.StructField("_append", T.StringType())]))
+        return read.option("basePath", self.files.at(what)).parquet(*paths).select(*[f"`{f.name}`" for f in schema])
 
-    def deletes(self) -> DataFrame:
+    def deletes(self, state: dict | None = None) -> DataFrame:
         kind = self.spec.primary.spark_type()
         schema = T.StructType([T.StructField(self.pk, kind), T.StructField("_seq", T.LongType()), T.StructField("_partition", T.StringType())])
-        if not any(Path(self._folder("deletes")).rglob("*.parquet")):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._folder("deletes")).where(F.col("_seq") < self.state["next_seq"])
+        return self._read("deletes", (state or self.state)["deletes"], schema)
 
     def live(self, partitions: list[str] | None = None, upto: int | None = None) -> DataFrame:
         """Visible rows with ``_seq`` and ``_partition``."""
         self._known(partitions)
         if partitions is None and upto is None and self._loaded is not None:
             return self._loaded
-        return live.live_rows(self.data(), self.deletes(), self.pk, partitions, upto)
+        return self._visible(self.state, partitions, upto)
+
+    def _visible(self, state: dict, partitions: list[str] | None = None, upto: int | None = None) -> DataFrame:
+        deletes = self.deletes(state) if state["deletes"] else None
+        base = [e for e in state["data"] if e["live"] and (upto is None or e["high"] <= upto)]
+        if not base:
+            return live.live_rows(self.data(state), deletes, self.pk, partitions, upto)
+        # one row a key, so nothing has to be aggregated, and filters reach the scan
+        rows = self._rows(base, state)
+        rows = rows if partitions is None else rows.where(F.col("_partition").isin(partitions))
+        if deletes is not None:
+            rows = live.without_deleted(rows, deletes if upto is None else deletes.where(F.col("_seq") <= upto), self.pk)
+        if later := [e for e in state["data"] if not e["live"]]:
+            tail = self._rows(later, state)
+            tail = tail if partitions is None else tail.where(F.col("_partition").isin(partitions))
+            tail = tail if upto is None else tail.where(F.col("_seq") <= upto)
+            rows = rows.join(tail.select(self.pk).distinct(), self.pk, "left_anti").select(*rows.columns)
+            rows = rows.unionByName(live.live_rows(tail, deletes, self.pk, None, upto))
+        return rows
 
     def _known(self, partitions: list[str] | None) -> None:
         for p in partitions or []:
@@ -180,27 +228,42 @@ class Collection:
 
     def insert(self, records: list[dict] | DataFrame, partition: str = DEFAULT_PARTITION) -> int:
         """Appends rows (an equal key replaces) and returns their number. The first broken rule fails the whole call before anything is written."""
+        state = self.state
+        entries, change, n = self._append(records, partition, state)
+        self._commit(state["next_seq"], entries, **change)
+        return n
+
+    def _append(self, records: list[dict] | DataFrame, partition: str, state: dict) -> tuple[list[dict], dict, int]:
+        """Writes rows with the next numbers, not counting yet: (appends, change of the state, rows)."""
         self._known([partition])
         rows = conform(self.frame(records), self.spec)
-        state = self.state
         pk = self.spec.primary
         rows = self._apply_functions(rows)
-        staged = self.path / f"staged-{uuid.uuid4().hex}"
+        staged = f"staged-{uuid.uuid4().hex}"
         try:
-            rows.withColumn("_n", F.monotonically_increasing_id()).write.parquet(str(staged))
-            back = self.spark.read.parquet(str(staged))
+            rows.withColumn("_n", F.monotonically_increasing_id()).write.parquet(self.files.at(staged))
+            back = self.spark.read.parquet(self.files.at(staged))
             bad = back.select(problem(self.spec).alias("p")).where("p IS NOT NULL").limit(1).collect()
             if bad:
                 raise SchemaError(bad[0].p)
-            numbered, n = _numbered(back, state["next_seq"])
+            placed, n = numbered(back, state["next_seq"])
             if pk.auto_id:
-                numbered = numbered.withColumn(pk.name, F.col("_seq") - state["next_seq"] + state["next_id"])
+                placed = placed.withColumn(pk.name, F.col("_seq") - state["next_seq"] + state["next_id"])
             where = key_bucket(F.col(f"`{self.spec.partition_key.name}`")) if self.spec.partition_key else F.lit(partition)
-            numbered.withColumn("_partition", where).write.mode("append").partitionBy("_partition").parquet(self._folder("data"))
+            entries = [self._write(placed.withColumn("_partition", where), state["next_seq"], state["next_seq"] + n - 1)] if n else []
         finally:
-            shutil.rmtree(staged, ignore_errors=True)
-        self._set(next_seq=state["next_seq"] + n, next_id=state["next_id"] + (n if pk.auto_id else 0))
-        return n
+            self.files.remove(staged)
+        return entries, {"next_seq": state["next_seq"] + n, "next_id": state["next_id"] + (n if pk.auto_id else 0)}, n
+
+    def _write(self, rows: DataFrame, low: int, high: int, live: bool = False) -> dict:
+        """A folder of the log with ``rows``; fields with an inverted index get Bloom filters."""
+        tag = f"a{uuid.uuid4().hex[:16]}"
+        out = rows.write.partitionBy("_partition")
+        for field, info in self.state["indexes"].items():
+            if info["index_type"] == "INVERTED":
+                out = out.option(f"parquet.bloom.filter.enabled#{field}", "true")
+        out.parquet(self.files.at(f"data/_append={tag}"))
+        return {"tag": tag, "low": low, "high": high, "live": live}
 
     def _apply_functions(self, rows: DataFrame) -> DataFrame:
         for f in self.spec.functions:
@@ -242,18 +305,31 @@ class Collection:
 
     def _bury(self, keys: DataFrame, partition: str | None) -> int:
         seq = self.state["next_seq"]
-        staged = self.path / f"staged-{uuid.uuid4().hex}"
-        try:
-            keys.select(self.pk, F.lit(seq).cast("long").alias("_seq"), F.lit(partition or ALL_PARTITIONS).alias("_partition")).write.parquet(str(staged))
-            back = self.spark.read.parquet(str(staged))
-            n = back.count()
-            if n:
-                back.write.mode("append").parquet(self._folder("deletes"))
-        finally:
-            shutil.rmtree(staged, ignore_errors=True)
-        self._set(next_seq=seq + 1)
+        entries, n = self._tombstones(keys, partition, seq)
+        self._commit(seq, deletes=entries, next_seq=seq + 1)
         return n
 
+    def _tombstones(self, keys: DataFrame, partition: str | None, seq: int) -> tuple[list[dict], int]:
+        """Writes tombstones with the number ``seq``, not counting yet: (appends, their number)."""
+        tag = f"a{uuid.uuid4().hex[:16]}"
+        at = self.files.at(f"deletes/_append={tag}")
+        keys.select(self.pk, F.lit(seq).cast("long").alias("_seq"), F.lit(partition or ALL_PARTITIONS).alias("_partition")).write.parquet(at)
+        n = self.spark.read.parquet(at).count()
+        return ([{"tag": tag, "low": seq, "high": seq}] if n else []), n
+
+    def apply(self, rows: DataFrame | None, gone: DataFrame | None, batch: int) -> bool:
+        """Writes rows, then tombstones, and counts them as batch ``batch`` in one change of state; False if that batch was counted before."""
+        state = self.state
+        if state["batch"] >= batch:
+            return False
+        entries, change, _ = self._append(rows, DEFAULT_PARTITION, state) if rows is not None else ([], {"next_seq": state["next_seq"]}, 0)
+        deletes = []
+        if gone is not None:
+            deletes, _ = self._tombstones(gone, None, change["next_seq"])
+            change["next_seq"] += 1
+        self._commit(state["next_seq"], entries, deletes, **change, batch=batch)
+        return True
+
     # -- reading
 
     def _where(self, rows: DataFrame, expr: str | None, timezone: str | None) -> DataFrame:
@@ -272,17 +348,25 @@ class Collection:
             rows = rows if limit is None else rows.limit(limit)
         return rows.select(*output_columns(self.spec, output_fields))
 
-    def get(self, pks: list, output_fields: list[str] | None = None, partitions: list[str] | None = None, expr: str | None = None) -> DataFrame:
-        """The rows of the keys in their order, a key given twice twice, missing ones left out."""
+    def get(self, pks: list | DataFrame, output_fields: list[str] | None = None, partitions: list[str] | None = None, expr: str | None = None) -> DataFrame:
+        """The rows of the keys in their order, a key given twice twice, missing ones left out.
+
+        A frame (pos, key) of any size is joined as it is, and pos becomes the first column of the result, which has no order.
+        """
         self._need_loaded()
+        live_ = self.live(partitions)
+        shown = output_columns(self.spec, output_fields)
+        if isinstance(pks, DataFrame):
+            wanted = pks.select(F.col("pos").alias("_pos"), F.col("key").alias("_want"))
+            return self._where(live_, expr, None).join(wanted, F.col(self.pk) == F.col("_want")).select(F.col("_pos").alias("pos"), *shown)
         wanted = self.spark.createDataFrame([(i, p) for i, p in enumerate(pks)], T.StructType([T.StructField("_pos", T.LongType()), T.StructField("_want", self.spec.primary.spark_type())]))
-        rows = self._where(self.live(partitions).where(F.col(self.pk).isin(list(set(pks)))), expr, None)
-        return rows.join(F.broadcast(wanted), F.col(self.pk) == F.col("_want")).orderBy("_pos").select(*output_columns(self.spec, output_fields))
+        rows = self._where(live_.where(F.col(self.pk).isin(list(set(pks)))), expr, None)
+        return rows.join(F.broadcast(wanted), F.col(self.pk) == F.col("_want")).orderBy("_pos").select(*shown)
 
     def search(self, queries: list | DataFrame, limit: int = 10, metric: str | None = None, *, field: str | None = None, expr: str | None = None, partitions: list[str] | None = None, output_fields: list[str] | None = None, offset: int = 0, radius: float | None = None, range_filter: float | None = None, group_by: str | None = None, group_size: int = 1, strict_group_size: bool = False, ranker: dict | None = None, timezone: str | None = None, chain: list[dict] | None = None, digits: int | None = None) -> DataFrame:
         """(qid, id, distance, rank, fields ...): the best rows of each query.
 
-        queries: vectors, texts (for a BM25 or embedded field), or a frame (qid, qvector). distance is the public score. Order of the
+        queries: vectors, texts (for a BM25 or embedded field), or a frame (qid, qvector), for a BM25 field (qid, its input field). distance is the public score. Order of the
         steps: filter, score, boost, range, groups or top-k, then the rerank ``chain`` (its $score starts as the distance, BM25 as the positive
         relevance), then rounding to ``digits``. A chain excludes a boost ranker.
         """
@@ -357,20 +441,21 @@ class Collection:
     def build_index(self, field: str) -> tuple[DataFrame, dict]:
         """The written index of a field, lists as folders, and its facts; built if there is none for the present rows."""
         f, info, state = self.spec[field], self.index_info(field), self.state
-        at = self.path / f"index-{field}"
-        facts = json.loads((at / "facts.json").read_text()) if (at / "facts.json").exists() else {}
+        at = self.files.sub(f"index-{field}")
+        facts = at.read("facts.json") if at.exists("facts.json") else {}
         if facts.get("seq") != state["next_seq"] or facts.get("info") != info:
-            shutil.rmtree(at, ignore_errors=True)
+            at.remove()
+            at.make()
             facts = {"seq": state["next_seq"], "info": info}
             if info["index_type"] == "LSH":
-                facts |= {"tables": info["params"].get("tables", 16), "bits": info["params"].get("bits", 6)}
-                ann.build_lsh(self.live(), facts["tables"], facts["bits"], vector=field, id_col=self.pk, dim=f.dim).write.parquet(str(at / "rows"))
+                facts |= {"tables": info["params"].get("tables", ann.TABLES), "bits": info["params"].get("bits", ann.BITS)}
+                ann.build_lsh(self.live(), facts["tables"], facts["bits"], vector=field, id_col=self.pk, dim=f.dim).write.parquet(at.at("rows"))
             else:
-                built = ann.build_ivf(self.live(), info["metric_type"], info["params"].get("nlist", ann.NLIST), sq8=info["index_type"] == "IVF_SQ8", vector=field, id_col=self.pk)
-                built.rows.write.partitionBy("list").parquet(str(at / "rows"))
+                built = ann.build_ivf(self.live(), info["metric_type"], info["params"].get("nlist"), sq8=info["index_type"] == "IVF_SQ8", vector=field, id_col=self.pk)
+                built.rows.write.partitionBy("list").parquet(at.at("rows"))
                 facts["centroids"] = built.centroids.tolist()
-            write_json(at / "facts.json", facts)
-        return self.spark.read.parquet(str(at / "rows")), facts
+            at.write("facts.json", facts)
+        return self.spark.read.parquet(at.at("rows")), facts
 
     def _search_field(self, field: str | None) -> FieldSpec:
         if field is not None:
@@ -402,14 +487,14 @@ class Collection:
 
     def _sparse_hits(self, f: FieldSpec, rows: DataFrame, queries: list | DataFrame, cond: Column | None) -> DataFrame:
         fn = next((x for x in self.spec.functions if x.output == f.name and x.type == "BM25"), None)
-        if fn is not None and not isinstance(queries, DataFrame) and queries and isinstance(queries[0], str):
-            q = self.spark.createDataFrame(list(enumerate(queries)), f"qid long, `{fn.input}` string")
-            found = fulltext.bm25(rows, q, text.analyzer(self.spec[fn.input].analyzer), 16_384, text=fn.input, id_col=self.pk, where=cond)
-            found = found.select("qid", F.col("id").alias("_id"), F.col("distance").alias("score"))
+        texts = fn.input in queries.columns if fn is not None and isinstance(queries, DataFrame) else bool(queries) and isinstance(queries[0], str)
+        if fn is not None and texts:
+            q = queries if isinstance(queries, DataFrame) else self.spark.createDataFrame(list(enumerate(queries)), f"qid long, `{fn.input}` string")
+            found = fulltext.bm25_scores(rows, q, text.analyzer(self.spec[fn.input].analyzer), text=fn.input, id_col=self.pk, where=cond)
         else:
             q = queries if isinstance(queries, DataFrame) else self.spark.createDataFrame([(i, {int(k): float(v) for k, v in x.items()}) for i, x in enumerate(queries)], "qid long, qvector map<bigint,double>")
-            found = fulltext.sparse_ip(rows if cond is None else rows.where(cond), q, 16_384, vector=f.name, id_col=self.pk)
-            found = found.select("qid", F.col("id").alias("_id"), (-F.col("score")).alias("score"))
+            found = fulltext.sparse_scores(rows if cond is None else rows.where(cond), q, vector=f.name, id_col=self.pk)
+        found = found.select("qid", F.col("id").alias("_id"), (-F.col("score")).alias("score"))
         return rows.join(found, F.col(self.pk) == F.col("_id")).drop("_id")
 
     def _boosted(self, score: Column, metric: str, ranker: dict) -> Column:
@@ -482,8 +567,7 @@ class Collection:
         if self.spec.partition_key or name == DEFAULT_PARTITION:
             raise StateError(f"{name} can't be dropped")
         self._known([name])
-        shutil.rmtree(Path(self._folder("data")) / f"_partition={name}", ignore_errors=True)
-        self._set(partitions=[p for p in self.state["partitions"] if p != name])
+        self._change(lambda s: {"partitions": [p for p in s["partitions"] if p != name], "dropped": s["dropped"] | {name: s["next_seq"] - 1}})
 
     def has_partition(self, name: str) -> bool:
         known = self.list_partitions()
@@ -554,50 +638,80 @@ class Collection:
 
     def truncate(self) -> None:
         """No rows any more; partitions, indexes and state stay."""
-        self._swap(None, None)
+        self._replace(lambda s: {"data": [], "deletes": [], "dropped": {}})
 
     def compact(self) -> None:
-        """Rewrites the log to the visible rows, sorted by ``_seq``, and drops tombstones that can't hide anything; snapshots keep their files."""
-        rows = self.data()
-        visible = live.live_rows(rows, self.deletes(), self.pk)
-        self._swap(visible, None)
+        """Rewrites the log to the visible rows and drops all tombstones; snapshots keep their folders.
+
+        Rows are sorted by the fields that have an inverted index (then ``_seq``), so that a filter on them skips row groups.
+        """
+        state = self.state
+        size = sum(self.files.size(f"data/_append={e['tag']}") for e in state["data"])
+        by = ["_partition", *(f for f, x in state["indexes"].items() if x["index_type"] == "INVERTED"), "_seq"]
+        rows = self._visible(state).repartitionByRange(max(1, -(-size // COMPACT_BYTES)), *by).sortWithinPartitions(*by)
+        entry = self._write(rows, 1, state["next_seq"] - 1, live=True)
+        self._replace(lambda s: {"data": [entry], "deletes": [], "dropped": {}}, state)
+
+    def merge_appends(self) -> None:
+        """Merges the appends that are smaller than COMPACT_BYTES, tombstones too, each kind to one folder; no row changes."""
+        state = self.state
+        small = [e for e in state["data"] if not e["live"] and self.files.size(f"data/_append={e['tag']}") < COMPACT_BYTES]
+        change = {}
+        if len(small) > 1:
+            rows = self._rows(small, state)
+            entry = self._write(rows.repartitionByRange(max(1, rows.rdd.getNumPartitions() // 64), "_partition", "_seq"), small[0]["low"], small[-1]["high"])
+            gone = {e["tag"] for e in small}
+            change["data"] = sorted([e for e in state["data"] if e["tag"] not in gone] + [entry], key=lambda e: e["low"])
+        if len(state["deletes"]) > 1:
+            tag = f"a{uuid.uuid4().hex[:16]}"
+            self.deletes(state).coalesce(1 + len(state["deletes"]) // 64).write.parquet(self.files.at(f"deletes/_append={tag}"))
+            change["deletes"] = [{"tag": tag, "low": state["deletes"][0]["low"], "high": state["deletes"][-1]["high"]}]
+        if change:
+            self._replace(lambda s: change, state)
 
     def collect_tombstones(self) -> None:
-        """Drops the tombstones up to the smallest ``_seq`` of the data."""
-        data = self.data()
-        self._swap_deletes(live.tombstone_watermark(data, self.deletes()) if not data.isEmpty() else None)
-
-    def _swap(self, rows: DataFrame | None, tombstones: DataFrame | None) -> None:
-        tag = uuid.uuid4().hex[:12]
-        if rows is not None:
-            size = sum(p.stat().st_size for p in Path(self._folder("data")).rglob("*.parquet"))
-            parts = max(1, -(-size // COMPACT_BYTES))
-            rows.repartitionByRange(parts, "_partition", "_seq").sortWithinPartitions("_partition", "_seq").write.partitionBy("_partition").parquet(str(self.path / f"data-{tag}"))
-        old = [self._folder("data"), self._folder("deletes")]
-        if tombstones is not None:
-            tombstones.write.parquet(str(self.path / f"deletes-{tag}"))
-        self._set(data=f"data-{tag}", deletes=f"deletes-{tag}")
-        self._discard(old)
-
-    def _swap_deletes(self, tombstones: DataFrame | None) -> None:
-        tag = uuid.uuid4().hex[:12]
-        if tombstones is not None:
-            tombstones.write.parquet(str(self.path / f"deletes-{tag}"))
-        old = [self._folder("deletes")]
-        self._set(deletes=f"deletes-{tag}")
-        self._discard(old)
-
-    def _discard(self, folders: list[str]) -> None:
-        kept = {str(self.path / s[k]) for s in self.state["snapshots"].values() for k in ("data", "deletes")}
-        for f in folders:
-            if f not in kept:
-                shutil.rmtree(f, ignore_errors=True)
+        """Drops the tombstones that no row of the log is older than; the smallest number of each append is known without reading it."""
+        state = self.state
+        if not state["data"]:
+            self._replace(lambda s: {"deletes": []}, state)
+            return
+        low = self.data(state).agg(F.min("_seq")).first()[0] if any(e["live"] for e in state["data"]) else min(e["low"] for e in state["data"])
+        kept = [e for e in state["deletes"] if low is not None and e["high"] > low]
+        self._replace(lambda s: {"deletes": kept}, state)
+
+    def _replace(self, of: Callable[[dict], dict], seen: dict | None = None) -> None:
+        """Changes the lists of folders, unless something was written since ``seen``, and removes the folders that nothing lists any more."""
+
+        def change(s: dict) -> dict:
+            if seen is not None and s["next_seq"] != seen["next_seq"]:
+                raise StateError("another writer was faster; nothing was replaced")
+            return of(s)
+
+        self._drop_unlisted(self._change(change))
+
+    def _listed(self, state: dict) -> set[str]:
+        return {f"{k}/_append={e['tag']}" for s in (state, *state["snapshots"].values()) for k in ("data", "deletes") for e in s[k]}
+
+    def _drop_unlisted(self, before: dict) -> None:
+        for f in self._listed(before) - self._listed(self.state):
+            self.files.remove(f)
+
+    def recover(self) -> int:
+        """Removes what failed writes have left behind and returns the number of folders; not while another writer is at work."""
+        listed, n = self._listed(self.state), 0
+        left = [f"{k}/{x}" for k in ("data", "deletes") for x in self.files.list(k) if x.startswith("_append=")]
+        for f in [x for x in left if x not in listed] + [x for x in self.files.list() if x.startswith("staged-")]:
+            self.files.remove(f)
+            n += 1
+        return n
 
     def create_snapshot(self, name: str, description: str = "") -> None:
-        s = self.state
-        if name in s["snapshots"]:
-            raise AlreadyExistsError(f"there is a snapshot {name!r}")
-        self._set(snapshots=s["snapshots"] | {name: {"seq": s["next_seq"] - 1, "data": s["data"], "deletes": s["deletes"], "description": description, "partitions": s["partitions"]}})
+        def change(s: dict) -> dict:
+            if name in s["snapshots"]:
+                raise AlreadyExistsError(f"there is a snapshot {name!r}")
+            return {"snapshots": s["snapshots"] | {name: {"seq": s["next_seq"] - 1, "description": description, **{k: s[k] for k in ("data", "deletes", "dropped", "partitions")}}}}
+
+        self._change(change)
 
     def list_snapshots(self) -> list[str]:
         return sorted(self.state["snapshots"])
@@ -605,26 +719,16 @@ class Collection:
     def drop_snapshot(self, name: str) -> None:
         if name not in self.state["snapshots"]:
             raise NotFoundError(f"no snapshot is called {name!r}")
-        s = self.state["snapshots"][name]
-        self._set(snapshots={k: v for k, v in self.state["snapshots"].items() if k != name})
-        now = {self.state["data"], self.state["deletes"]}
-        self._discard([str(self.path / s[k]) for k in ("data", "deletes") if s[k] not in now])
+        self._replace(lambda s: {"snapshots": {k: v for k, v in s["snapshots"].items() if k != name}})
 
     def snapshot_rows(self, name: str) -> DataFrame:
-        """The rows that were visible when the snapshot was made."""
+        """The rows that were visible when the snapshot was made, those of partitions dropped since included."""
         if name not in self.state["snapshots"]:
             raise NotFoundError(f"no snapshot is called {name!r}")
-        s = self.state["snapshots"][name]
-        kept, now = {k: s[k] for k in ("data", "deletes")}, {k: self.state[k] for k in ("data", "deletes")}
-        if kept == now:
-            return live.live_rows(self.data(), self.deletes(), self.pk, upto=s["seq"])
-        other = object.__new__(Collection)
-        other.__dict__ |= self.__dict__
-        other._folder = lambda what: str(self.path / kept[what])  # noqa: SLF001
-        return live.live_rows(other.data(), other.deletes(), self.pk, upto=s["seq"])
+        return self._visible(self.state["snapshots"][name])
 
 
-def _numbered(rows: DataFrame, base: int) -> tuple[DataFrame, int]:
+def numbered(rows: DataFrame, base: int) -> tuple[DataFrame, int]:
     """``rows`` (with the increasing ``_n`` of a written table) with consecutive ``_seq`` from ``base``, and their number.
 
     Offsets of the parts of ``_n`` are sums of the parts' counts; no row moves.

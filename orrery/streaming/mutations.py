@@ -2,40 +2,31 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from orrery.sources.store import Collection, write_json
+from orrery.sources.store import Collection
 
 
 def apply_mutations(stream: DataFrame, collection: Collection, checkpoint: str, op: str = "_op", **trigger: object) -> StreamingQuery:
     """Writes a stream of rows, ``op`` being ``upsert`` or ``delete``, into ``collection``, every micro-batch once.
 
-    The number of the last batch that was written stands beside the collection's state, so that a batch that is replayed after a
-    crash is skipped. Within a batch deletes come after upserts of the same key.
+    The number of the last batch is part of the state that makes its rows count, so a batch that is replayed after a
+    crash, wherever that was, is skipped or written whole. Within a batch deletes come after upserts of the same key.
     """
-    mark = Path(collection.path) / "stream.json"
 
     def write(batch: DataFrame, number: int) -> None:
-        if mark.exists() and json.loads(mark.read_text())["batch"] >= number:
-            return
         batch.persist()
         try:
             rows = batch.where(F.col(op) == "upsert").drop(op)
-            if not rows.isEmpty():
-                collection.insert(rows)
             gone = batch.where(F.col(op) == "delete").select(collection.pk)
-            if not gone.isEmpty():
-                collection._bury(gone, None)  # noqa: SLF001
+            collection.apply(None if rows.isEmpty() else rows, None if gone.isEmpty() else gone, number)
         finally:
             batch.unpersist()
-        write_json(mark, {"batch": number})
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

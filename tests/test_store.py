@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.errors import AlreadyExistsError, NotFoundError, QueryError, SchemaError, StateError
 from orrery.schema import CollectionSpec, FieldSpec, FunctionSpec
 from orrery.sources.catalog import Catalog
+from orrery.sources.store import Collection
 from orrery.streaming import apply_mutations, latest_state
 
 SPEC = CollectionSpec(
@@ -178,6 +179,113 @@ def test_search(catalog):
         c.search([[1.0, 0.0]], 1, "cosine")
 
 
+class Crash(Exception):
+    pass
+
+
+def test_failed_appends_never_come_back(catalog, monkeypatch):
+    c = catalog.create_collection("crashed", SPEC)
+    c.insert([row(1)])
+    with monkeypatch.context() as m:
+        m.setattr(Collection, "_commit", lambda *a, **k: (_ for _ in ()).throw(Crash()))
+        for wrong in (lambda: c.insert([row(100), row(101)]), lambda: c.delete([1]), lambda: c.upsert([{"id": 1, "title": "no"}])):
+            with pytest.raises(Crash):
+                wrong()
+    assert ids(c.query()) == [1]
+    c.insert([row(2), row(3)])
+    again = catalog.collection("crashed")
+    assert ids(again.query()) == [1, 2, 3] and again.query("id == 1").first().title is None
+    assert again.recover() == 3 and again.recover() == 0 and ids(again.query()) == [1, 2, 3]
+    c.compact()
+    assert ids(again.query()) == [1, 2, 3] and again.files.list("data") == [f"_append={again.state['data'][0]['tag']}"]
+
+
+def test_two_writers(catalog):
+    a = catalog.create_collection("two", SPEC)
+    b = catalog.collection("two")
+    state = a.state
+    entries, change, _ = a._append([row(1)], "_default", state)
+    b.insert([row(2)])
+    with pytest.raises(StateError):
+        a._commit(state["next_seq"], entries, **change)
+    assert ids(a.query()) == [2]
+    a.create_snapshot("s")
+    b.alter_properties({"x": 1})
+    assert a.state["properties"] == {"x": 1} and b.list_snapshots() == ["s"]
+
+
+def test_snapshots_pin_dropped_partitions(catalog):
+    c = catalog.create_collection("pins", SPEC)
+    c.create_partition("p")
+    c.insert([row(1), row(2)])
+    c.insert([row(7)], "p")
+    c.create_snapshot("s")
+    c.drop_partition("p")
+    assert ids(c.query()) == [1, 2] and ids(c.snapshot_rows("s")) == [1, 2, 7]
+    c.create_partition("p")
+    c.insert([row(8)], "p")
+    c.delete([1])
+    assert ids(c.query()) == [2, 8] and ids(c.query(partitions=["p"])) == [8]
+    c.compact()
+    assert ids(c.query()) == [2, 8] and ids(catalog.restore_snapshot("pins", "s", "old").query()) == [1, 2, 7]
+    c.drop_snapshot("s")
+    assert len(c.files.list("data")) == 1 and ids(c.query()) == [2, 8]
+
+
+def test_compacted_base_and_tail(catalog, monkeypatch):
+    from orrery.sources import store
+
+    c = catalog.create_collection("base", SPEC)
+    c.create_partition("p")
+    want = {}
+    rng = random.Random(2)
+    monkeypatch.setattr(store, "MERGE_APPENDS", 5)
+    for turn in range(14):
+        keys = rng.sample(range(12), 3)
+        if rng.random() < 0.35:
+            c.delete(keys)
+            want = {k: v for k, v in want.items() if k not in keys}
+        else:
+            c.insert([row(k, title=f"t{turn}") for k in keys], rng.choice(["_default", "p"]))
+            want |= {k: f"t{turn}" for k in keys}
+        if turn in (4, 9):
+            c.compact()
+        if turn == 11:
+            c.collect_tombstones()
+        assert {r.id: r.title for r in c.query().collect()} == want
+    assert len(c.state["data"]) + len(c.state["deletes"]) <= 6
+    c.compact()
+    plan = c.query("title == 't3'")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(title,t3)" in plan and "Aggregate" not in plan
+
+
+def test_batches_count_once(catalog, spark, monkeypatch):
+    c = catalog.create_collection("batches", CollectionSpec((FieldSpec("id", "INT64", primary=True, auto_id=True), FieldSpec("spot", "FLOAT_VECTOR", dim=2))))
+    rows = spark.createDataFrame([([1.0, 2.0],)], "spot array<float>")
+    assert c.apply(rows, None, 0) and not c.apply(rows, None, 0)
+    with monkeypatch.context() as m:
+        m.setattr(Collection, "_change", lambda *a: (_ for _ in ()).throw(Crash()))
+        with pytest.raises(Crash):
+            c.apply(rows, None, 1)
+    assert c.apply(rows, None, 1) and ids(c.query()) == [1, 2]
+
+
+def test_more_sparse_hits_than_any_limit(catalog, spark):
+    spec = CollectionSpec((FieldSpec("id", "INT64", primary=True), FieldSpec("body", "VARCHAR", analyzer={}), FieldSpec("kind", "INT32"), FieldSpec("terms", "SPARSE_FLOAT_VECTOR", nullable=True)), (FunctionSpec("f", "BM25", "body", "terms"),))
+    c = catalog.create_collection("many", spec)
+    c.insert(spark.range(20_000).select("id", F.lit("same words").alias("body"), (F.col("id") >= 17_000).cast("int").alias("kind")))
+    assert {r.kind for r in c.search(["words"], 5, field="terms", group_by="kind", output_fields=["kind"]).collect()} == {0, 1}
+    assert c.search(["words"], 5, field="terms", ranker={"functions": [{"params": {"filter": "kind == 1", "weight": 9.0}}]}).agg(F.min("id")).first()[0] == 17_000
+
+
+def test_grouped_fusion_of_distances(catalog):
+    c = catalog.create_collection("far", SPEC)
+    c.insert([row(1, tenant="a"), row(2, tenant="a"), row(9, tenant="b")])
+    both = [{"queries": [[1.0, 1.0]], "limit": 3, "metric": "L2"}] * 2
+    assert [r.id for r in c.hybrid_search(both, "max", 1, group_by="tenant").collect()] == [1]
+    assert [r.id for r in c.hybrid_search(both, "max", 2).orderBy("rank").collect()] == [1, 2]
+
+
 def test_catalog(catalog):
     catalog.create_database("other", {"timezone": "Europe/Rome"})
     c = catalog.create_collection("c", SPEC, database="other")
