@@ -74,7 +74,7 @@ def _number(params: dict, name: str, default: Any = None) -> float:
 
 
 def expression(name: str, params: dict[str, Any], timestamps: set[str] = frozenset(), inputs: list[str] = ()) -> Callable[..., Column]:
-    """The function expression ``name``: decay, num_combine, round_decimal, or rerank_model (with a provider's column function)."""
+    """The function expression ``name``: decay, num_combine (or score_combine), round_decimal, or rerank_model (with a provider's column function)."""
     if name == "decay":
         unknown = set(params) - {"function", "origin", "scale", "offset", "decay"}
         if unknown:
@@ -83,7 +83,7 @@ def expression(name: str, params: dict[str, Any], timestamps: set[str] = frozens
         timed = bool(inputs) and inputs[0] in timestamps
         fusion.decay(F.lit(0.0), *args)
         return lambda c: fusion.decay(temporal.epoch_seconds(c) if timed else c, *args)
-    if name == "num_combine":
+    if name in ("num_combine", "score_combine"):
         mode, weights = params.get("mode", "sum"), params.get("weights")
         fusion.num_combine([F.lit(0.0)] * max(2, len(inputs)), mode, weights)
         return lambda *c: fusion.num_combine(list(c), mode, weights)
@@ -147,7 +147,7 @@ def hybrid(routes: list[tuple[DataFrame, str]], how: str, limit: int, *, offset:
     if decay_of is not None:
         hits = hits.withColumn("score", F.col("score") * expression("decay", decay_params or {})(F.col(decay_of)))
     if group is not None:
-        hits = fusion.group_hits(hits, group, limit, group_size, offset=offset)
+        hits = fusion.group_hits(hits, group, limit, group_size, offset=offset, ascending=ascending)
     else:
         hits = top_k(hits, fusion.sort_key("score", not ascending), limit, offset)
     return hits.withColumn("score", fusion.round_decimal(F.col("score"), digits)) if digits is not None else hits
