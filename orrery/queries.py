@@ -5,6 +5,7 @@ Searches take every row whose id is divisible by 50 as a query, against all rows
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,8 @@ from orrery.operators.knn import MATRIX_QUERIES, grouped_top_k, knn, knn_matrix,
 from orrery.plans.chain import Chain, expression, from_spec, hybrid
 from orrery.plans.filter import predicate
 from orrery.schema import CollectionSpec, FieldSpec
-from orrery.sources.store import key_bucket
+from orrery.sources.files import shared_folder
+from orrery.sources.store import key_bucket, numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,6 +226,20 @@ def hybrid_grouped(spark: SparkSession, sf: str) -> DataFrame:
     return shown(hits, "rank", "group_rank").join(hits.select("qid", "id", F.round("group_score", 6).alias("group_score")), ["qid", "id"])
 
 
+@query(f"""WITH {_Q}, {_scores("L2", name="s1")},
+s2 AS (SELECT q.qid, e.vec_id AS id, e.label, power(list_distance(list_reverse(e.embedding::DOUBLE[]), q.qv), 2) AS score FROM embeddings e, q),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s1) WHERE rank <= 20 UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM s2) WHERE rank <= 20),
+f AS (SELECT qid, id, any_value(label) AS label, max(score) AS score FROM u GROUP BY qid, id),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score, id) AS rank FROM f) WHERE rank <= 2),
+o AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS group_rank FROM k WHERE rank = 1)
+SELECT k.qid, k.id, round(k.score, 6) AS score, k.rank, o.group_rank FROM k JOIN o USING (qid, label) WHERE group_rank <= 3""")
+def hybrid_grouped_l2(spark: SparkSession, sf: str) -> DataFrame:
+    """Distances alone: the group with the smallest comes first."""
+    v, q = vectors(spark, sf), probes(spark, sf)
+    routes = [(knn(x, q, "L2", 20).select("qid", "id", "score", "label"), "L2") for x in (v, v.withColumn("vector", F.reverse("vector")))]
+    return shown(hybrid(routes, "max", 3, group="label", group_size=2), "rank", "group_rank")
+
+
 @query(f"""WITH {_Q}, {_scores("COSINE")},
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 30),
 m AS (SELECT qid, id, round(0.5 * score + 0.5 * {_DECAYS['linear']}, 4) AS score FROM r),
@@ -296,9 +312,8 @@ SELECT qid, id, round(score, 3) AS score, rank FROM r WHERE rank <= 10"""
 
 def _bm25(spark: SparkSession, sf: str, where: Column | None = None) -> DataFrame:
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    hits = fulltext.bm25(documents(spark, sf), q, text.analyzer(), 16, where=where)
     # scores that differ in the last bits only are ties
-    return shown(top_k(hits.drop("rank").withColumn("score", F.round("score", 9)), order("COSINE"), 10), "rank", score=F.round("score", 3))
+    return shown(fulltext.bm25(documents(spark, sf), q, text.analyzer(), 10, where=where, digits=9), "rank", score=F.round("score", 3))
 
 
 query(_bm25_sql(), "bm25_topk")(lambda spark, sf: _bm25(spark, sf))
@@ -508,9 +523,11 @@ def live_partitions(spark: SparkSession, sf: str) -> DataFrame:
     return live.live_rows(*_log(spark, sf), "pk", ["p1", "p2"]).select("pk", "_seq")
 
 
-@query(f"WITH {_LIVE.replace('FROM events WHERE', 'FROM events WHERE event_id <= 700 AND')} SELECT pk, _seq, value FROM live")
+@query(f"WITH {_LIVE.replace('FROM events WHERE', 'FROM events WHERE event_id <= (SELECT max(event_id) // 2 FROM events) AND')} SELECT pk, _seq, value FROM live")
 def snapshot_as_of_seq(spark: SparkSession, sf: str) -> DataFrame:
-    return live.live_rows(*_log(spark, sf), "pk", upto=700).select("pk", "_seq", "value")
+    """The log as it was at half of its numbers."""
+    half = events(spark, sf).agg(F.max("event_id")).first()[0] // 2
+    return live.live_rows(*_log(spark, sf), "pk", upto=half).select("pk", "_seq", "value")
 
 
 @query(f"WITH {_LIVE}, c AS (SELECT user_id AS pk, max(event_id) AS value FROM events WHERE event_type = 'click' GROUP BY user_id) SELECT c.pk, c.value::DOUBLE AS value, live.event_type FROM c LEFT JOIN live USING (pk)")
@@ -564,14 +581,10 @@ def num_entities_by_partition(spark: SparkSession, sf: str) -> DataFrame:
 def get_by_pk(spark: SparkSession, sf: str) -> DataFrame:
     """Rows for a list of keys with repeats: the orders of all line items, in their order."""
     keys = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), "l_linenumber")
-    from pyspark.sql import Window
-
-    # positions by a range sort: count rows before each range, then number inside it
-    ranged = keys.repartitionByRange("k", "l_linenumber").sortWithinPartitions("k", "l_linenumber").withColumn("_n", F.monotonically_increasing_id())
-    part = F.shiftright("_n", 33)
-    sizes = ranged.groupBy(part.alias("p")).count()
-    before = sizes.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("p", "before")
-    placed = ranged.join(F.broadcast(before), part == F.col("p")).select((F.col("before") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).alias("pos"), "k")
+    # written once in order, then numbered by the sizes of the parts before: no part is computed twice
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    keys.repartitionByRange("k", "l_linenumber").sortWithinPartitions("k", "l_linenumber").withColumn("_n", F.monotonically_increasing_id()).write.parquet(path)
+    placed = numbered(spark.read.parquet(path), 0)[0].select(F.col("_seq").alias("pos"), "k")
     return placed.join(read(spark, sf, "orders"), F.col("k") == F.col("o_orderkey")).select("pos", "o_orderkey", "o_totalprice")
 
 
@@ -589,4 +602,6 @@ def collection_from_tables(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(predicate("r_name in ['ASIA', 'EUROPE'] or c_acctbal < 0", spec)).select("c_custkey", "c_mktsegment", "n_name", "r_name")
 
 
-__all__ = ["QUERIES", "SQL", "grouped_top_k"]
+from orrery import store_queries  # noqa: E402  adds its queries to the ones here
+
+__all__ = ["QUERIES", "SQL", "grouped_top_k", "store_queries"]
