@@ -5,6 +5,10 @@ two vectors lie within the squared distance that the threshold allows, then in s
 (shares in proportion to the blocks' variance). Each block is range-joined by strips as wide as
 its share along its first axis; what comes near in a block is verified exactly. A pair belongs to the first block in
 which it is near, so every link is counted once, and only counts and a spanning forest leave a task.
+
+Strips are worth their copies (two a block) only where vectors spread over many of them. Their sizes are counted before a vector moves: a
+label whose strips would save less than SAVING of all comparisons is one block with the whole budget, in which every two of its
+vectors are compared once, on the leading axes first.
 """
 
 from __future__ import annotations
@@ -24,6 +28,12 @@ THRESHOLD = 0.93
 BLOCK_DIM = 16
 #: Vectors of one side of a comparison; fuller strips are split and compared chunk by chunk.
 CHUNK = 2048
+#: The same where a label is one block: its vectors move once for each chunk of it.
+WHOLE_CHUNK = 16_384
+#: Share of a label's comparisons that strips must save.
+SAVING = 0.8
+#: Leading axes on which vectors of a label that is one block are compared first.
+LEAD = 16
 #: Above so many dimensions a seeded random rotation takes the place of the principal axes.
 MOST_AXES = 512
 _LEAST = -(1 << 63)
@@ -103,6 +113,12 @@ def _edges(dim: int) -> np.ndarray:
     return np.cumsum([0, *(len(range(i, dim, blocks)) for i in range(blocks))])
 
 
+def _leading(cut: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` axes of most variance: axes are dealt to the blocks in that order, so they stand first in the blocks."""
+    place = np.concatenate([np.arange(b - a) for a, b in zip(cut[:-1], cut[1:])])
+    return np.argsort(place, kind="stable")[:n]
+
+
 def _linked_tile(rot: np.ndarray, unit: np.ndarray, a: np.ndarray, b: np.ndarray, cut: np.ndarray, block: int, most: np.ndarray, threshold: float, near: np.ndarray) -> np.ndarray:
     """Which pairs of a x b are linked and first near in ``block``: products decide what is clear, the rest is computed pair by pair."""
 
@@ -116,7 +132,7 @@ def _linked_tile(rot: np.ndarray, unit: np.ndarray, a: np.ndarray, b: np.ndarray
         return out
 
     own = near
-    for k in range(block, -1, -1):
+    for k in range(block, -1, -1):  # none where the label is one block
         x, y = rot[a, cut[k] : cut[k + 1]], rot[b, cut[k] : cut[k + 1]]
         d = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
         there = split(d, most[k], lambda m, o, k=k: np.add.reduceat((rot[m] - rot[o]) ** 2, cut[:-1], axis=1)[:, k])
@@ -163,18 +179,39 @@ def _links(per: DataFrame, dim: int, threshold: float) -> DataFrame:
                 for side in (0, 1):
                     yield pa.record_batch([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(np.full(len(strip), k, dtype=np.int32)), pa.array(strip + side), pa.array(np.full(len(strip), side, dtype=np.int32))], names=["nid", "copies", "label", "raw", "block", "strip", "side"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, _ = shared.value
+        for b in batches:
+            if b.num_rows:
+                r = _unit(b.column(1).to_pylist(), dim) @ turn
+                at = np.concatenate([np.stack([b.column(0).to_numpy(), np.full(len(r), k), np.floor(r[:, cut[k]] / width[k]).astype(np.int64)], axis=1) for k in range(len(cut) - 1)])
+                at, h = np.unique(at, axis=0, return_counts=True)
+                yield pa.record_batch([pa.array(at[:, 0]), pa.array(at[:, 1].astype(np.int32)), pa.array(at[:, 2].astype(np.int32)), pa.array(h)], names=["label", "block", "strip", "h"])
+
     cell = ["label", "block", "strip"]
-    placed = per.where(F.col("dim") == dim).select("nid", "copies", "label", "raw").mapInArrow(place, "nid long, copies long, label long, raw binary, block int, strip int, side int")
-    full = table(placed.groupBy(*cell).agg(F.count(F.when(F.col("side") == 0, 1)).alias("h"), F.count(F.when(F.col("side") == 1, 1)).alias("g")).where((F.col("h") > CHUNK) | (F.col("g") > CHUNK)).select(*cell, F.ceil(F.greatest(F.col("h"), F.lit(1)) / CHUNK).cast("int").alias("ch"), F.ceil(F.greatest(F.col("g"), F.lit(1)) / CHUNK).cast("int").alias("cg")))
-    rows = placed.join(sized_broadcast(full, 40), cell, "left")
+    own = per.where(F.col("dim") == dim).select("nid", "copies", "label", "raw")
+    placed = "nid long, copies long, label long, raw binary, block int, strip int, side int"
+    held = own.select("label", "raw").mapInArrow(count, "label long, block int, strip int, h long").groupBy(*cell).agg(F.sum("h").cast("double").alias("h"))
+    sides = held.withColumn("g", F.lit(0.0)).unionByName(held.select("label", "block", (F.col("strip") + 1).alias("strip"), F.lit(0.0).alias("h"), F.col("h").alias("g")))
+    sizes = table(sides.groupBy(*cell).agg(F.sum("h").alias("h"), F.sum("g").alias("g")))
+    cost = sizes.groupBy("label").agg(F.sum(F.col("h") * F.col("h") / 2 + F.col("h") * F.col("g")).alias("strips"), F.sum(F.when(F.col("block") == 0, F.col("h"))).alias("n"))
+    whole = table(cost.where(F.col("strips") > (1 - SAVING) * F.col("n") * F.col("n") / 2).select("label", F.ceil(F.col("n") / WHOLE_CHUNK).cast("int").alias("ch")))
+    known = sized_broadcast(whole, 24)
+    full = sizes.where((F.col("h") > CHUNK) | (F.col("g") > CHUNK)).select(*cell, F.ceil(F.greatest(F.col("h"), F.lit(1)) / CHUNK).cast("int").alias("ch"), F.ceil(F.greatest(F.col("g"), F.lit(1)) / CHUNK).cast("int").alias("cg"))
+    alone = own.join(known, "label").select("nid", "copies", "label", "raw", F.lit(-1).alias("block"), F.lit(0).alias("strip"), F.lit(0).alias("side"), "ch", F.lit(0).alias("cg"))
+    if whole.count() < cost.count():
+        rows = own.join(known, "label", "left_anti").select(*own.columns).mapInArrow(place, placed).join(sized_broadcast(full, 40), cell, "left").select(*alone.columns).unionByName(alone)
+    else:
+        rows = alone
     mine = F.when(F.col("side") == 0, F.pmod(F.xxhash64("nid"), F.coalesce("ch", F.lit(1)))).otherwise(F.coalesce("ch", F.lit(1)) + F.pmod(F.xxhash64("nid"), F.coalesce("cg", F.lit(1)))).cast("int")
     rows = rows.withColumn("u", mine)
     meets = F.expr("""
         CASE WHEN ch IS NULL THEN array(struct(-1 AS p, -1 AS q))
              WHEN side = 0 THEN concat(transform(sequence(0, ch - 1), x -> struct(least(x, u) AS p, greatest(x, u) AS q)),
-                                       transform(sequence(ch, ch + cg - 1), x -> struct(u AS p, x AS q)))
+                                       IF(cg > 0, transform(sequence(ch, ch + cg - 1), x -> struct(u AS p, x AS q)), array()))
              ELSE transform(sequence(0, ch - 1), x -> struct(x AS p, u AS q)) END""")
     rows = rows.withColumn("meet", F.explode(meets)).select(*cell, "meet.p", "meet.q", "u", "side", "nid", "copies", "raw")
+    lead = axes[:, _leading(cut, LEAD)]
 
     def compare(t: pa.Table) -> pa.Table:
         turn, most = shared.value
@@ -187,12 +224,13 @@ def _links(per: DataFrame, dim: int, threshold: float) -> DataFrame:
         b = np.flatnonzero(side == 1 if p < 0 else u == q)
         n = np.zeros(len(nid), dtype=np.int64)
         us, vs = [], []
-        x = rot[:, cut[block] : cut[block + 1]]
-        sq = (x * x).sum(axis=1)
+        x = rot[:, cut[block] : cut[block + 1]] if block >= 0 else unit @ lead
+        sq, limit = (x * x).sum(axis=1), most[block] if block >= 0 else float(most.sum())
         for left, right, same in ((a, a, True),) * (p < 0 or p == q) + ((a, b, False),) * (p < 0 or p != q):
-            for i in range(0, len(left), 512):
-                l = left[i : i + 512]  # noqa: E741
-                near = sq[l][:, None] + sq[right][None, :] - 2 * (x[l] @ x[right].T) <= most[block] + 1e-7
+            step = max(32, min(512, (1 << 21) // max(1, len(right))))
+            for i in range(0, len(left), step):
+                l = left[i : i + step]  # noqa: E741
+                near = sq[l][:, None] + sq[right][None, :] - 2 * (x[l] @ x[right].T) <= limit + 1e-7
                 if near.sum() > near.size // 8:  # a cluster: all in matrix products, no list of pairs
                     link = _linked_tile(rot, unit, l, right, cut, block, most, threshold, near)
                     if same:
@@ -209,9 +247,10 @@ def _links(per: DataFrame, dim: int, threshold: float) -> DataFrame:
                     li, ri = li[ok], ri[ok]
                 for c in range(0, len(li), 1 << 16):
                     m, o = l[li[c : c + (1 << 16)]], right[ri[c : c + (1 << 16)]]
-                    d = np.add.reduceat((rot[m] - rot[o]) ** 2, cut[:-1], axis=1) <= most
-                    ok = d[:, block] & ~d[:, :block].any(axis=1)
-                    m, o = m[ok], o[ok]
+                    if block >= 0:
+                        d = np.add.reduceat((rot[m] - rot[o]) ** 2, cut[:-1], axis=1) <= most
+                        ok = d[:, block] & ~d[:, :block].any(axis=1)
+                        m, o = m[ok], o[ok]
                     ok = (unit[m] * unit[o]).sum(axis=1) >= threshold
                     m, o = m[ok], o[ok]
                     np.add.at(n, m, copies[o])

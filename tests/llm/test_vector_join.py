@@ -41,9 +41,12 @@ def made(dim, n):
     return rows
 
 
-@pytest.mark.parametrize("dim,chunk,kind", [(64, 2048, "double"), (64, 7, "float"), (5, 16, "double"), (40, 2048, "float")])
-def test_join(spark, monkeypatch, dim, chunk, kind):
+@pytest.mark.parametrize("dim,chunk,kind,saving", [(64, 2048, "double", -9), (64, 7, "float", 1), (64, 7, "float", -9), (5, 16, "double", 0.2), (40, 2048, "float", 1)])
+def test_join(spark, monkeypatch, dim, chunk, kind, saving):
+    """In strips (a saving of -9 is always reached), whole (1 never is), and by what is counted."""
     monkeypatch.setattr(vector_join, "CHUNK", chunk)
+    monkeypatch.setattr(vector_join, "WHOLE_CHUNK", chunk)
+    monkeypatch.setattr(vector_join, "SAVING", saving)
     rows = made(dim, 150)
     rows += [rows[3], (1, rows[3][1], rows[3][2]), (2, None, 1), (3, [], 1), (4, [0.0] * dim, 1), (5, [float("nan")] * dim, 1), (6, [None] * dim, 1), (7, rows[0][1], None), (None, rows[0][1], rows[0][2]), (8, rows[0][1][:-1], rows[0][2]), (9, [x * 3 for x in rows[0][1]], rows[0][2])]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], f"vec_id long, embedding array<{kind}>, label int, copies int, key string").repartition(3)
