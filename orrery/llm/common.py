@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A value that at least one row in HOT_SHARE has is hot; there are at most HOT_SHARE such values.
@@ -22,6 +22,8 @@ HOT_SHARE = 1000
 DRIVER_EDGES = 1_000_000
 #: Bytes of the largest table that is broadcast after its size was measured.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of a bucket of a table that is joined several times.
+BUCKET = 64 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
@@ -55,14 +57,79 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_own['dir']}"
 
 
-def table(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors."""
+def table(df: DataFrame, among: list[str] | None = None, by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``among`` takes its folder, for ``discard``; the values of ``by`` get folders of their own, so that a filter on it reads no others.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    if among is not None:
+        among.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, size: int, among: list[str]) -> DataFrame:
+    """``df``, which a shuffle has partitioned by ``key``, in buckets of about BUCKET bytes of its ``size``: joins on the key move the other side only."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts * max(1, -(-size // (BUCKET * parts)))  # a multiple, so that a task writes whole buckets
+    name, path = f"orrery_{uuid.uuid4().hex}", f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    among += [name, path]
+    df.write.bucketBy(n, key).sortBy(key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(spark: SparkSession, among: list[str]) -> None:
+    """Removes scratch tables that nothing reads any more."""
+    for x in among:
+        if "/" not in x:
+            spark.sql(f"DROP TABLE IF EXISTS {x}")
+            continue
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)  # noqa: SLF001
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)  # noqa: SLF001
+    among.clear()
+
+
+def likely(keys: DataFrame, most_bits: int = 1 << 27) -> Callable[[Column], Column]:
+    """Whether a digest may be among ``keys`` (one column of digests of 16 bytes), by a Bloom filter of bounded size; never false for one that is."""
+    spark = keys.sparkSession
+    bits = min(most_bits, 1 << max(13, (32 * keys.count()).bit_length()))
+
+    def places(digests: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(digests), dtype="<u8") % np.uint64(bits)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(bits, dtype=bool)
+        for b in batches:
+            field[places(b.column(0).to_pylist())] = True
+        yield pa.record_batch([pa.array([np.packbits(field).tobytes()], pa.binary())], names=["b"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(bits // 8, dtype=np.uint8)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                field |= np.frombuffer(x, dtype=np.uint8)
+        yield pa.record_batch([pa.array([field.tobytes()], pa.binary())], names=["b"])
+
+    field = np.zeros(bits // 8, dtype=np.uint8)
+    for r in keys.mapInArrow(mark, "b binary").repartition(4).mapInArrow(merge, "b binary").collect():
+        field |= np.frombuffer(r.b, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(field)
+
+    @F.pandas_udf("boolean")
+    def test(digest):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        k = places(digest.tolist())
+        hit = (shared.value[(k >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (k & np.uint64(7))).astype(np.uint8)) & 1
+        return pd.Series(hit.reshape(-1, 2).all(axis=1))
+
+    return test
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """``left`` joined with ``right``, whose ``key`` is unique, safe where a few keys hold most rows.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import BROADCAST_BYTES, Scatter, bounded_batches, lookup, records, table, trim
+from orrery.llm.common import BROADCAST_BYTES, Scatter, bounded_batches, bucketed, discard, likely, lookup, records, table, trim
 from orrery.llm.textbytes import BASE, IS_ALNUM, buffers, mix, pieces, powers, prefix_hash, word_hashes
 
 WIDTH = 400
@@ -361,21 +361,21 @@ def _remove(marked: DataFrame, width: int, with_text: bool) -> DataFrame:
     return marked.select("key", "text", "spans").mapInArrow(cut, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _repeats(occ: DataFrame, kinds: DataFrame, work: DataFrame, level: Level) -> DataFrame:
+def _repeats(occ: DataFrame, kinds: DataFrame, work: DataFrame, level: Level, scratch: list[str]) -> DataFrame:
     """Second and third pass at one level: (key, spans, bytes), spans the repeated starts of a text."""
     several = kinds.groupBy("digit").agg(F.count("*").alias("c")).where("c > 1").select("digit")
-    opened = table(lookup(kinds.select("digit", "one", "shared", "content"), several, "digit", "inner").select("one.*", "shared", "content")).withColumn("aid", F.monotonically_increasing_id())
-    opened = table(opened)
+    opened = table(lookup(kinds.select("digit", "one", "shared", "content"), several, "digit", "inner").select("one.*", "shared", "content"), scratch).withColumn("aid", F.monotonically_increasing_id())
+    opened = table(opened, scratch)
     spans = opened.groupBy("key").agg(F.collect_list(F.struct("s", "e", "aid", "shared")).alias("spans"), (F.count("*") * 24).alias("bytes"))
     n_windows = opened.agg(F.coalesce(F.sum(F.col("e") - F.col("s") + 1), F.lit(0))).first()[0]
     size = (_WORDS if level.words else _LAST).itemsize
-    hits = table(_windows(_of_texts(work.select("key", "text"), table(spans), "spans"), max(1, math.ceil(n_windows * size / BUCKET_BYTES)), level))
+    hits = table(_windows(_of_texts(work.select("key", "text"), table(spans, scratch), "spans"), max(1, math.ceil(n_windows * size / BUCKET_BYTES)), level), scratch)
     whole = lookup(occ.select("key", "s", "e", "content"), kinds.where("shared").select("content"), "content", "inner").select("key", "s", "e", F.lit(None).cast("binary").alias("offs"))
     part = hits.join(opened, "aid")
     if level.words:  # a run may stand several times in its one text
-        part = lookup(occ.select("key", "s", "e", "content"), table(part.where("NOT shared").select("content", "offs")), "content", "inner")
+        part = lookup(occ.select("key", "s", "e", "content"), table(part.where("NOT shared").select("content", "offs"), scratch), "content", "inner")
     part = part.select("key", "s", "e", "offs")
-    return table(whole.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("s", "e", "offs")).alias("spans"), F.sum(F.coalesce(F.octet_length("offs"), F.lit(0)) + 16).alias("bytes")))
+    return table(whole.unionByName(part).groupBy("key").agg(F.collect_list(F.struct("s", "e", "offs")).alias("spans"), F.sum(F.coalesce(F.octet_length("offs"), F.lit(0)) + 16).alias("bytes")), scratch)
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, with_text: bool = False, passage: int | None = None) -> DataFrame:
@@ -394,28 +394,30 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, with_text: bool = False,
     base = table(docs.select("doc_id", F.unhex(F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary"))).alias("key"), F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256).alias("all_sha256")))
     per = base.groupBy("key").agg(F.count("*").alias("n"), F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).alias("d"))
     total = base.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    first = table(_anchors(texts, levels, total))
+    scratch: list[str] = []
+    first = table(_anchors(texts, levels, total), scratch)
     marks = [F.collect_list(F.when(F.col("level") == k, F.col("runs"))).alias(f"runs{k}") for k in range(len(levels))]
-    lists = table(first.where("runs IS NOT NULL").groupBy("key").agg(*marks, F.sum(F.octet_length("runs") + 8).alias("bytes")).join(per, "key"))
-    small = lists.agg(F.coalesce(F.sum(F.col("bytes") + 80), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    own = lists.drop("bytes")
-    work = table(texts.join(F.broadcast(own) if small else own, ["key", "d"]).dropDuplicates(["key"]).select("key", "n", "text", *(f"runs{k}" for k in range(len(levels)))))
-
-    occ = table(_contents(work, levels))
-    elsewhere = F.sum("n") > 1
-    if passage:
-        elsewhere = F.when(F.col("level") == 0, elsewhere).otherwise((F.min("key") != F.max("key")) | (F.max("n") > 1))
-    kinds = table(occ.groupBy("level", "content").agg(elsewhere.alias("shared"), F.min_by(F.struct("key", "s", "e"), F.struct("key", "s")).alias("one"), F.first("digit").alias("digit")))
-    gone = [_repeats(occ.where(F.col("level") == k), kinds.where(F.col("level") == k), work, x) for k, x in enumerate(levels)]
-    result = table(_remove(_of_texts(work.select("key", "text"), gone[0], "spans"), width, with_text))
+    lists = table(first.where("runs IS NOT NULL").groupBy("key").agg(*marks).join(per, "key"), scratch)
+    # one row of each text that shares a digit moves, once
+    row = lambda: F.unhex(F.md5(F.concat("key", F.col("d").cast("string").cast("binary"))))
+    some = texts.where(likely(lists.select(row().alias("row")))(row())).select("key", "text").dropDuplicates(["key"])
+    work = bucketed(some.join(lists.hint("shuffle_merge"), "key").select("key", "n", "text", *(f"runs{k}" for k in range(len(levels)))), "key", total, scratch)
+
+    found = table(_contents(work, levels), scratch, "level")
+    occ = [found.where(F.col("level") == k) for k in range(len(levels))]
+    elsewhere = (F.min("key") != F.max("key")) | (F.max("n") > 1)
+    kinds = [table(x.groupBy("content").agg((elsewhere if k else F.sum("n") > 1).alias("shared"), F.min_by(F.struct("key", "s", "e"), F.struct("key", "s")).alias("one"), F.first("digit").alias("digit")), scratch) for k, x in enumerate(occ)]
+    gone = [_repeats(*x, work, level, scratch) for *x, level in zip(occ, kinds, levels)]
+    result = table(_remove(_of_texts(work.select("key", "text"), gone[0], "spans"), width, with_text), scratch)
 
     copies = per.where("n > 1").select("key", F.lit(True).alias("copied"))
     if passage:
         words = first.where("runs IS NULL").groupBy("key").agg(F.max("n").alias("n_shared"))
         copied = words.join(copies, "key", "left_semi")
-        part = table(_counted(gone[1], passage)).join(copies, "key", "left_anti")
+        part = table(_counted(gone[1], passage), scratch).join(copies, "key", "left_anti")
         result = result.join(copied.unionByName(part), "key", "full")
     result = table(copies.join(result, "key", "full"))
+    discard(spark, scratch)
     out = lookup(base, result, "key")
     all_gone = F.col("copied") & (F.col("n_bytes") >= width)
     empty = hashlib.sha256(b"").hexdigest()
