@@ -2,11 +2,11 @@
 
 Equal sets are one set with a count: their answers are the same. Each distinct set is indexed under the
 rarest grams of its prefix (two linked sets share one of those). Index lists are ordered by size and
-carry positions, so that whole blocks of a list that can't reach the required overlap are skipped.
-Highly similar sets are gathered in balls around a first set: a ball is indexed once, its members are kept as
-differences to the first set, and the overlaps of a member are those of the shared grams plus its own differences, so a set's answers follow
-from those of its ball without another look at the lists. Only counts and a spanning forest
-leave a comparison of two balls, never all pairs.
+carry positions, kept in blocks with the best position of each: a block from which nothing can reach the required overlap is skipped whole.
+Highly similar sets are gathered in balls around a first set: a ball is indexed once, and its members are kept as
+differences to the first set. Two balls are compared by the overlap of their first sets; every other overlap is derived from that
+answer by adding and taking off what the differences have in common with the other side, without the sets themselves. Only counts and a
+spanning forest leave a comparison of two balls, never all pairs.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ BALL_GRAMS = 1 << 20
 BUCKET_BYTES = 8 << 20
 #: An index list of more balls is split: its balls are dealt to blocks and each two blocks meet in a task of their own.
 HOT_LIST = 100_000
+#: Postings in a block of an index list.
+SKIP = 32
 _LEAST = -(1 << 63)
 
 _POST = np.dtype([("h", "<u8"), ("ball", "<i8"), ("lo", "<i4"), ("hi", "<i4"), ("pos", "<i4")])
@@ -55,6 +57,11 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(row_id(docs["doc_id"]).alias("d"), F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """``_source`` with the digest of the text: the two tell rows apart."""
+    return _source(docs).withColumn("digest", text_digest(F.col("text")))
+
+
 def row_id(doc_id: Column) -> Column:
     """The id as a long that is never null."""
     return F.coalesce(doc_id.cast("long"), F.lit(_LEAST))
@@ -65,8 +72,8 @@ def text_digest(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def _survey(docs: DataFrame, digests: bool) -> DataFrame:
-    """Per row (d, key, n, m1, digest of the text if asked for), and per task the counts of its distinct sets' grams by cell (block, counts)."""
+def _survey(docs: DataFrame) -> DataFrame:
+    """Per row (d, key, n, m1, digest of the text), and per task the counts of its distinct sets' grams by cell (block, counts)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, dtype=np.uint32)
@@ -93,8 +100,7 @@ def _survey(docs: DataFrame, digests: bool) -> DataFrame:
         del cells
         trim()
 
-    digest = text_digest(F.col("text")) if digests else F.lit(None).cast("binary")
-    return _source(docs).withColumn("digest", digest).mapInArrow(scan, "d long, key binary, n int, m1 long, block int, counts binary, digest binary")
+    return _rows(docs).mapInArrow(scan, "d long, key binary, n int, m1 long, block int, counts binary, digest binary")
 
 
 def _levels(parts: DataFrame) -> np.ndarray:
@@ -307,17 +313,29 @@ def _candidates(balls: DataFrame, buckets: int, hot: dict[int, int]) -> DataFram
         group = np.repeat(np.arange(len(at)), n)
         big = np.int64(1) << 32
         stop = np.minimum(end, np.searchsorted(group * big + lo, group * big + np.minimum(reach, big - 1), side="right"))
-        many = np.maximum(stop - np.arange(len(r)) - 1, 0)
+        rest = hi - pos
+        # blocks of SKIP postings, whatever list they are of: the smallest size and the largest rest bound what a posting in them can share
+        edge = np.arange(0, len(r), SKIP)
+        least, most = np.minimum.reduceat(lo, edge), np.maximum.reduceat(rest, edge)
+        begin = np.arange(len(r)) + 1
+        many = np.where(stop > begin, (stop - 1) // SKIP - begin // SKIP + 1, 0)
         found = [np.zeros(0, dtype=[("a", "<i8"), ("b", "<i8")])]
         i = 0
         total = np.r_[0, np.cumsum(many)]
         while i < len(r):
-            j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 20), side="right")) - 1)
+            j = max(i + 1, int(np.searchsorted(total, total[i] + (1 << 16), side="right")) - 1)
             x = np.repeat(np.arange(i, j), many[i:j])
-            y = np.arange(len(x)) - np.repeat(total[i:j] - total[i], many[i:j]) + x + 1
+            block = np.arange(len(x)) - np.repeat(total[i:j] - total[i], many[i:j]) + begin[x] // SKIP
+            # what stands behind x is not smaller than x, nor than the smallest of its block
+            open_ = np.minimum(rest[x], most[block]) >= -(-NUM * (lo[x] + np.maximum(least[block], lo[x])) // (DEN + NUM))
+            x, block = x[open_], block[open_]
+            low, high = np.maximum(begin[x], block * SKIP), np.minimum(stop[x], (block + 1) * SKIP)
+            n = high - low
+            y = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            x = np.repeat(x, n)
             # at the first gram that two linked sets share, what follows it must hold the required overlap
             need = -(-NUM * (lo[x] + lo[y]) // (DEN + NUM))
-            ok = (np.minimum(hi[x] - pos[x], hi[y] - pos[y]) >= need) & (ball[x] != ball[y])
+            ok = (np.minimum(rest[x], rest[y]) >= need) & (ball[x] != ball[y])
             p = np.empty(int(ok.sum()), dtype=found[0].dtype)
             p["a"], p["b"] = np.minimum(ball[x[ok]], ball[y[ok]]), np.maximum(ball[x[ok]], ball[y[ok]])
             found.append(np.unique(p))
@@ -325,7 +343,7 @@ def _candidates(balls: DataFrame, buckets: int, hot: dict[int, int]) -> DataFram
                 found = [np.unique(np.concatenate(found))]
             i = j
         p = np.unique(np.concatenate(found))
-        del found, r, h, lo, hi, pos, ball, group, total, many, stop, end, reach
+        del found, r, h, lo, hi, pos, rest, ball, group, total, many, stop, end, reach
         trim()
         return pa.table({"a": pa.array(p["a"]), "b": pa.array(p["b"])})
 
@@ -343,43 +361,56 @@ def _freeze(members: list[tuple[int, int, np.ndarray]]) -> bytes:
     return b"".join(out + [p.tobytes() for p in parts])
 
 
-def _thaw(raw: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    m = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
-    ids = np.frombuffer(raw, dtype="<i8", count=2 * m, offset=8).reshape(m, 2)
-    lens = np.frombuffer(raw, dtype="<i8", count=2 * m - 1, offset=8 + 16 * m)
-    parts = np.split(np.frombuffer(raw, dtype="<u8", offset=8 + 16 * m + 8 * (2 * m - 1)), np.cumsum(lens)[:-1])
-    sets = [parts[0]]
-    for i in range(1, m):
-        sets.append(np.union1d(np.setdiff1d(parts[0], parts[2 * i - 1], assume_unique=True), parts[2 * i]))
-    return ids[:, 0], ids[:, 1], sets
+class Ball:
+    """Sets as a first one and signed differences: member ``row`` has the gram (1) or lacks it (-1), against the first set."""
+
+    def __init__(self, raw: bytes):
+        m = int(np.frombuffer(raw, dtype="<i8", count=1)[0])
+        ids = np.frombuffer(raw, dtype="<i8", count=2 * m, offset=8).reshape(m, 2)
+        lens = np.frombuffer(raw, dtype="<i8", count=2 * m - 1, offset=8 + 16 * m)
+        grams = np.frombuffer(raw, dtype="<u8", offset=8 + 16 * m + 8 * (2 * m - 1))
+        self.ids, self.copies = ids[:, 0], ids[:, 1]
+        self.first, self.gram = grams[: lens[0]], grams[lens[0] :]
+        self.row = np.repeat(np.repeat(np.arange(1, m), 2), lens[1:])
+        self.sign = np.repeat(np.tile([-1, 1], m - 1), lens[1:])
+        self.sizes = lens[0] + self.summed(self.sign)
+
+    def summed(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, x, len(self.ids)).astype(np.int64) if len(self.row) else np.zeros(len(self.ids), dtype=np.int64)
+
+
+def _in(x: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which of ``x`` the sorted set ``s`` holds."""
+    return s[np.minimum(np.searchsorted(s, x), len(s) - 1)] == x
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+def overlaps(a: Ball, b: Ball) -> np.ndarray:
     """Intersection sizes of all sets of ``a`` with all of ``b``.
 
-    Grams that every set holds are counted once for all; only the others are compared.
+    The first sets are intersected; the first set of one side with a member of the other has that plus or minus the member's differences
+    that it holds; two members have the sum of both, plus the product of the signs of the differences that they share.
     """
-    if len(a) == 1 and len(b) == 1:
-        return np.array([[len(np.intersect1d(a[0], b[0], assume_unique=True))]])
-    grams, inv, n = np.unique(np.concatenate(a + b), return_inverse=True, return_counts=True)
-    both = len(a) + len(b)
-    core = int((n == both).sum())
-    column = np.cumsum((n > 1) & (n < both)) - 1
-    column[(n == 1) | (n == both)] = -1
-    col = column[inv]
-    row = np.repeat(np.arange(both), [len(s) for s in a + b])
-    live = col >= 0
-    row, col = row[live], col[live]
-    out = np.full((len(a), len(b)), float(core))
+    small, large = (a.first, b.first) if len(a.first) < len(b.first) else (b.first, a.first)
+    out = int(_in(small, large).sum()) + a.summed(a.sign * _in(a.gram, b.first))[:, None] + b.summed(b.sign * _in(b.gram, a.first))[None, :]
+    if not len(a.gram) or not len(b.gram):
+        return out
+    grams = np.intersect1d(a.gram, b.gram)
+    sides = []
+    for x in (a, b):
+        col = np.minimum(np.searchsorted(grams, x.gram), max(0, len(grams) - 1))
+        ok = grams[col] == x.gram if len(grams) else np.zeros(len(x.gram), dtype=bool)
+        order = np.argsort(col[ok], kind="stable")
+        sides.append((col[ok][order], x.row[ok][order], x.sign[ok][order]))
     step = 1 << 14
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    for at in range(0, int(col[-1]) + 1 if len(col) else 0, step):
-        i, j = np.searchsorted(col, [at, at + step])
-        x = np.zeros((both, step), dtype=np.float32)
-        x[row[i:j], col[i:j] - at] = 1
-        out += x[: len(a)] @ x[len(a) :].T
-    return out.astype(np.int64)
+    for at in range(0, len(grams), step):
+        parts = []
+        for (col, row, sign), x in zip(sides, (a, b)):
+            i, j = np.searchsorted(col, [at, at + step])
+            m = np.zeros((len(x.ids), min(step, len(grams) - at)), dtype=np.float32)
+            m[row[i:j], col[i:j] - at] = sign[i:j]
+            parts.append(m)
+        out = out + np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
 
 
 def _compare(pairs: DataFrame) -> DataFrame:
@@ -389,11 +420,11 @@ def _compare(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             xs, ys, ns = [], [], []
             for i, j, pa_, pb in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                ia, ca, sa = _thaw(zlib.decompress(pa_))
-                ib, cb, sb = (ia, ca, sa) if i == j else _thaw(zlib.decompress(pb))
-                na, nb = np.array([len(s) for s in sa]), np.array([len(s) for s in sb])
-                o = overlaps(sa, sb)
-                link = DEN * o >= NUM * (na[:, None] + nb[None, :] - o)
+                x = Ball(zlib.decompress(pa_))
+                y = x if i == j else Ball(zlib.decompress(pb))
+                ia, ca, ib, cb = x.ids, x.copies, y.ids, y.copies
+                o = overlaps(x, y)
+                link = DEN * o >= NUM * (x.sizes[:, None] + y.sizes[None, :] - o)
                 if i == j:
                     np.fill_diagonal(link, False)
                 if not link.any():
@@ -417,13 +448,14 @@ def _compare(pairs: DataFrame) -> DataFrame:
 
 
 def _payloads(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """(ball, payload) of the balls in ``members`` (ball, key, nid, d, copies), sets taken from the texts again."""
+    """(ball, payload) of the balls in ``members`` (ball, nid, d, digest, copies), sets taken from one row of each again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            ball, nid, copies, keys = (b.column(i).to_pylist() for i in range(4))
-            got = [s for _, _, data, off in pieces(b.column(4)) for s in shingle_sets(data, off, GRAM)]
-            k = [i for i, s in enumerate(got) if _digest(s) == keys[i]]
+            ball, nid, copies = (b.column(i).to_pylist() for i in range(3))
+            got = [s for _, _, data, off in pieces(b.column(3)) for s in shingle_sets(data, off, GRAM)]
+            k = [i for i, x in enumerate(nid) if x not in seen and not seen.add(x)]  # equal rows are sent once by a task
             yield pa.record_batch([pa.array([ball[i] for i in k], pa.int64()), pa.array([nid[i] for i in k], pa.int64()), pa.array([copies[i] for i in k], pa.int64()), pa.array([got[i].tobytes() for i in k], pa.binary())], names=["ball", "nid", "copies", "grams"])
             del got
         trim()
@@ -432,8 +464,8 @@ def _payloads(members: DataFrame, docs: DataFrame) -> DataFrame:
         rows = {n: (n, c, np.frombuffer(g, dtype="<u8")) for n, c, g in zip(*(t.column(x).to_pylist() for x in ("nid", "copies", "grams")))}
         return pa.table({"ball": t.column("ball").combine_chunks()[:1], "payload": pa.array([zlib.compress(_freeze([rows[n] for n in sorted(rows)]), 1)], pa.binary())})
 
-    texts = _source(docs).join(sized_broadcast(members, 80), "d")
-    return texts.select("ball", "nid", "copies", "key", "text").mapInArrow(sets, "ball long, nid long, copies long, grams binary").groupBy("ball").applyInArrow(join, "ball long, payload binary")
+    texts = _rows(docs).join(sized_broadcast(members.drop("key"), 64), ["d", "digest"])
+    return texts.select("ball", "nid", "copies", "text").mapInArrow(sets, "ball long, nid long, copies long, grams binary").groupBy("ball").applyInArrow(join, "ball long, payload binary")
 
 
 def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
@@ -447,10 +479,10 @@ def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    survey = table(_survey(docs, rows_too))
+    survey = table(_survey(docs))
     rows = survey.where("block IS NULL")
     real = F.when(F.col("d") != _LEAST, F.col("d"))
-    per = table(rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("d").alias("d"), F.min(real).alias("least"), F.first("n").alias("n")))
+    per = table(rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("d", "digest")).alias("row"), F.min(real).alias("least"), F.first("n").alias("n")))
     per = table(per.withColumn("nid", F.monotonically_increasing_id()))
     total = rows.count()
     crowd = rows.where("n > 0").groupBy("m1").agg(F.count_distinct("key").alias("c")).where(F.col("c") >= max(total // 1000, 10_000)).collect()  # 1000 at most
@@ -461,7 +493,7 @@ def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
     several = balls.where(F.size("keys") > 1).select(F.col("ball").alias("a"), F.col("ball").alias("b"))
     todo = table(pairs.unionByName(several))
     needed = todo.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
-    members = table(balls.select("ball", "keys").join(needed, "ball").select("ball", F.explode("keys").alias("key")).join(per.select("key", "nid", "d", "copies"), "key"))
+    members = table(balls.select("ball", "keys").join(needed, "ball").select("ball", F.explode("keys").alias("key")).join(per.select("key", "nid", "row.d", "row.digest", "copies"), "key"))
     payloads = table(_payloads(members, docs))
     first = payloads.select(F.col("ball").alias("a"), F.col("payload").alias("pa"))
     second = payloads.select(F.col("ball").alias("b"), F.col("payload").alias("pb"))

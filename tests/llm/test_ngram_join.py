@@ -34,8 +34,9 @@ def test_join(request, which):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(brute.jaccard_links(pairs(docs)), key=key)
 
 
-@pytest.mark.parametrize("ball,hot", [(8, 100_000), (2, 3), (128, 1)])
-def test_many_near_copies(spark, monkeypatch, ball, hot):
+@pytest.mark.parametrize("ball,hot,skip", [(8, 100_000, 32), (2, 3, 1), (128, 1, 5), (2, 100_000, 4)])
+def test_many_near_copies(spark, monkeypatch, ball, hot, skip):
+    monkeypatch.setattr(ngram_join, "SKIP", skip)
     monkeypatch.setattr(ngram_join, "BALL_SETS", ball)
     monkeypatch.setattr(ngram_join, "HOT_LIST", hot)
     docs = spark.createDataFrame(near_copies(90) + near_copies(5), "doc_id long, text string").repartition(3)
@@ -52,11 +53,22 @@ def test_many_near_copies(spark, monkeypatch, ball, hot):
 
 def test_overlaps():
     rng = np.random.default_rng(1)
-    a = [np.unique(rng.integers(0, 99, 60).astype(np.uint64)) for _ in range(5)]
-    b = [np.unique(rng.integers(0, 99, 60).astype(np.uint64)) for _ in range(3)]
-    assert ngram_join.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
-    ids, copies, sets = ngram_join._thaw(ngram_join._freeze([(i, i + 1, s) for i, s in enumerate(a)]))
-    assert ids.tolist() == [0, 1, 2, 3, 4] and copies.tolist() == [1, 2, 3, 4, 5] and all(np.array_equal(x, y) for x, y in zip(a, sets))
+    for m, n, top in ((5, 3, 99), (1, 4, 99), (1, 1, 99), (6, 6, 40_000)):
+        base = np.unique(rng.integers(0, top, top // 2).astype(np.uint64))
+        near = lambda: np.unique(np.r_[rng.choice(base, len(base) * 9 // 10), rng.integers(0, top, top // 9).astype(np.uint64)])
+        a, b = [near() for _ in range(m)], [near() for _ in range(n)]
+        x, y = (ngram_join.Ball(ngram_join._freeze([(i, i + 1, s) for i, s in enumerate(z)])) for z in (a, b))
+        assert ngram_join.overlaps(x, y).tolist() == [[len(np.intersect1d(s, t)) for t in b] for s in a]
+        assert ngram_join.overlaps(x, x).tolist() == [[len(np.intersect1d(s, t)) for t in a] for s in a]
+        assert x.ids.tolist() == list(range(m)) and x.copies.tolist() == list(range(1, m + 1)) and x.sizes.tolist() == [len(s) for s in a]
+
+
+def test_equal_rows_and_texts_of_one_id(spark):
+    """Many rows without an id and rows of one id with other texts, repeated as they are."""
+    texts = ["a b c d e f g h", "a b c d e f g h i", "k l m n o p q r", "one two"]
+    rows = [(None, t) for t in texts for _ in range(4)] + [(7, t) for t in texts[::-1] for _ in range(2)] + [(9, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, ngram_join.similar_sets(docs).collect()), key=key) == sorted(brute.jaccard_links(pairs(docs)), key=key)
 
 
 def test_empty(spark):
