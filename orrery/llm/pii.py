@@ -1,6 +1,6 @@
 """Personal data: exact base kinds plus bootstrapped contextual extraction.
 
-One scan of the texts finds the base kinds and the *mentions*: identifier-like strings that
+One scan of the texts finds the base kinds and the *mentions*: the values that
 stand directly behind a cue word and an assignment sign (``token = "`` ...). Mentions are the edges
 of a bipartite graph of lexical patterns (cue, signs, what follows) and instances (values). Seed instances are
 values of unmistakable form (base entities; hexadecimal digests). Spark scores the graph in
@@ -25,16 +25,21 @@ KINDS = ("email", "ip", "card", "phone")
 #: A pattern is trusted from so many distinct instances and this share of known ones.
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.5
+#: Signs of the shortest value that isn't a base span.
+LEAST_VALUE = 6
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+#: A value behind a cue: a run of such signs; what ends a sentence isn't part of it.
+_VALUE = re.compile(r"[A-Za-z0-9_\-./+=~$@!%&*]+")
+_TAIL = ".!"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++")
 # a match never starts inside a run of digits, so the lookbehind changes nothing but the time taken
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_CUE = re.compile(r"([A-Za-z_]{2,24})[\x20\t]{0,3}([:=#][\x20\t:=\"']{0,6})$")
+_SIGN = re.compile(r"[:=#][\x20\t:=\"']{0,6}")
+_CUE = re.compile(r"(?:\A|[^A-Za-z_])([A-Za-z_]{2,24})[\x20\t]{0,3}\Z")
 _HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})\Z")
 
 
@@ -75,25 +80,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """(start, end, pattern, whether a seed) of identifier-like values behind a cue and an assignment sign."""
-    out, done = [], 0
-    found = [(s, e, True) for _, s, e in base]
-    for m in _DIGIT.finditer(text):
-        if m.start() < done:
+    """(start, end, pattern, whether a seed) of the values behind a cue word and an assignment sign.
+
+    A value is a base span that begins there, or else the whole run of token signs if it has 6 at least (a digit or not) and meets no
+    base span. Cues are words of 2 to 24 letters.
+    """
+    out = []
+    starts = sorted((s, e) for _, s, e in base)
+    at = 0
+    for sign in _SIGN.finditer(text):
+        s = sign.end()
+        if not (cue := _CUE.search(text[max(0, sign.start() - 28) : sign.start()])):
             continue
-        s = e = m.start()
-        while s > done and text[s - 1] in _NAME:
-            s -= 1
-        while e < len(text) and text[e] in _NAME:
-            e += 1
-        done = e
-        if e - s >= 8 and not any(s < y and x < e for _, x, y in base):
-            found.append((s, e, False))
-    for s, e, known in found:
-        if cue := _CUE.search(text, max(0, s - 40), s):
-            after = text[e : e + 1]
-            pattern = f"{cue[1].lower()} {''.join(cue[2].split())} {after if after in '\"' + chr(39) else ''}"
-            out.append((s, e, pattern, int(known or bool(_HEX.match(text[s:e])))))
+        while at < len(starts) and starts[at][1] <= s:
+            at += 1
+        known = at < len(starts) and starts[at][0] == s
+        if known:
+            s, e = starts[at]
+        elif m := _VALUE.match(text, s):
+            e = s + len(m.group().rstrip(_TAIL))
+            if e - s < LEAST_VALUE or (at < len(starts) and starts[at][0] < e):
+                continue
+        else:
+            continue
+        after = text[e : e + 1]
+        pattern = f"{cue[1].lower()} {''.join(sign[0].split())} {after if after in '\"' + chr(39) else ''}"
+        out.append((s, e, pattern, int(known or bool(_HEX.match(text[s:e])))))
     return out
 
 
@@ -154,15 +166,17 @@ def extract(docs: DataFrame) -> DataFrame:
     secret = F.struct(F.lit("secret").alias("kind"), F.col("start"), F.col("end"))
     hits = lookup(free, good, "pattern", "inner").groupBy("key").agg(F.sort_array(F.collect_set(secret)).alias("secrets"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return found.select("doc_id", "key", "base", "base_sha256").join(hits, "key", "left").withColumn("secrets", F.coalesce("secrets", none))
+    # rows without a mention, repeated ones or ones without a text among them, don't move
+    named, plain = (found.where(c).select("doc_id", "key", "base", "base_sha256") for c in (F.size("mentions") > 0, F.size("mentions") == 0))
+    return lookup(named, table(hits), "key").withColumn("secrets", F.coalesce("secrets", none)).unionByName(plain.withColumn("secrets", none))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of its text replaced by ``<KIND>`` and n_chars (if there is such a column) counted anew."""
-    spans = table(extract(docs).select(F.col("key").alias("_key"), F.concat("base", "secrets").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_key"]))
-    keyed = docs.withColumn("_key", row_key(docs["doc_id"], docs["text"]))
-    most = 100 + 40 * (spans.agg(F.max(F.size("_spans"))).first()[0] or 0)
-    joined = keyed.join(sized_broadcast(spans, most), "_key", "left")
+    spans = table(extract(docs).select("key", F.concat("base", "secrets").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["key"]))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(docs["doc_id"], docs["text"]).alias("key"))
+    most = 100 + 40 * (spans.agg(F.max(F.size("spans"))).first()[0] or 0)
+    joined = keyed.join(sized_broadcast(spans, most), "key", "left")
 
     @F.pandas_udf("string")
     def mask(text, found):  # noqa: ANN001, ANN202
@@ -178,7 +192,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
         return text.combine(found, one)
 
-    hit = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), mask("text", "_spans")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return hit.select(*docs.columns)
+    hit = F.col("spans").isNotNull()
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    masked = joined.withColumn("new", mask(F.when(hit, columns["text"]), "spans"))  # only texts with spans go to Python
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(hit, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    columns["text"] = F.when(hit, F.col("new")).otherwise(columns["text"])
+    return masked.select(*[x.alias(c) for c, x in columns.items()])
