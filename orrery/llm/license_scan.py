@@ -2,27 +2,29 @@
 
 The rolling word k-gram hashes of all texts are joined with the positions of the license templates
 (a constant of this module, so its size is bounded). Hits of one text and template vote for
-the diagonal ``position in text - position in template``; neighbouring diagonals merge, and a merged span counts
-if its hits cover enough of the template. Templates of one family differ by a word or two, so their k-grams don't tell them
+the diagonal ``position in text - position in template``; neighbouring diagonals merge, and a merged span is verified: the hits that stand in
+the template's order, no position of either side twice, must cover enough of it. Templates of one family differ by a word or two, so their k-grams don't tell them
 apart: there the telling words inside a span decide its license.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import bounded_batches, table
+from orrery.llm.common import bounded_batches, lookup, table
 from orrery.llm.pii import row_key
 from orrery.llm.textbytes import IS_ALNUM, buffers, gram_hashes, pieces, word_hashes
 
 #: Words in a k-gram of the voting.
 GRAM = 3
-#: Diagonals at most so far apart merge: that many words inserted or dropped in all.
+#: Diagonals at most so far apart merge: that many words inserted or dropped between two hits.
 DRIFT = 4
 #: Share of a template's k-grams that a span must cover.
 COVER = 0.6
@@ -104,7 +106,7 @@ def template_positions(spark: SparkSession) -> DataFrame:
     rows = []
     for t, (label, text) in enumerate(TEMPLATES):
         g = gram_hashes(_hashes(text), GRAM).view(np.int64).tolist()
-        rows += [(x, t, label, FAMILY.get(label), p, len(set(g))) for p, x in enumerate(g)]
+        rows += [(x, t, label, FAMILY.get(label), p, len(g)) for p, x in enumerate(g)]
     return spark.createDataFrame(rows, "gram long, template int, label string, family string, tpos int, n_grams int")
 
 
@@ -165,6 +167,25 @@ def scan(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, key string, n_words long, base array<struct<label:string,at:int>>, grams array<struct<gram:long,pos:int>>, marks array<struct<family:string,label:string,at:int>>")
 
 
+def longest_chain(hits: list[tuple[int, int]]) -> int:
+    """Most of the (pos, tpos) that can be taken so that both rise."""
+    ends: list[int] = []
+    for _, t in sorted(hits, key=lambda x: (x[0], -x[1])):
+        k = bisect.bisect_left(ends, t)
+        ends[k : k + 1] = [t]
+    return len(ends)
+
+
+def in_order(seen: str) -> Column:
+    """``longest_chain`` of a column of hits."""
+
+    @F.pandas_udf("int")
+    def chain(hits: pd.Series) -> pd.Series:
+        return hits.map(lambda xs: longest_chain([(x["pos"], x["tpos"]) for x in xs])).astype("int32")
+
+    return chain(F.col(seen))
+
+
 def vote(grams: DataFrame, marks: DataFrame) -> DataFrame:
     """(key, label, first, last, cover) of the verified spans; ``grams``: (key, gram, pos), ``marks``: (key, family, label, at).
 
@@ -173,11 +194,13 @@ def vote(grams: DataFrame, marks: DataFrame) -> DataFrame:
     ones may follow directly on it), whichever template of the family covers it.
     """
     templates = template_positions(grams.sparkSession)
-    votes = grams.join(F.broadcast(templates), "gram").groupBy("key", "template", "label", "family", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"), F.floor(F.col("pos") / STRETCH).alias("stretch")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("gram").alias("seen"))
+    votes = grams.join(F.broadcast(templates), "gram").groupBy("key", "template", "label", "family", "n_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"), F.floor(F.col("pos") / STRETCH).alias("stretch")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set(F.struct("pos", "tpos")).alias("seen"))
     w = Window.partitionBy("key", "template").orderBy("diagonal", "first")
     step = (F.col("diagonal") - F.lag("diagonal").over(w) > DRIFT) | (F.abs(F.col("first") - F.lag("last").over(w)) > F.col("n_grams") + DRIFT)
     merged = votes.withColumn("new", F.coalesce(step, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(w))
-    spans = merged.groupBy("key", "template", "label", "family", "n_grams", "run").agg(F.min("first").alias("first"), (F.max("last") + GRAM).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"))
+    spans = merged.groupBy("key", "template", "label", "family", "n_grams", "run").agg(F.min("first").alias("first"), (F.max("last") + GRAM).alias("last"), F.flatten(F.collect_list("seen")).alias("seen"))
+    # fewer hits than that can't cover enough in any order
+    spans = spans.where(F.size(F.array_distinct(F.col("seen")["tpos"])) >= COVER * F.col("n_grams")).withColumn("n", in_order("seen"))
     cover = F.col("n") / F.col("n_grams")
     found = table(spans.where(cover >= COVER).select("key", "template", "run", "label", "family", "first", "last", cover.alias("cover")))
     alone = found.where("family IS NULL").select("key", "label", "first", "last", "cover")
@@ -202,4 +225,7 @@ def detect(docs: DataFrame) -> DataFrame:
     once = table(found.where(F.size("grams") > 0).select("key", "grams", "marks").dropDuplicates(["key"]))
     grams = once.select("key", F.explode("grams").alias("g")).select("key", "g.*")
     spans = vote(grams, once.select("key", F.explode("marks").alias("m")).select("key", "m.*")).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("label", "first", "last", "cover"))).alias("spans"))
-    return found.select("doc_id", "key", "n_words", "base").join(spans, "key", "left").withColumn("spans", F.coalesce("spans", F.expr("cast(array() as array<struct<label:string,first:int,last:int,cover:double>>)"))).drop("key")
+    none = F.expr("cast(array() as array<struct<label:string,first:int,last:int,cover:double>>)")
+    some, plain = (found.where(c).select("doc_id", "key", "n_words", "base") for c in (F.size("grams") > 0, F.size("grams") == 0))
+    out = lookup(some, table(spans), "key").withColumn("spans", F.coalesce("spans", none)).unionByName(plain.withColumn("spans", none))
+    return out.drop("key")

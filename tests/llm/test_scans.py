@@ -182,6 +182,43 @@ def test_sharding(request, which, n):
         assert len(loads) == 3 and max(loads) - min(loads) <= 0.02 * max(loads)
 
 
+def test_write_shards(spark, tmp_path, odd):
+    docs = odd.unionByName(odd.where("doc_id IS NULL OR doc_id < 3")).withColumn("shard", F.lit(5))
+    sharding.write_shards(docs, str(tmp_path / "s"), 3)
+    got = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, got.select("doc_id", "text", "component", "h").collect())) == sorted(map(str, docs.select("doc_id", "text", "component", "h").collect()))
+    by = defaultdict(list)
+    for r in got.collect():
+        by[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
+def test_sharding_of_one_row_many_times(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same").alias("text"))
+    rows = sharding.shard(docs, 7).groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("s"), F.max("slot").alias("m")).collect()
+    assert len(rows) == 7 and all(r.n == r.s == r.m + 1 and 400 <= r.n <= 450 for r in rows)
+    assert len(sharding.splitters(docs.select(F.lit(1).cast("long").alias("h"), F.lit(1).cast("long").alias("d"), F.monotonically_increasing_id().alias("r"), F.lit(5).alias("size")), 8)) >= 7
+
+
+def test_pii_values(spark):
+    known = [(i, f"api_key: {i:032x}") for i in range(4)]
+    found = {20: "eyJh.bGci/Oi+JI==", 21: "correcthorse", 22: "Zm9v/YmFy.", 23: "abc"}
+    docs = spark.createDataFrame([*known, *((i, f"see api_key: {v} and more") for i, v in found.items()), (30, "Note: something else here"), (31, "api_key: me@example.org x"), (32, "the map_api_key: nothing")], "doc_id long, text string").withColumn("key", F.lit("k")).withColumn("_key", F.lit("x"))
+    red = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert {i: red[i].text for i in found} == {20: "see api_key: <SECRET> and more", 21: "see api_key: <SECRET> and more", 22: "see api_key: <SECRET>. and more", 23: "see api_key: abc and more"}
+    assert red[30].text == "Note: something else here" and red[31].text == "api_key: <EMAIL> x" and red[32].text == "the map_api_key: nothing"
+    assert all(r["key"] == "k" and r["_key"] == "x" for r in red.values())
+
+
+def test_license_words_in_order(spark):
+    words = license_scan.TEMPLATES[1][1].split()
+    grams = [" ".join(words[i : i + 3]) for i in range(0, len(words) - 2)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, ". x . ".join(grams[::-1])), (3, " ".join(words[:14]) + " quite " + " ".join(words[14:])), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: [(s["label"], round(s["cover"], 2)) for s in r.spans] for r in license_scan.detect(docs).collect()}
+    assert got[1] == [("mit", 1.0)] and got[2] == [] and got[3][0][0] == "mit" and 0.9 < got[3][0][1] < 1 and got[4] == []
+    assert license_scan.longest_chain([(1, 5), (2, 6), (2, 7), (3, 1), (4, 7), (5, 8)]) == 4
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     bench = spark.createDataFrame([], "item_id long, text string")
