@@ -6,6 +6,7 @@ lists are a partition column, so that a scan of the written index reads the prob
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +20,15 @@ from orrery.operators.knn import knn, order, top_k
 
 #: Vectors that centroids and component ranges are fitted on, at most; which ones depends on the id alone.
 FIT_ROWS = 20_000
-NLIST = 128
-NPROBE = 10
+#: Lists, if none are asked for: the root of the number of vectors, within these bounds.
+LEAST_LISTS, MOST_LISTS = 16, 4096
+#: What an index is set to find of the 10 nearest: so many vectors of the sample are searched in it when it is built, and the least effort that finds
+#: that much of what an exact search in the sample finds is the effort of a search that doesn't ask for another.
+TARGET = 0.96
+TRIALS = 256
+#: Tables of random projections, and the numbers of bits that are tried, the most selective first.
+TABLES = 32
+BITS = (12, 10, 8, 7, 6, 5, 4, 3, 2)
 
 
 @dataclass
@@ -32,6 +40,7 @@ class IvfIndex:
     metric: str
     low: np.ndarray | None = None
     step: np.ndarray | None = None
+    nprobe: int = 1
 
 
 def _sample(rows: DataFrame, vector: str, id_col: str, most: int) -> np.ndarray:
@@ -62,13 +71,32 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, x / np.where(n > 0, n, 1), 0.0)
 
 
-def build_ivf(rows: DataFrame, metric: str = "L2", nlist: int = NLIST, *, sq8: bool = False, vector: str = "vector", id_col: str = "id", fit_rows: int = FIT_ROWS) -> IvfIndex:
+def _nearest(x: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(places of some of ``x``, for each the places of its 10 nearest in ``x``)."""
+    some = np.random.default_rng(3).permutation(len(x))[:TRIALS]
+    s = x[some] @ x.T if metric != "L2" else 2 * x[some] @ x.T - (x * x).sum(1)[None, :]
+    return some, np.argsort(-s, axis=1, kind="stable")[:, :10]
+
+
+def _probes(x: np.ndarray, c: np.ndarray, metric: str) -> int:
+    """The least number of lists that hold TARGET of the nearest of the sample's trials."""
+    far = (c * c).sum(1)[None, :] - 2 * x @ c.T
+    own = far.argmin(1)
+    some, top = _nearest(x, metric)
+    place = np.argsort(np.argsort(far[some], axis=1, kind="stable"), axis=1, kind="stable")  # of each list, by distance
+    needed = np.take_along_axis(place, own[top], axis=1).ravel() + 1
+    return int(np.sort(needed)[max(0, math.ceil(TARGET * len(needed)) - 1)])
+
+
+def build_ivf(rows: DataFrame, metric: str = "L2", nlist: int | None = None, *, sq8: bool = False, vector: str = "vector", id_col: str = "id", fit_rows: int = FIT_ROWS) -> IvfIndex:
     """Assigns every row with a vector to its nearest centroid; ``sq8`` stores a byte a component, scaled between the sample's extremes."""
     x = _sample(rows, vector, id_col, fit_rows)
     if not len(x):
         raise QueryError("there is no vector to index")
     if metric == "COSINE":
         x = _unit(x)
+    if nlist is None:
+        nlist = max(LEAST_LISTS, min(MOST_LISTS, math.isqrt(rows.where(F.col(vector).isNotNull()).count())))
     c = kmeans(x, nlist)
     low, high = x.min(0), x.max(0)
     step = np.maximum((high - low) / 255, 1e-12)
@@ -91,11 +119,11 @@ def build_ivf(rows: DataFrame, metric: str = "L2", nlist: int = NLIST, *, sq8: b
 
     kind = rows.schema[id_col].dataType.simpleString()
     listed = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), vector).mapInArrow(assign, f"id {kind}, vector array<float>, list int")
-    return IvfIndex(listed, c, metric, low if sq8 else None, step if sq8 else None)
+    return IvfIndex(listed, c, metric, low if sq8 else None, step if sq8 else None, _probes(x, c, metric))
 
 
-def search_ivf(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = NPROBE) -> DataFrame:
-    """(qid, id, score, rank) from the ``nprobe`` lists nearest to each query."""
+def search_ivf(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
+    """(qid, id, score, rank) from the ``nprobe`` lists nearest to each query; as many as the index was set to, if no number is given."""
     c, metric = index.centroids, index.metric
     qs = queries.select("qid", "qvector").collect()  # the queries of one search; they are broadcast below
     x = np.array([r.qvector for r in qs], dtype=np.float64)
@@ -103,6 +131,7 @@ def search_ivf(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = N
         return knn(index.rows.limit(0), queries, metric, k).select("qid", "id", "score", "rank")
     u = _unit(x) if metric == "COSINE" else x
     d = (c * c).sum(1)[None, :] - 2 * u @ c.T
+    nprobe = index.nprobe if nprobe is None else nprobe
     near = np.argsort(d, axis=1, kind="stable")[:, : max(1, min(nprobe, len(c)))]
     spark = index.rows.sparkSession
     probes = spark.createDataFrame([(r.qid, int(p)) for r, ps in zip(qs, near) for p in ps], "qid long, list int")
@@ -114,7 +143,21 @@ def search_ivf(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int = N
     return top_k(hits, order(metric), k)
 
 
-def build_lsh(rows: DataFrame, tables: int = 8, bits: int = 10, *, vector: str = "vector", id_col: str = "id", dim: int, seed: int = 1) -> DataFrame:
+def fit_lsh(rows: DataFrame, metric: str, dim: int, tables: int = TABLES, *, vector: str = "vector", id_col: str = "id", seed: int = 1) -> int:
+    """The most bits a bucket with which the tables find TARGET of the nearest of the sample's trials."""
+    x = _sample(rows, vector, id_col, FIT_ROWS)
+    if not len(x):
+        return BITS[-1]
+    some, top = _nearest(_unit(x) if metric == "COSINE" else x, metric)
+    for bits in BITS:
+        planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+        b = ((x @ planes > 0).reshape(len(x), tables, bits) * (1 << np.arange(bits))).sum(2)
+        if (b[top] == b[some][:, None, :]).any(2).mean() >= TARGET:
+            return bits
+    return BITS[-1]
+
+
+def build_lsh(rows: DataFrame, tables: int, bits: int, *, vector: str = "vector", id_col: str = "id", dim: int, seed: int = 1) -> DataFrame:
     """(id, vector, buckets): signs of seeded random projections, one bucket for each table."""
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     shared = rows.sparkSession.sparkContext.broadcast(planes)
@@ -133,13 +176,17 @@ def build_lsh(rows: DataFrame, tables: int = 8, bits: int = 10, *, vector: str =
     return rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("vector")).mapInArrow(run, f"id {kind}, vector {vkind}, buckets array<int>")
 
 
-def search_lsh(index: DataFrame, queries: DataFrame, metric: str, k: int, dim: int, tables: int = 8, bits: int = 10, seed: int = 1) -> DataFrame:
-    """(qid, id, score, rank) of the rows that share a bucket with a query."""
+def search_lsh(index: DataFrame, queries: DataFrame, metric: str, k: int, dim: int, tables: int, bits: int, seed: int = 1) -> DataFrame:
+    """(qid, id, score, rank) of the rows that share a bucket with a query.
+
+    Rows meet queries by bucket: a join on equal keys, whose pairs are made distinct before a vector is fetched.
+    """
     from orrery.functions import metrics
 
     hashed = build_lsh(queries.select(F.col("qid").alias("id"), F.col("qvector").alias("vector")), tables, bits, dim=dim, seed=seed)
-    q = hashed.select(F.col("id").alias("qid"), F.col("vector").alias("qvector"), F.col("buckets").alias("qbuckets"))
-    pairs = index.join(F.broadcast(q), F.arrays_overlap("buckets", "qbuckets"))
+    asked = hashed.select(F.col("id").alias("qid"), F.explode("buckets").alias("bucket"))
+    met = index.select("id", F.explode("buckets").alias("bucket")).join(F.broadcast(asked), "bucket").select("qid", "id").distinct()
+    pairs = met.join(index.select("id", "vector"), "id").join(F.broadcast(queries.select("qid", "qvector")), "qid")
     return top_k(pairs.withColumn("score", metrics.public_score(metric, F.col("vector"), F.col("qvector"))).select("qid", "id", "score"), order(metric), k)
 
 

@@ -37,7 +37,10 @@ def scored(rows: DataFrame, queries: DataFrame, metric: str, vector: str = "vect
     if metric == "COSINE":
         left = left.withColumn("_norm", metrics.norm(F.col(vector)))
         q = q.withColumn("_qnorm", metrics.norm(F.col(query_vector)))
-    pairs = left.join(F.broadcast(q), F.size(F.col(vector)) == F.size(F.col(query_vector)))
+    pairs = None
+    for part in broadcastable(q, query_vector):
+        met = left.join(F.broadcast(part), F.size(F.col(vector)) == F.size(F.col(query_vector)))
+        pairs = met if pairs is None else pairs.unionByName(met)
     if metric == "COSINE":
         score = metrics.cosine(F.col(vector), F.col(query_vector), F.col("_norm"), F.col("_qnorm"))
     else:
@@ -45,6 +48,13 @@ def scored(rows: DataFrame, queries: DataFrame, metric: str, vector: str = "vect
     return pairs.withColumn("score", score).drop(query_vector, "_norm", "_qnorm")
 
 
+def broadcastable(queries: DataFrame, query_vector: str = "qvector") -> list[DataFrame]:
+    """``queries`` in groups of about BROADCAST_COMPONENTS components at most; their size is counted first."""
+    size = queries.agg(F.coalesce(F.sum(F.size(query_vector)), F.lit(0))).first()[0]
+    n = -(-size // BROADCAST_COMPONENTS)
+    return [queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == g) for g in range(n)] if n > 1 else [queries]
+
+
 def order(metric: str, id_col: str = "id") -> list[Column]:
     """Best first, then by id."""
     return [metrics.best_first(metric, F.col("score")), F.col(id_col).asc()]

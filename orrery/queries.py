@@ -166,20 +166,27 @@ for _k, _e in _DECAYS.items():
     query(_boosted_sql("COSINE", f"score * {_e}"), f"knn_decay_{_k}")(_decayed(_k))
 
 
-@query(f"WITH {_Q}, {_scores('COSINE')} SELECT qid, id, round(0.7 * score + 0.3 * label, 6) AS weighted, round(greatest(score, label), 6) AS most, round((score + label) / 2, 6) AS mean, round(CASE WHEN label = 0 THEN 0 ELSE score * label END, 6) AS product FROM s")
+_BEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 20)"
+
+
+@query(f"WITH {_Q}, {_scores('COSINE')} SELECT qid, id, round(0.7 * score + 0.3 * label, 6) AS weighted, round(greatest(score, label), 6) AS most, round((score + label) / 2, 6) AS mean, round(CASE WHEN label = 0 THEN 0 ELSE score * label END, 6) AS product FROM {_BEST}")
 def num_combine_modes(spark: SparkSession, sf: str) -> DataFrame:
-    hits = scored(vectors(spark, sf), probes(spark, sf), "COSINE")
+    """Combinations on the 20 best hits of each query."""
+    hits = knn(vectors(spark, sf), probes(spark, sf), "COSINE", 20)
     pair = [F.col("score"), F.col("label")]
     some = [F.col("score"), F.nullif(F.col("label"), F.lit(0))]
     return hits.select("qid", "id", F.round(fusion.num_combine(pair, "weighted", [0.7, 0.3]), 6).alias("weighted"), F.round(fusion.num_combine(pair, "max"), 6).alias("most"), F.round(fusion.num_combine(pair, "avg"), 6).alias("mean"), F.round(fusion.num_combine(some, "multiply"), 6).alias("product"))
 
 
-@query(f"WITH {_Q}, {_scores('COSINE', name='c')}, {_scores('IP', name='i')}, {_scores('L2', name='l')} SELECT c.qid, c.id, round((1 + c.score) / 2, 6) AS cosine, round(0.5 + atan(i.score) / pi(), 6) AS ip, round(1 - 2 * atan(l.score) / pi(), 6) AS l2, round(2 * atan(abs(i.score)) / pi(), 6) AS bm25 FROM c JOIN i USING (qid, id) JOIN l USING (qid, id)")
+@query(f"""WITH {_Q}, {_scores('COSINE')}, b AS {_BEST},
+v AS (SELECT b.qid, b.id, b.score AS c, list_inner_product(e.embedding::DOUBLE[], q.qv) AS i, power(list_distance(e.embedding::DOUBLE[], q.qv), 2) AS l FROM b JOIN embeddings e ON e.vec_id = b.id JOIN q USING (qid))
+SELECT qid, id, round((1 + c) / 2, 6) AS cosine, round(0.5 + atan(i) / pi(), 6) AS ip, round(1 - 2 * atan(l) / pi(), 6) AS l2, round(2 * atan(abs(i)) / pi(), 6) AS bm25 FROM v""")
 def score_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = vectors(spark, sf).join(F.broadcast(probes(spark, sf)))
+    """Normalised scores of the 20 best hits of each query by every metric."""
+    hits = knn(vectors(spark, sf), probes(spark, sf), "COSINE", 20).select("qid", "id", "score", "vector").join(F.broadcast(probes(spark, sf)), "qid")
     s = {m: metrics.public_score(m, F.col("vector"), F.col("qvector")) for m in ("COSINE", "IP", "L2")}
     n = {m: F.round(metrics.normalised(m, s[m]), 6).alias(m.lower()) for m in s}
-    return pairs.select("qid", "id", n["COSINE"], n["IP"], n["L2"], F.round(metrics.normalised("BM25", F.abs(s["IP"])), 6).alias("bm25"))
+    return hits.select("qid", "id", n["COSINE"], n["IP"], n["L2"], F.round(metrics.normalised("BM25", F.abs(s["IP"])), 6).alias("bm25"))
 
 
 def _routes(spark: SparkSession, sf: str) -> list[tuple[DataFrame, str]]:
@@ -272,11 +279,18 @@ def random_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ann(kind: str) -> Query:
+    """Written, with as much effort as the build has measured to be needed, and searched."""
+
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        v, q = vectors(spark, sf), probes(spark, sf)
+        v, q, path = vectors(spark, sf), probes(spark, sf), f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         if kind == "lsh":
-            return shown(ann.search_lsh(ann.build_lsh(v, 32, 4, dim=64), q, "COSINE", 10, 64, 32, 4), "rank")
-        return shown(ann.search_ivf(ann.build_ivf(v, "COSINE", 32, sq8=kind == "ivf_sq8"), q, 10, 28), "rank")
+            bits = ann.fit_lsh(v, "COSINE", 64)
+            ann.build_lsh(v, ann.TABLES, bits, dim=64).write.parquet(path)
+            return shown(ann.search_lsh(spark.read.parquet(path), q, "COSINE", 10, 64, ann.TABLES, bits), "rank")
+        index = ann.build_ivf(v, "COSINE", sq8=kind == "ivf_sq8")
+        index.rows.write.partitionBy("list").parquet(path)
+        index.rows = spark.read.parquet(path)
+        return shown(ann.search_ivf(index, q, 10), "rank")
 
     return run
 
@@ -285,11 +299,12 @@ for _k in ("ivf_flat", "ivf_sq8", "lsh"):
     query(None, f"ann_{_k}")(_ann(_k))
 
 
-@query(f"WITH {_Q}, {_scores('COSINE')} SELECT qid, id, round(score, 6) AS score FROM s WHERE score < 0.05 ORDER BY qid, score DESC, id LIMIT ALL")
+@query(f"""WITH {_Q}, {_scores('COSINE')}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s WHERE score < 0.05)
+SELECT qid, id, round(score, 6) AS score FROM r WHERE rank <= 50""")
 def search_iterator_page(spark: SparkSession, sf: str) -> DataFrame:
-    """What is left after the pages down to a score of 0.05."""
+    """The next page of 50 after the pages down to a score of 0.05; the page size is the feature."""
     hits = scored(vectors(spark, sf), probes(spark, sf), "COSINE")
-    return shown(hits.where(F.col("score") < 0.05))
+    return shown(top_k(hits.where(F.col("score") < 0.05), order("COSINE"), 50))
 
 
 # -- text

@@ -426,7 +426,7 @@ class Collection:
         extra = ["group_rank", "group_score"] if group_by else []
         return out.withColumn(self.pk, F.col("id")).select("qid", "id", "score", "rank", *extra, *shown) if self.pk != "id" else out.select("qid", "id", "score", "rank", *extra, *shown)
 
-    def search_index(self, queries: list | DataFrame, limit: int = 10, field: str | None = None, nprobe: int = ann.NPROBE) -> DataFrame:
+    def search_index(self, queries: list | DataFrame, limit: int = 10, field: str | None = None, nprobe: int | None = None) -> DataFrame:
         """(qid, id, score, rank) by the field's inverted-list or projection index, which is written anew if rows have changed since."""
         f = self._search_field(field)
         info = self.state["indexes"].get(f.name)
@@ -436,7 +436,7 @@ class Collection:
         q = self._query_frame(queries, f)
         if info["index_type"] == "LSH":
             return ann.search_lsh(rows, q, info["metric_type"], limit, f.dim, facts["tables"], facts["bits"])
-        return ann.search_ivf(ann.IvfIndex(rows, np.array(facts["centroids"]), info["metric_type"]), q, limit, nprobe)
+        return ann.search_ivf(ann.IvfIndex(rows, np.array(facts["centroids"]), info["metric_type"], nprobe=facts["nprobe"]), q, limit, nprobe)
 
     def build_index(self, field: str) -> tuple[DataFrame, dict]:
         """The written index of a field, lists as folders, and its facts; built if there is none for the present rows."""
@@ -448,12 +448,14 @@ class Collection:
             at.make()
             facts = {"seq": state["next_seq"], "info": info}
             if info["index_type"] == "LSH":
-                facts |= {"tables": info["params"].get("tables", ann.TABLES), "bits": info["params"].get("bits", ann.BITS)}
-                ann.build_lsh(self.live(), facts["tables"], facts["bits"], vector=field, id_col=self.pk, dim=f.dim).write.parquet(at.at("rows"))
+                tables = info["params"].get("tables", ann.TABLES)
+                bits = info["params"].get("bits") or ann.fit_lsh(self.live(), info["metric_type"], f.dim, tables, vector=field, id_col=self.pk)
+                facts |= {"tables": tables, "bits": bits}
+                ann.build_lsh(self.live(), tables, bits, vector=field, id_col=self.pk, dim=f.dim).write.parquet(at.at("rows"))
             else:
                 built = ann.build_ivf(self.live(), info["metric_type"], info["params"].get("nlist"), sq8=info["index_type"] == "IVF_SQ8", vector=field, id_col=self.pk)
                 built.rows.write.partitionBy("list").parquet(at.at("rows"))
-                facts["centroids"] = built.centroids.tolist()
+                facts |= {"centroids": built.centroids.tolist(), "nprobe": built.nprobe}
             at.write("facts.json", facts)
         return self.spark.read.parquet(at.at("rows")), facts
 
