@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Scatter, _union_find, bounded_batches, components, lookup, records, sized_broadcast, table, trim
+from orrery.llm.common import Scatter, _union_find, bounded_batches, components, discard, lookup, records, sized_broadcast, table, trim
 from orrery.llm.textbytes import mix, pieces, shingle_sets
 
 GRAM = 5
@@ -479,29 +479,32 @@ def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    scratch: list[str] = []
     survey = table(_survey(docs))
     rows = survey.where("block IS NULL")
     real = F.when(F.col("d") != _LEAST, F.col("d"))
-    per = table(rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("d", "digest")).alias("row"), F.min(real).alias("least"), F.first("n").alias("n")))
-    per = table(per.withColumn("nid", F.monotonically_increasing_id()))
+    per = table(rows.where("n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min(F.struct("d", "digest")).alias("row"), F.min(real).alias("least"), F.first("n").alias("n")), scratch)
+    per = table(per.withColumn("nid", F.monotonically_increasing_id()), scratch)
     total = rows.count()
     crowd = rows.where("n > 0").groupBy("m1").agg(F.count_distinct("key").alias("c")).where(F.col("c") >= max(total // 1000, 10_000)).collect()  # 1000 at most
     levels = _levels(survey.where("block IS NOT NULL"))
-    balls = table(_balls(_prefixes(docs, levels, {r["m1"]: math.ceil(r["c"] / 10_000) for r in crowd})))
+    balls = table(_balls(_prefixes(docs, levels, {r["m1"]: math.ceil(r["c"] / 10_000) for r in crowd})), scratch)
     size = balls.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0] // 4
-    pairs = table(_candidates(balls, max(1, math.ceil(size * _POST.itemsize / BUCKET_BYTES)), _hot_grams(balls, size)))
+    pairs = table(_candidates(balls, max(1, math.ceil(size * _POST.itemsize / BUCKET_BYTES)), _hot_grams(balls, size)), scratch)
     several = balls.where(F.size("keys") > 1).select(F.col("ball").alias("a"), F.col("ball").alias("b"))
-    todo = table(pairs.unionByName(several))
+    todo = table(pairs.unionByName(several), scratch)
     needed = todo.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
-    members = table(balls.select("ball", "keys").join(needed, "ball").select("ball", F.explode("keys").alias("key")).join(per.select("key", "nid", "row.d", "row.digest", "copies"), "key"))
-    payloads = table(_payloads(members, docs))
+    members = table(balls.select("ball", "keys").join(needed, "ball").select("ball", F.explode("keys").alias("key")).join(per.select("key", "nid", "row.d", "row.digest", "copies"), "key"), scratch)
+    payloads = table(_payloads(members, docs), scratch)
     first = payloads.select(F.col("ball").alias("a"), F.col("payload").alias("pa"))
     second = payloads.select(F.col("ball").alias("b"), F.col("payload").alias("pb"))
-    found = table(_compare(todo.join(first, "a").join(second, "b")))
+    found = table(_compare(todo.join(first, "a").join(second, "b")), scratch)
     counts = found.where("y IS NULL").groupBy(F.col("x").alias("nid")).agg(F.sum("n").alias("linked"))
-    comp = table(components(found.where("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "nid"))
+    comp = table(components(found.where("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "nid"), scratch)
     low = comp.join(per.select("nid", "least"), "nid").groupBy("component").agg(F.min("least").alias("low"))
     named = lookup(comp, low, "component").select("nid", "low", "component")
     answer = per.join(counts, "nid", "left").join(named, "nid", "left").select("key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("low", "least").alias("low"), F.coalesce("component", "nid").alias("group"))
-    out = lookup(rows.select(real.alias("doc_id"), "key", "n", "digest"), table(answer), "key")
+    answer = table(answer)
+    discard(spark, scratch)
+    out = lookup(rows.select(real.alias("doc_id"), "key", "n", "digest"), answer, "key")
     return out.select(*(["digest", "group"] if rows_too else []), "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("low", "doc_id").alias("component_id"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import _union_find, bounded_batches, components, lookup, sized_broadcast, table
+from orrery.llm.common import _union_find, bounded_batches, components, discard, lookup, sized_broadcast, table
 
 THRESHOLD = 0.93
 #: Axes in a block.
@@ -279,21 +279,23 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = vectors.sparkSession
     bounded_batches(spark, 2000)
+    scratch: list[str] = []
     rows = table(_survey(vectors))
     real = F.when(F.col("v") != _LEAST, F.col("v"))
-    per = table(rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"), F.min(real).alias("least"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw")))
-    per = table(per.withColumn("nid", F.monotonically_increasing_id()))
+    per = table(rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("copies"), F.min(real).alias("least"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw")), scratch)
+    per = table(per.withColumn("nid", F.monotonically_increasing_id()), scratch)
     dims = sorted(r[0] for r in per.select("dim").distinct().collect())
     found = None
     for d in dims:
         part = _links(per, d, threshold)
         found = part if found is None else found.unionByName(part)
-    found = table(found if found is not None else spark.createDataFrame([], "x long, y long, n long"))
+    found = table(found if found is not None else spark.createDataFrame([], "x long, y long, n long"), scratch)
     counts = found.where("y IS NULL").groupBy(F.col("x").alias("nid")).agg(F.sum("n").alias("linked"))
-    comp = table(components(found.where("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "nid"))
+    comp = table(components(found.where("y IS NOT NULL").select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "nid"), scratch)
     small = per.select("key", "nid", "least", "copies")
     low = comp.join(small.select("nid", "least"), "nid").groupBy("component").agg(F.min("least").alias("low"))
     named = lookup(comp, low, "component").select("nid", "low")
     answer = table(small.join(counts, "nid", "left").join(named, "nid", "left").select("key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("low", "least").alias("low")))
+    discard(spark, scratch)
     out = lookup(rows.select(real.alias("vec_id"), "key"), answer, "key").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("low", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
