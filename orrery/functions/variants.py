@@ -23,13 +23,19 @@ class Dynamic:
     """A variant column and its parts by type; each part is null where the value has another type."""
 
     value: Column
+    source: Column | None = None
+    path: str = "$"
 
     @property
     def kind(self) -> Column:
         return F.schema_of_variant(self.value)
 
     def at(self, keys: list[str | int]) -> Dynamic:
-        return Dynamic(F.try_variant_get(self.value, path_text(keys), "variant"))
+        return Dynamic(F.try_variant_get(self.value, path_text(keys), "variant"), self.value, path_text(keys))
+
+    def cast(self, kind: str) -> Column:
+        """The value as ``kind``, in one step from the text; other types are converted, too."""
+        return F.try_variant_get(self.value if self.source is None else self.source, self.path, kind)
 
     @property
     def number(self) -> Column:

@@ -468,9 +468,15 @@ class _Compiler:
             x, y = (F.when(~F.isnan(c), c) for c in (x, y))
         return _compare(op, x, y)
 
-    @staticmethod
-    def compare_dynamic(op: str, a: Typed, b: Typed) -> Column:
+    def compare_dynamic(self, op: str, a: Typed, b: Typed) -> Column:
         """By the type found at run time: other types are unequal, and their order is unknown."""
+        if self.positive and op != "!=" and (a.kind == "dyn") != (b.kind == "dyn"):
+            # only what is true counts: values are converted first, and the type is looked at where that compares as wanted
+            v, other = (a, b) if a.kind == "dyn" else (b, a)
+            kind, named = ("double", v.col.kind.rlike(variants.NUMERIC)) if other.kind in _NUMBERS else ("string", v.col.kind == "STRING") if other.kind == "str" else ("boolean", v.col.kind == "BOOLEAN") if other.kind == "bool" else (None, None)
+            if kind:
+                x, y = v.col.cast(kind), other.col.cast(kind)
+                return (_compare(op, x, y) if v is a else _compare(op, y, x)) & named
 
         def part(v: Typed, kind: str) -> Column | None:
             if v.kind == "dyn":
