@@ -29,11 +29,14 @@ SMOOTHING = 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is markup, code or controls, never text.
-_SILENT = frozenset("script style template noscript head title textarea select option button svg math iframe object canvas audio video map datalist dialog".split())
+_SILENT = frozenset("script style template noscript head title textarea select option button svg iframe canvas audio video map datalist dialog annotation annotation-xml".split())
 _RAW = frozenset("script style textarea title iframe noscript".split())
 #: Tags that a head may hold; any other one, or text, closes a head whose end tag is left out.
 _HEAD = frozenset("base basefont bgsound html link meta noframes noscript script style template title".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br img".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr br img"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle mpadded mfenced menclose msub msup msubsup munder mover munderover mmultiscripts semantics annotation annotation-xml".split()
+)
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
@@ -252,7 +255,8 @@ class TreeModel:
         own = np.array([sum((self.own.get(f, zero) for f in fs), zero) for p in pages for fs in p.feats])
         up = own.copy()  # own potential and all messages from below
         sent = np.zeros_like(own)
-        levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)]
+        order = np.argsort(depth, kind="stable")
+        levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)
         for who in reversed(levels[1:]):
             x = self.edge[None] + up[who][:, None, :]
             top = x.max(axis=2)

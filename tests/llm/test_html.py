@@ -69,6 +69,11 @@ def test_open_silent_elements():
     assert texts("<p>a</p><script>b<p>c</p>") == ["a"] and len(texts("<button>" * 3000 + "<p>x")) == 1
 
 
+def test_formulas_and_fallbacks():
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>") == ["so x=2 holds"]
+    assert texts("<p>a</p><object data=x><p>b</p></object><p>c</p>") == ["a", "b", "c"]
+
+
 def test_messages_against_enumeration(model):
     import itertools
 
