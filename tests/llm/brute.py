@@ -1,7 +1,9 @@
 """Plain-Python versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -154,3 +156,57 @@ def shared_words(docs, k=51):
                 hit.update(range(i, i + k))
         out.append((d, len(hit)))
     return out
+
+
+def letters(text):
+    """Lower-cased letters, runs of anything else as one space."""
+    out = []
+    for c in text or "":
+        if unicodedata.category(c)[0] == "L":
+            out.append(c.lower() if len(c.lower()) == 1 and ord(c) < 1 << 16 else c)
+        elif not out or out[-1] != " ":
+            out.append(" ")
+    return "".join(out)
+
+
+def _hashed(gram):
+    mask, h = (1 << 64) - 1, 0
+    for c in gram:
+        h = (h * 0x9E3779B97F4A7C15 + ord(c)) & mask
+    h = ((h + len(gram)) * 0xD6E8FEB86659FD93) & mask
+    return ((h ^ (h >> 32)) * 0xFF51AFD7ED558CCD & mask) >> 48
+
+
+def naive_bayes(train, texts, orders, cells, smoothing):
+    """train: (text, lang); for each text (language, posterior), or None without a letter."""
+    grams = lambda t: [_hashed(f[i : i + k]) for f in [letters(t)] for k in orders for i in range(len(f) - k + 1)]
+    counts, docs = defaultdict(Counter), Counter()
+    for t, lang in train:
+        counts[lang].update(grams(t))
+        docs[lang] += 1
+    out = []
+    for t in texts:
+        score = {}
+        for lang, c in sorted(counts.items()):
+            total = sum(c.values()) + smoothing * cells
+            score[lang] = math.log(docs[lang] / sum(docs.values())) + sum(math.log((c[g] + smoothing) / total) for g in grams(t))
+        best = max(score, key=lambda x: score[x])
+        out.append((best, 1 / sum(math.exp(s - score[best]) for s in score.values())) if any(unicodedata.category(c)[0] == "L" for c in t or "") else None)
+    return out
+
+
+def squares(sizes, size):
+    """For each piece the fill level of the window that it goes to: the sum of squared counts of partly filled windows gets least; ties: the fullest."""
+    c, out = Counter(), []
+    for n in sizes:
+        tries = []
+        for h in [0, *(h for h in c if c[h] and h + n <= size)] if n < size else [0]:
+            d = Counter(c)
+            if h:
+                d[h] -= 1
+            if h + n < size:
+                d[h + n] += 1
+            tries.append((sum(x * x for x in d.values()), -h, d))
+        _, h, c = min(tries, key=lambda x: x[:2])
+        out.append(-h)
+    return out

@@ -165,6 +165,27 @@ def test_sum_of_squares_choice():
     assert p.place(3) == (2, 0) and p.place(3)[0] in (2, 3)
 
 
+def test_sum_of_squares_against_all_choices():
+    import random
+
+    rng = random.Random(9)
+    for size, least in ((12, 1), (40, 3), (7, 1)):
+        p, sizes = packing.SumOfSquares(size), [rng.randint(least, size) for _ in range(1500)]
+        assert [p.place(n)[1] for n in sizes] == brute.squares(sizes, size)
+
+
+def test_language_against_plain_counts(spark, odd, documents):
+    some = [(r.text, r.lang) for r in documents.orderBy("doc_id").limit(40).collect()]
+    train = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(some)], "doc_id long, text string, lang string").where(~langid.held_out(F.col("doc_id")))
+    model = langid.fit(train)
+    rows = [(r.doc_id, r.text) for r in odd.where("length(text) < 2000 OR text IS NULL").collect()] + [(100 + i, t[:700]) for i, (t, _) in enumerate(some[:12])] + [(200, "ÀÉÎ straße ﬁ \U00010400 x"), (201, "a"), (202, "7 b 7")]
+    got = {str(r.doc_id) + str(r.text): (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model, ["doc_id", "text"]).collect()}
+    want = brute.naive_bayes([(r.text, r.lang) for r in train.collect()], [t for _, t in rows], langid.ORDERS, langid.HASH_SIZE, langid.SMOOTHING)
+    for (d, t), w in zip(rows, want):
+        lang, score = got[str(d) + str(t)]
+        assert (lang, score) == ("und", 0.0) if w is None else lang == w[0] and abs(score - w[1]) < 1e-2
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 @pytest.mark.parametrize("n", [3, 40])
 def test_sharding(request, which, n):
