@@ -39,7 +39,7 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(_read(spark, sf_dir, "documents"))
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
     spans = F.array_join(F.transform(F.concat("base", "secrets"), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", *counts, "base_sha256", spans.alias("spans"))
+    return found.select("doc_id", *counts, "base_sha256", spans.alias("spans"), (F.size("base") + F.size("secrets")).cast("long").alias("n_spans"))
 
 
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
