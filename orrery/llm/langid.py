@@ -173,14 +173,15 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str] | None = Non
     bounded_batches(spark)
     keep = ["doc_id"] if keep is None else keep
     shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs["text"].alias("_t"))
+    at = keep.index("text") if "text" in keep else len(keep)  # a text that is kept goes to Python once
+    source = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], *([docs["text"].alias("_t")] if at == len(keep) else []))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             langs: list[str] = []
             posts = [np.zeros(0)]
-            for _, _, data, off in pieces(b.column(len(keep)), 1 << 19):
+            for _, _, data, off in pieces(b.column(at), 1 << 19):
                 x, p = m.scores(data, off)
                 langs += x
                 posts.append(p)
