@@ -3,7 +3,7 @@
 One scan of the texts finds the base kinds and the *mentions*: the values that
 stand directly behind a cue word and an assignment sign (``token = "`` ...). Mentions are the edges
 of a bipartite graph of lexical patterns (cue, signs, what follows) and instances (values). Seed instances are
-values of unmistakable form (base entities; hexadecimal digests). Spark scores the graph in
+values of unmistakable form (base entities; hexadecimal identifiers). Spark scores the graph in
 rounds: a pattern is as trustworthy as the share of its instances that are known, instances
 of trusted patterns become known in turn, and every mention of a trusted pattern is a span of kind
 ``secret``.
@@ -40,7 +40,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _SIGN = re.compile(r"[:=#][\x20\t:=\"']{0,6}")
 _CUE = re.compile(r"(?:\A|[^A-Za-z_])([A-Za-z_]{2,24})[\x20\t]{0,3}\Z")
-_HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})\Z")
+#: Forms that nothing but an identifier has: digests, and 16 lower-case hexadecimal signs or more with letters and digits among them.
+_HEX = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,})\Z")
 
 
 def _luhn(digits: str) -> bool:

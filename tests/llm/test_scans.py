@@ -26,9 +26,10 @@ def test_pii_base(request, which):
 
 def test_pii_bootstrap(spark):
     rows = [(i, f'x token = "{i:040x}" y') for i in range(6)] + [(10, 'has token = "unseen-99-form" here'), (11, "plain word 20240101x and the 12345678"), (12, None)]
+    rows += [(20 + i, f"and password=b7db7aa4a5fcc7830{i} is") for i in range(3)] + [(30, "id=1234567890123456 id=2345678901234567 id=3456789012345678")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: [(s["start"], s["end"]) for s in r.secrets] for r in pii.extract(docs).collect()}
-    assert got[10] == [(13, 27)] and got[11] == [] and got[12] == [] and got[0] == [(11, 51)]
+    assert got[10] == [(13, 27)] and got[11] == [] and got[12] == [] and got[0] == [(11, 51)] and got[20] == [(13, 31)] and got[30] == []
     red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
     assert red[10] == 'has token = "<SECRET>" here' and red[12] is None and red[11] == rows[7][1]
 
