@@ -36,6 +36,12 @@ def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
     return queries.select("qid", F.explode(tokens).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` for work that takes far longer than moving them: in at least as many parts as there are cores, if they came in fewer."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def statistics(corpus: DataFrame, wanted: DataFrame) -> tuple[int, float, dict[str, int]]:
     """(documents, mean length, document frequency of the ``wanted`` terms) of ``corpus`` (tokens ``_t``), in one pass.
 
@@ -59,7 +65,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, tokens, *, text: str = "tex
     """
     spark = docs.sparkSession
     none = F.array().cast("array<string>")
-    corpus = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text)), none).alias("_t"), *([where.alias("_ok")] if where is not None else []))
+    corpus = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text"), *([where.alias("_ok")] if where is not None else [])))
+    corpus = corpus.withColumn("_t", F.coalesce(tokens(F.col("_text")), none)).drop("_text")
     q = query_terms(queries.select("qid", F.col(text)), tokens(F.col(text)))
     n, avgdl, df = statistics(corpus.select("_t"), q.select("term").distinct())
     hits = corpus.where("_ok").drop("_ok") if where is not None else corpus
