@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -93,6 +94,18 @@ def discard(spark: SparkSession, among: list[str]) -> None:
     among.clear()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go when the write or action that made them ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def likely(keys: DataFrame, most_bits: int = 1 << 27) -> Callable[[Column], Column]:
     """Whether a digest may be among ``keys`` (one column of digests of 16 bytes), by a Bloom filter of bounded size; never false for one that is."""
     spark = keys.sparkSession

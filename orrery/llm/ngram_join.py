@@ -7,6 +7,8 @@ Highly similar sets are gathered in balls around a first set: a ball is indexed
 differences to the first set. Two balls are compared by the overlap of their first sets; every other overlap is derived from that
 answer by adding and taking off what the differences have in common with the other side, without the sets themselves. Only counts and a
 spanning forest leave a comparison of two balls, never all pairs.
+A shared gram says little about balls of a large table. So pairs first meet as bitmaps, a bit or two for each gram, which bound
+the overlap from above; sets are fetched for the balls of the pairs that this leaves, which are nearly all linked.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import Scatter, _union_find, bounded_batches, components, discard, lookup, records, sized_broadcast, table, trim
+from orrery.llm.common import BROADCAST_BYTES, Scatter, _union_find, bounded_batches, components, discard, likely, lookup, records, shuffles_removed, sized_broadcast, table, trim
 from orrery.llm.textbytes import mix, pieces, shingle_sets
 
 GRAM = 5
@@ -49,6 +53,35 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """One to two bits for each gram of a set, 64 at least; the low bits of a gram say which is set."""
+    bits = np.zeros(max(64, 1 << (len(s) - 1).bit_length()), dtype=np.uint8)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(raw: bytes, size: int) -> int:
+    """A bitmap as a number, its halves laid over each other down to ``size`` bytes."""
+    x, n = int.from_bytes(raw, "little"), len(raw)
+    while n > size:
+        n //= 2
+        x = x >> 8 * n | x & (1 << 8 * n) - 1
+    return x
+
+
+def may_link(a: tuple[int, int, bytes, bytes], b: tuple[int, int, bytes, bytes]) -> bool:
+    """Whether a set of ball ``a`` can be linked with one of ``b``; false only where none is.
+
+    A ball is (smallest size, largest size, bits that all of its sets have, bits that any of them has). Each bit that all of ``a``
+    have and none of ``b`` stands for another gram that a set of ``a`` does not share, and the other way round.
+    """
+    size = min(len(a[3]), len(b[3]))
+    p = (folded(a[2], size) & ~folded(b[3], size)).bit_count()
+    q = (folded(b[2], size) & ~folded(a[3], size)).bit_count()
+    both = DEN + NUM  # linked sets of x and y grams share NUM * (x + y) / both at least, and x - p, y - q at most
+    return DEN * a[1] - NUM * b[0] >= both * p and DEN * b[1] - NUM * a[0] >= both * q and (DEN - NUM) * (a[1] + b[1]) >= both * (p + q)
+
+
 def _digest(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
@@ -134,14 +167,14 @@ def _levels(parts: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, hot: dict[int, int]) -> DataFrame:
-    """(bucket, key, n, low, prefix) of each task's distinct sets: its smallest hashes and its rarest grams in order."""
+    """(bucket, key, n, low, prefix, bits) of each task's distinct sets: its smallest hashes, its rarest grams in order and its bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast((levels, hot))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, salts = shared.value
         seen: set[bytes] = set()
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for _, _, data, off in pieces(b.column(1)):
                 for s in shingle_sets(data, off, GRAM):
                     if not len(s) or (k := _digest(s)) in seen:
@@ -155,16 +188,19 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, hot: dict[int, int]) -> DataF
                     cols[2].append(len(s))
                     cols[3].append((s[:32] >> np.uint64(32)).astype("<u4").tobytes())
                     cols[4].append(s[order].tobytes())
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "key", "n", "low", "prefix"])
+                    cols[5].append(bitmap(s))
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "key", "n", "low", "prefix", "bits"])
         del seen
         trim()
 
-    return _source(docs).mapInArrow(scan, "bucket long, key binary, n int, low binary, prefix binary")
+    return _source(docs).mapInArrow(scan, "bucket long, key binary, n int, low binary, prefix binary, bits binary")
 
 
 def _balls(prefixes: DataFrame) -> DataFrame:
-    """(ball, keys, lo, hi, grams, places): sets that share their smallest hash and most of the next ones, at most BALL_SETS together.
+    """(ball, keys, lo, hi, grams, places, common, bits): sets that share their smallest hash and most of the next ones, at most BALL_SETS together.
+
+    bits has the bits that any of its sets has; common those that all have, null if these are the same.
 
     Which sets share a ball decides the amount of work only. Copies of a set from several tasks meet in one bucket
     and become one.
@@ -178,27 +214,30 @@ def _balls(prefixes: DataFrame) -> DataFrame:
 
         def out(balls: list[list]) -> pa.RecordBatch:
             nonlocal made
-            cols: list[list] = [[], [], [], [], [], []]
-            for _, keys, ns, prefixes, _ in balls:
+            cols: list[list] = [[], [], [], [], [], [], [], []]
+            for _, keys, ns, prefixes, _, maps in balls:
                 g = np.concatenate(prefixes)
                 pos = np.concatenate([np.arange(len(x)) for x in prefixes])
                 order = np.lexsort((pos, g))
                 g, pos = g[order], pos[order]
                 first = np.r_[True, g[1:] != g[:-1]]
-                for c, v in zip(cols, (part + made, keys, min(ns), max(ns), g[first].tobytes(), pos[first].astype("<i4").tobytes())):
+                size = min(map(len, maps))
+                every = {folded(x, size) for x in maps}
+                common, bits = (f(every).to_bytes(size, "little") for f in (lambda z: reduce(and_, z), lambda z: reduce(or_, z)))
+                for c, v in zip(cols, (part + made, keys, min(ns), max(ns), g[first].tobytes(), pos[first].astype("<i4").tobytes(), None if common == bits else common, bits)):
                     c.append(v)
                 made += 1
-            kinds = (pa.int64(), pa.list_(pa.binary()), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ball", "keys", "lo", "hi", "grams", "places"])
+            kinds = (pa.int64(), pa.list_(pa.binary()), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["ball", "keys", "lo", "hi", "grams", "places", "common", "bits"])
 
         for b in batches:
             full = []
-            for bucket, key, n, low, prefix in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for bucket, key, n, low, prefix, bits in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if key in seen:
                     continue
                 seen.add(key)
                 low = set(np.frombuffer(low, dtype="<u4").tolist())
-                held += len(prefix)
+                held += len(prefix) + len(bits)
                 mine = open_.setdefault(bucket, [])
                 for ball in mine[-4:]:
                     if 5 * n >= 4 * ball[2][0] and 4 * n <= 5 * ball[2][0] and 2 * len(low & ball[0]) >= len(ball[0]):
@@ -206,12 +245,13 @@ def _balls(prefixes: DataFrame) -> DataFrame:
                         ball[2].append(n)
                         ball[3].append(np.frombuffer(prefix, dtype="<u8"))
                         ball[4] += n
+                        ball[5].append(bits)
                         if len(ball[1]) >= BALL_SETS or ball[4] >= BALL_GRAMS:
                             mine.remove(ball)
                             full.append(ball)
                         break
                 else:
-                    mine.append([low, [key], [n], [np.frombuffer(prefix, dtype="<u8")], n])
+                    mine.append([low, [key], [n], [np.frombuffer(prefix, dtype="<u8")], n, [bits]])
             if full:
                 yield out(full)
             if held > 48 << 20:
@@ -223,7 +263,7 @@ def _balls(prefixes: DataFrame) -> DataFrame:
         del rest, open_, seen
         trim()
 
-    return prefixes.repartition("bucket").mapInArrow(build, "ball long, keys array<binary>, lo int, hi int, grams binary, places binary")
+    return prefixes.repartition("bucket").mapInArrow(build, "ball long, keys array<binary>, lo int, hi int, grams binary, places binary, common binary, bits binary")
 
 
 def _hot_grams(balls: DataFrame, size: int) -> dict[int, int]:
@@ -350,6 +390,20 @@ def _candidates(balls: DataFrame, buckets: int, hot: dict[int, int]) -> DataFram
     return balls.select("ball", "lo", "hi", "grams", "places").mapInArrow(send, Scatter.SCHEMA).groupBy("bucket").applyInArrow(match, "a long, b long").distinct()
 
 
+def _promising(pairs: DataFrame, balls: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of balls that their bitmaps don't rule out."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = [[(lo, hi, bits if common is None else common, bits) for lo, hi, common, bits in zip(*(b.column(i).to_pylist() for i in at))] for at in (range(2, 6), range(6, 10))]
+            keep = pa.array([may_link(x, y) for x, y in zip(*sides)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
+
+    side = lambda name: balls.select(F.col("ball").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("lo", "hi", "common", "bits")))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", *(f"{c}_{x}" for x in "ab" for c in ("lo", "hi", "common", "bits"))).mapInArrow(test, "a long, b long")
+
+
 def _freeze(members: list[tuple[int, int, np.ndarray]]) -> bytes:
     """Sets of a ball as differences to the first one; a member is (id, copies, set)."""
     base = members[0][2]
@@ -464,22 +518,18 @@ def _payloads(members: DataFrame, docs: DataFrame) -> DataFrame:
         rows = {n: (n, c, np.frombuffer(g, dtype="<u8")) for n, c, g in zip(*(t.column(x).to_pylist() for x in ("nid", "copies", "grams")))}
         return pa.table({"ball": t.column("ball").combine_chunks()[:1], "payload": pa.array([zlib.compress(_freeze([rows[n] for n in sorted(rows)]), 1)], pa.binary())})
 
-    texts = _rows(docs).join(sized_broadcast(members.drop("key"), 64), ["d", "digest"])
+    rows, few = _rows(docs), members.drop("key")
+    if few.count() * 64 > BROADCAST_BYTES:
+        rows = rows.where(likely(few.select("digest"))(F.col("digest")))  # else all texts would move to be joined
+    texts = rows.join(sized_broadcast(few, 64), ["d", "digest"])
     return texts.select("ball", "nid", "copies", "text").mapInArrow(sets, "ball long, nid long, copies long, grams binary").groupBy("ball").applyInArrow(join, "ball long, payload binary")
 
 
-def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, n_similar, component_id) for every row of ``docs`` (doc_id, text).
-
-    A row's set: distinct runs of 5 words (ASCII white space between them, A-Z lower-cased); the whole
-    sequence if there are fewer. Null, empty and blank texts have the empty set and no links. n_similar counts the other rows
-    with Jaccard similarity of 0.8 at least, equal rows included; component_id is the smallest doc_id reached by links. A null
-    doc_id counts as a row and is never the smallest unless all are null. With ``rows_too`` also digest (``text_digest``) and
-    group, a number that exactly the rows joined by links share; null for an empty set.
-    """
+def _answers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(d, key, n, m1, digest, ...) for every row, and (key, n_similar, low, group) for every set that isn't empty."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     scratch: list[str] = []
+    early: list[str] = []
     survey = table(_survey(docs))
     rows = survey.where("block IS NULL")
     real = F.when(F.col("d") != _LEAST, F.col("d"))
@@ -488,13 +538,14 @@ def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
     total = rows.count()
     crowd = rows.where("n > 0").groupBy("m1").agg(F.count_distinct("key").alias("c")).where(F.col("c") >= max(total // 1000, 10_000)).collect()  # 1000 at most
     levels = _levels(survey.where("block IS NOT NULL"))
-    balls = table(_balls(_prefixes(docs, levels, {r["m1"]: math.ceil(r["c"] / 10_000) for r in crowd})), scratch)
+    balls = table(_balls(_prefixes(docs, levels, {r["m1"]: math.ceil(r["c"] / 10_000) for r in crowd})), early)
     size = balls.agg(F.coalesce(F.sum(F.octet_length("places")), F.lit(0))).first()[0] // 4
-    pairs = table(_candidates(balls, max(1, math.ceil(size * _POST.itemsize / BUCKET_BYTES)), _hot_grams(balls, size)), scratch)
+    pairs = table(_candidates(balls, max(1, math.ceil(size * _POST.itemsize / BUCKET_BYTES)), _hot_grams(balls, size)), early)
     several = balls.where(F.size("keys") > 1).select(F.col("ball").alias("a"), F.col("ball").alias("b"))
-    todo = table(pairs.unionByName(several), scratch)
+    todo = table(_promising(pairs, balls).unionByName(several), scratch)
     needed = todo.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
     members = table(balls.select("ball", "keys").join(needed, "ball").select("ball", F.explode("keys").alias("key")).join(per.select("key", "nid", "row.d", "row.digest", "copies"), "key"), scratch)
+    discard(spark, early)
     payloads = table(_payloads(members, docs), scratch)
     first = payloads.select(F.col("ball").alias("a"), F.col("payload").alias("pa"))
     second = payloads.select(F.col("ball").alias("b"), F.col("payload").alias("pb"))
@@ -506,5 +557,22 @@ def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
     answer = per.join(counts, "nid", "left").join(named, "nid", "left").select("key", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_similar"), F.coalesce("low", "least").alias("low"), F.coalesce("component", "nid").alias("group"))
     answer = table(answer)
     discard(spark, scratch)
+    return rows, answer
+
+
+def similar_sets(docs: DataFrame, rows_too: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, n_similar, component_id) for every row of ``docs`` (doc_id, text).
+
+    A row's set: distinct runs of 5 words (ASCII white space between them, A-Z lower-cased); the whole
+    sequence if there are fewer. Null, empty and blank texts have the empty set and no links. n_similar counts the other rows
+    with Jaccard similarity of 0.8 at least, equal rows included; component_id is the smallest doc_id reached by links. A null
+    doc_id counts as a row and is never the smallest unless all are null. With ``rows_too`` also digest (``text_digest``) and
+    group, a number that exactly the rows joined by links share; null for an empty set.
+    """
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    with shuffles_removed(spark):
+        rows, answer = _answers(docs)
+    real = F.when(F.col("d") != _LEAST, F.col("d"))
     out = lookup(rows.select(real.alias("doc_id"), "key", "n", "digest"), answer, "key")
     return out.select(*(["digest", "group"] if rows_too else []), "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("low", "doc_id").alias("component_id"))

@@ -1,11 +1,12 @@
 """The Jaccard join against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 
-from orrery.llm import ngram_join
+from orrery.llm import common, ngram_join
 from tests.llm import brute
 from tests.llm.conftest import pairs
 
@@ -63,6 +64,62 @@ def test_overlaps():
         assert x.ids.tolist() == list(range(m)) and x.copies.tolist() == list(range(1, m + 1)) and x.sizes.tolist() == [len(s) for s in a]
 
 
+def test_bitmaps_rule_out_no_link():
+    """Whatever pair of balls the bitmaps rule out has no link; most pairs of unlike sets are ruled out."""
+    rng = np.random.default_rng(2)
+    out = {True: 0, False: 0}
+    for i in range(600):
+        n = int(rng.integers(1, 90))
+        base = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        share = rng.choice([0.1, 0.5, 0.85, 0.95])
+        near = lambda: np.unique(np.r_[base[rng.random(len(base)) < share], rng.integers(0, 1 << 63, int(rng.integers(1, 2 + n // 20))).astype(np.uint64)])  # noqa: B023, E731
+        sides = [[near() for _ in range(rng.integers(1, 4))] for _ in range(2)]
+        balls = []
+        for sets in sides:
+            size = min(len(ngram_join.bitmap(s)) for s in sets)
+            maps = [ngram_join.folded(ngram_join.bitmap(s), size) for s in sets]
+            every, some = maps[0], maps[0]
+            for m in maps[1:]:
+                every, some = every & m, some | m
+            balls.append((min(map(len, sets)), max(map(len, sets)), every.to_bytes(size, "little"), some.to_bytes(size, "little")))
+        link = any(ngram_join.DEN * (o := len(np.intersect1d(s, t))) >= ngram_join.NUM * (len(s) + len(t) - o) for s in sides[0] for t in sides[1])
+        assert ngram_join.may_link(*balls) or not link
+        assert ngram_join.may_link(*balls) == ngram_join.may_link(*balls[::-1])
+        out[link] += ngram_join.may_link(*balls)
+    assert out[True] > 50 and out[False] < 300
+
+
+def test_sets_of_unlinked_balls_stay_where_they_are(spark, monkeypatch):
+    """Texts that share a few grams and have no link are compared by their bitmaps only; linked ones are found."""
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join([f"w{i}_{k}" for k in range(120)] + shared)) for i in range(40)]
+    rows += [(100 + i, t + " end") for i, t in rows[:3]]
+    fetched = []
+    plain = ngram_join._payloads
+    monkeypatch.setattr(ngram_join, "_payloads", lambda members, docs: fetched.append(members.count()) or plain(members, docs))
+    monkeypatch.setattr(ngram_join, "_levels", lambda parts: np.zeros(ngram_join.CELLS, dtype=np.uint8))  # as in a large table, where no gram looks rare
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", 0)  # the way of many members
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.similar_sets(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(brute.jaccard_links(pairs(docs)))
+    assert fetched == [6]
+
+
+def test_shuffle_files_are_removed(spark, tmp_path):
+    """A write within leaves no shuffle file behind, and the setting is as before afterwards."""
+    count = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, plain = count(), spark.conf.get(name)
+    with common.shuffles_removed(spark):
+        assert spark.conf.get(name) == "true"
+        for i in range(5):
+            spark.range(1000).repartition(7, "id").write.parquet(f"{tmp_path}/{i}")
+    end = time.time() + 20
+    while count() > before and time.time() < end:
+        time.sleep(0.2)
+    assert count() <= before and spark.conf.get(name) == plain
+
+
 def test_equal_rows_and_texts_of_one_id(spark):
     """Many rows without an id and rows of one id with other texts, repeated as they are."""
     texts = ["a b c d e f g h", "a b c d e f g h i", "k l m n o p q r", "one two"]
