@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import decontam, langid, ngram_join, packing, pii
-from orrery.llm.common import lookup, scratch_dir, sized_broadcast, table
+from orrery.llm.common import BROADCAST_BYTES, likely, lookup, scratch_dir, shuffles_removed, sized_broadcast, table
 
 #: The first stage is a fitted classifier and the last a tokenizer, so no SQL gives these rows; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
@@ -30,14 +30,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are told apart by id and text, so ids may repeat or be null; of rows that agree in both the least in all columns
     stays. Documents without words link with nothing and stay.
     """
-    found = table(ngram_join.similar_sets(docs, rows_too=True).where("group IS NOT NULL").select("group", "doc_id", "digest"))
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    several = found.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
-    ranked = table(lookup(found, table(several), "group", "inner").select(ngram_join.row_id(F.col("doc_id")).alias("_d"), F.col("digest").alias("_t"), rank.eqNullSafe(F.col("first")).alias("kept")))
-    gone = table(ranked.where("NOT kept").select("_d", "_t").distinct())
-    repeated = table(ranked.where("kept").groupBy("_d", "_t").count().where("count > 1").select("_d", "_t"))
+    with shuffles_removed(spark):
+        found = table(ngram_join.similar_sets(docs, rows_too=True).where("group IS NOT NULL").select("group", "doc_id", "digest"))
+        rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+        several = found.groupBy("group").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("group", "first")
+        ranked = table(lookup(found, table(several), "group", "inner").select(ngram_join.row_id(F.col("doc_id")).alias("_d"), F.col("digest").alias("_t"), rank.eqNullSafe(F.col("first")).alias("kept")))
+        gone = table(ranked.where("NOT kept").select("_d", "_t").distinct())
+        repeated = table(ranked.where("kept").groupBy("_d", "_t").count().where("count > 1").select("_d", "_t"))
     keyed = docs.withColumns({"_d": ngram_join.row_id(docs["doc_id"]), "_t": ngram_join.text_digest(docs["text"])})
-    kept = keyed.join(sized_broadcast(gone, 40), ["_d", "_t"], "left_anti")
+    if gone.count() * 40 <= BROADCAST_BYTES:
+        kept = keyed.join(sized_broadcast(gone, 40), ["_d", "_t"], "left_anti")
+    else:  # a text that surely stays does not move
+        maybe = likely(gone.select("_t"))(F.col("_t"))
+        kept = keyed.where(~maybe).unionByName(keyed.where(maybe).join(gone, ["_d", "_t"], "left_anti"))
     if repeated.isEmpty():
         return kept.select(*docs.columns)
     one = F.min(F.struct(*docs.columns)).alias("row")

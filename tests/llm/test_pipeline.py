@@ -64,3 +64,15 @@ def test_repeated_and_null_ids_of_other_texts(spark):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 100
+
+
+def test_many_copies_to_drop(spark, monkeypatch):
+    """With more dropped rows than a broadcast takes, only texts that may be dropped are joined; null and repeated ids included."""
+    monkeypatch.setattr(P, "BROADCAST_BYTES", 0)
+    text = "a b c d e f g h i j k l m n"
+    rows = [(i, f"{text} {i}") for i in range(3)] + [(None, f"{text} 1"), (7, "x y z"), (7, "x y z"), (7, "u v w"), (8, None), (9, text), (9, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = P.drop_near_duplicates(spark, docs, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") < plan.rindex("ArrowEvalPython")
+    assert sorted(map(tuple, got.collect())) == [(0, f"{text} 0"), (7, "u v w"), (7, "x y z"), (8, None)]
