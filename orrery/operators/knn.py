@@ -1,27 +1,26 @@
-"""Exact nearest-neighbour search as one lazy plan.
+"""Exact nearest-neighbour search.
 
-Queries are few and their number and size are checked before they are broadcast; each task keeps its own best k per query
-(WindowGroupLimit) before anything is shuffled. Many queries run as matrix products in Arrow batches with the same partial top-k.
+The number and size of the queries are checked before they are broadcast. Searches run as matrix products in Arrow batches (``scan``); each task
+keeps its own best k per query before anything is shuffled. ``scored`` is the plain product of rows and queries as column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.errors import QueryError
 from orrery.functions import metrics
+from orrery.operators.scan import Range, best_pairs
 
 #: Largest k plus offset of a search.
 MOST_HITS = 16_384
 #: Components of all query vectors together that are broadcast; more queries are searched in groups of this size.
 BROADCAST_COMPONENTS = 4_000_000
-#: From so many queries on, scores come from matrix products in Arrow batches.
-MATRIX_QUERIES = 64
+#: Groups of a grouped search for which each task keeps the best hits; beyond, all pairs of rows and queries are ranked.
+MOST_GROUPS = 1000
 
 
 def scored(rows: DataFrame, queries: DataFrame, metric: str, vector: str = "vector", query_vector: str = "qvector") -> DataFrame:
@@ -60,10 +59,14 @@ def order(metric: str, id_col: str = "id") -> list[Column]:
     return [metrics.best_first(metric, F.col("score")), F.col(id_col).asc()]
 
 
-def top_k(hits: DataFrame, by: list[Column], k: int, offset: int = 0, rank: str = "rank") -> DataFrame:
-    """Per qid the hits ``offset`` + 1 to ``offset`` + k in the given order, with their rank from 1."""
+def check_limits(k: int, offset: int) -> None:
     if k < 1 or offset < 0 or k + offset > MOST_HITS:
         raise QueryError(f"k is at least 1, offset at least 0 and their sum at most {MOST_HITS}")
+
+
+def top_k(hits: DataFrame, by: list[Column], k: int, offset: int = 0, rank: str = "rank") -> DataFrame:
+    """Per qid the hits ``offset`` + 1 to ``offset`` + k in the given order, with their rank from 1."""
+    check_limits(k, offset)
     ranked = hits.withColumn(rank, F.row_number().over(Window.partitionBy("qid").orderBy(*by))).where(F.col(rank) <= k + offset)
     return ranked.where(F.col(rank) > offset).withColumn(rank, F.col(rank) - offset) if offset else ranked
 
@@ -72,23 +75,31 @@ def grouped_top_k(hits: DataFrame, by: list[Column], group: str, groups: int, si
     """Per qid the best ``groups`` groups after ``offset``, each with its best ``size`` hits.
 
     Groups are ordered by their best hit; null is a group. ``strict`` leaves out groups with fewer than ``size`` hits before
-    groups are counted. Adds group_rank and rank (within the group).
+    groups are counted. Adds group_rank and rank (within the group). The hits are computed once.
     """
     if groups < 1 or size < 1 or offset < 0:
         raise QueryError("limit and group_size are at least 1, offset at least 0")
-    within = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid", group).orderBy(*by))).where(F.col("rank") <= size)
+    own = Window.partitionBy("qid", group)
+    within = hits.withColumn("rank", F.row_number().over(own.orderBy(*by))).where(F.col("rank") <= size)
     if strict:
-        within = within.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("qid", group))).where(F.col("_n") == size).drop("_n")
-    heads = within.where("rank = 1").select("qid", F.col(group).alias("_g"), F.row_number().over(Window.partitionBy("qid").orderBy(*by)).alias("group_rank")).where((F.col("group_rank") <= groups + offset) & (F.col("group_rank") > offset))
-    heads = heads.withColumnRenamed("qid", "_qid")
-    out = within.join(heads, (F.col("qid") == F.col("_qid")) & F.col(group).eqNullSafe(F.col("_g"))).drop("_qid", "_g")
-    return out.withColumn("group_rank", F.col("group_rank") - offset)
+        within = within.withColumn("_n", F.count(F.lit(1)).over(own)).where(F.col("_n") == size).drop("_n")
+    out = numbered_groups(within, by, group)
+    return out.where((F.col("group_rank") <= groups + offset) & (F.col("group_rank") > offset)).withColumn("group_rank", F.col("group_rank") - offset)
+
+
+def numbered_groups(within: DataFrame, by: list[Column], group: str) -> DataFrame:
+    """``within``, hits with their rank in their group, with group_rank: the place of the group's first hit among first hits, by ``by``."""
+    first = F.col("rank") == 1
+    so_far = F.count(F.when(first, F.lit(1))).over(Window.partitionBy("qid").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = Window.partitionBy("qid", group)
+    return within.withColumn("_at", so_far).withColumn("group_rank", F.max(F.when(first, F.col("_at"))).over(own)).drop("_at")
 
 
-def knn(rows: DataFrame, queries: DataFrame, metric: str = "COSINE", k: int = 10, *, where: Column | None = None, radius: float | None = None, range_filter: float | None = None, offset: int = 0, group_by: str | None = None, group_size: int = 1, strict: bool = False, vector: str = "vector", id_col: str = "id") -> DataFrame:
-    """Per query (qid, qvector) the best rows with their public score and rank.
+def knn(rows: DataFrame, queries: DataFrame, metric: str = "COSINE", k: int = 10, *, where: Column | None = None, radius: float | None = None, range_filter: float | None = None, offset: int = 0, group_by: str | None = None, group_size: int = 1, strict: bool = False, vector: str = "vector", id_col: str = "id", also: tuple[str, ...] = ()) -> DataFrame:
+    """Per query (qid, qvector) the best rows with their public score and rank, and all columns of theirs but the vector.
 
-    Filters and ranges apply before the top-k, so the result never has fewer hits than exist.
+    Filters and ranges apply before the top-k, so the result never has fewer hits than exist. ``also``: metrics whose scores the hits get, too,
+    as score_l2 and so on.
     """
     if where is not None:
         rows = rows.where(where)
@@ -96,86 +107,36 @@ def knn(rows: DataFrame, queries: DataFrame, metric: str = "COSINE", k: int = 10
         low, high = (radius, range_filter) if metric not in metrics.ASCENDING else (range_filter, radius)
         if low >= high:
             raise QueryError("radius and range_filter leave nothing between them")
-    hits = scored(rows, queries, metric, vector)
-    if radius is not None or range_filter is not None:
-        hits = hits.where(metrics.in_range(metric, F.col("score"), radius, range_filter))
+    check_limits(k, offset)
+    carry = [c for c in rows.columns if c not in (vector, id_col)]
     if group_by is not None:
+        if few_groups(rows, group_by):
+            hits = best_pairs(rows, queries, metric, group_size, vector=vector, id_col=id_col, carry=carry, group=group_by, within=limits(metric, radius, range_filter), also=also)
+        else:
+            hits = scored(rows, queries, metric, vector)
+            if radius is not None or range_filter is not None:
+                hits = hits.where(metrics.in_range(metric, F.col("score"), radius, range_filter))
         return grouped_top_k(hits, order(metric, id_col), group_by, k, group_size, strict, offset)
+    hits = best_pairs(rows, queries, metric, k + offset, vector=vector, id_col=id_col, carry=carry, within=limits(metric, radius, range_filter), also=also)
     return top_k(hits, order(metric, id_col), k, offset)
 
 
-def knn_matrix(rows: DataFrame, queries: DataFrame, metric: str, k: int, vector: str = "vector", id_col: str = "id") -> DataFrame:
-    """(qid, id, score, rank) for many queries: scores by matrix products, the best k of each Arrow batch, then the best k of all.
+def limits(metric: str, radius: float | None, range_filter: float | None) -> Range | None:
+    """As ``metrics.in_range``."""
+    if radius is None and range_filter is None:
+        return None
+    if metric in metrics.ASCENDING:
+        return Range(-math.inf if range_filter is None else range_filter, math.inf if radius is None else radius, low_closed=True)
+    return Range(-math.inf if radius is None else radius, math.inf if range_filter is None else range_filter, high_closed=True)
 
-    The queries come to the driver in groups of BROADCAST_COMPONENTS components; ids are longs.
-    """
-    metrics.check_metric(metric)
-    got = queries.where(F.col("qvector").isNotNull()).select("qid", "qvector").toLocalIterator()
-    out, ids, vectors, size = [], [], [], 0
-
-    def group() -> None:
-        nonlocal ids, vectors, size
-        if ids:
-            out.append(_matrix_part(rows, np.array(ids), np.array(vectors, dtype=np.float64), metric, k, vector, id_col))
-        ids, vectors, size = [], [], 0
-
-    for r in got:
-        if size + len(r.qvector) > BROADCAST_COMPONENTS:
-            group()
-        ids.append(r.qid)
-        vectors.append(r.qvector)
-        size += len(r.qvector)
-    group()
-    if not out:
-        return rows.select(F.lit(0).cast("long").alias("qid"), F.col(id_col).cast("long").alias("id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    hits = out[0]
-    for o in out[1:]:
-        hits = hits.unionByName(o)
-    return top_k(hits, order(metric), k)
-
-
-def _matrix_part(rows: DataFrame, qid: np.ndarray, q: np.ndarray, metric: str, k: int, vector: str, id_col: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((qid, q))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = shared.value
-        best = np.zeros(0, dtype=[("q", "<i8"), ("s", "<f8"), ("id", "<i8")])
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            col = b.column(1)
-            if len(ids):
-                v = np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(ids), -1)
-                if v.shape[1] == q.shape[1]:
-                    best = np.concatenate([best, _best(qid, q, ids, v, metric, k)])
-                    if len(best) > 4 * k * len(qid):
-                        best = _cut(best, metric, k)
-        best = _cut(best, metric, k)
-        yield pa.record_batch([pa.array(best["q"]), pa.array(best["id"]), pa.array(best["s"])], names=["qid", "id", "score"])
-
-    return rows.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), vector).mapInArrow(run, "qid long, id long, score double")
-
-
-def _best(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, metric: str, k: int) -> np.ndarray:
-    s = v @ q.T
-    if metric == "COSINE":
-        n = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
-        s = np.where(n > 0, np.minimum(s / np.where(n > 0, n, 1), 1.0), 0.0)
-    elif metric == "L2":
-        s = np.stack([((v - x) ** 2).sum(1) for x in q], axis=1)
-    key = s if metric == "L2" else -s
-    m = min(k, len(ids))
-    cut = np.partition(key, m - 1, axis=0)[m - 1]
-    i, j = np.nonzero(key <= cut[None, :])  # all ties of the last one stay
-    out = np.empty(len(i), dtype=[("q", "<i8"), ("s", "<f8"), ("id", "<i8")])
-    out["q"], out["s"], out["id"] = qid[j], s[i, j], ids[i]
-    return out
-
-
-def _cut(best: np.ndarray, metric: str, k: int) -> np.ndarray:
-    if not len(best):
-        return best
-    order_ = np.lexsort((best["id"], best["s"] if metric == "L2" else -best["s"], best["q"]))
-    best = best[order_]
-    start = np.flatnonzero(np.r_[True, best["q"][1:] != best["q"][:-1]])
-    rank = np.arange(len(best)) - np.repeat(start, np.diff(np.r_[start, len(best)]))
-    return best[rank < k]
+
+def few_groups(rows: DataFrame, group: str) -> bool:
+    return rows.select(group).distinct().limit(MOST_GROUPS + 1).count() <= MOST_GROUPS
+
+
+def knn_matrix(rows: DataFrame, queries: DataFrame, metric: str, k: int, vector: str = "vector", id_col: str = "id") -> DataFrame:
+    """(qid, id, score, rank) and nothing else of the rows; ids are longs."""
+    check_limits(k, 0)
+    some = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("vector"))
+    asked = queries.select(F.col("qid").cast("long").alias("qid"), "qvector")
+    return top_k(best_pairs(some, asked, metric, k), order(metric), k)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from orrery.functions import metrics, temporal, text
 from orrery.operators import ann, fulltext, fusion, live
-from orrery.operators.knn import MATRIX_QUERIES, grouped_top_k, knn, knn_matrix, order, scored, top_k
+from orrery.operators.knn import grouped_top_k, knn, knn_matrix, order, scored, top_k
+from orrery.operators.scan import Range, Weight, best_pairs
 from orrery.plans.chain import Chain, expression, from_spec, hybrid
 from orrery.plans.filter import predicate
 from orrery.schema import CollectionSpec, FieldSpec
@@ -70,10 +71,7 @@ def _top(metric: str, k: int = 10, offset: int = 0, where: str = "TRUE", keep: s
 
 def _knn(metric: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        q = probes(spark, sf)
-        if q.limit(MATRIX_QUERIES).count() >= MATRIX_QUERIES:
-            return shown(knn_matrix(vectors(spark, sf), q, metric, 10), "rank")
-        return shown(knn(vectors(spark, sf), q, metric, 10), "rank")
+        return shown(knn(vectors(spark, sf).drop("label"), probes(spark, sf), metric, 10), "rank")
 
     return run
 
@@ -183,8 +181,8 @@ v AS (SELECT b.qid, b.id, b.score AS c, list_inner_product(e.embedding::DOUBLE[]
 SELECT qid, id, round((1 + c) / 2, 6) AS cosine, round(0.5 + atan(i) / pi(), 6) AS ip, round(1 - 2 * atan(l) / pi(), 6) AS l2, round(2 * atan(abs(i)) / pi(), 6) AS bm25 FROM v""")
 def score_normalise(spark: SparkSession, sf: str) -> DataFrame:
     """Normalised scores of the 20 best hits of each query by every metric."""
-    hits = knn(vectors(spark, sf), probes(spark, sf), "COSINE", 20).select("qid", "id", "score", "vector").join(F.broadcast(probes(spark, sf)), "qid")
-    s = {m: metrics.public_score(m, F.col("vector"), F.col("qvector")) for m in ("COSINE", "IP", "L2")}
+    hits = knn(vectors(spark, sf).drop("label"), probes(spark, sf), "COSINE", 20, also=("IP", "L2"))
+    s = {"COSINE": F.col("score"), "IP": F.col("score_ip"), "L2": F.col("score_l2")}
     n = {m: F.round(metrics.normalised(m, s[m]), 6).alias(m.lower()) for m in s}
     return hits.select("qid", "id", n["COSINE"], n["IP"], n["L2"], F.round(metrics.normalised("BM25", F.abs(s["IP"])), 6).alias("bm25"))
 
