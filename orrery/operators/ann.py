@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.errors import QueryError
-from orrery.operators.knn import knn, order, top_k
+from orrery.operators.knn import order, top_k
+from orrery.operators.scan import best_pairs
 
 #: Vectors that centroids and component ranges are fitted on, at most; which ones depends on the id alone.
 FIT_ROWS = 20_000
@@ -26,6 +27,8 @@ LEAST_LISTS, MOST_LISTS = 16, 4096
 #: that much of what an exact search in the sample finds is the effort of a search that doesn't ask for another.
 TARGET = 0.96
 TRIALS = 256
+#: Vectors that are held against all centroids at once.
+BLOCK = 1024
 #: Tables of random projections, and the numbers of bits that are tried, the most selective first.
 TABLES = 32
 BITS = (12, 10, 8, 7, 6, 5, 4, 3, 2)
@@ -110,12 +113,12 @@ def build_ivf(rows: DataFrame, metric: str = "L2", nlist: int | None = None, *,
                 continue
             v = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, -1)
             u = _unit(v) if metric == "COSINE" else v
-            d = (c * c).sum(1)[None, :] - 2 * u @ c.T
+            near = np.concatenate([((c * c).sum(1)[None, :] - 2 * u[at : at + BLOCK] @ c.T).argmin(1) for at in range(0, n, BLOCK)])
             out = u if sq8 else v
             if sq8:
                 out = np.clip(np.rint((u - low) / step), 0, 255) * step + low
             flat = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * v.shape[1]), pa.array(out.ravel().astype(np.float32)))
-            yield pa.record_batch([b.column(0), flat, pa.array(d.argmin(1).astype(np.int32))], names=["id", "vector", "list"])
+            yield pa.record_batch([b.column(0), flat, pa.array(near.astype(np.int32))], names=["id", "vector", "list"])
 
     kind = rows.schema[id_col].dataType.simpleString()
     listed = rows.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), vector).mapInArrow(assign, f"id {kind}, vector array<float>, list int")
@@ -125,21 +128,17 @@ def build_ivf(rows: DataFrame, metric: str = "L2", nlist: int | None = None, *,
 def search_ivf(index: IvfIndex, queries: DataFrame, k: int = 10, nprobe: int | None = None) -> DataFrame:
     """(qid, id, score, rank) from the ``nprobe`` lists nearest to each query; as many as the index was set to, if no number is given."""
     c, metric = index.centroids, index.metric
-    qs = queries.select("qid", "qvector").collect()  # the queries of one search; they are broadcast below
-    x = np.array([r.qvector for r in qs], dtype=np.float64)
-    if not len(x):
-        return knn(index.rows.limit(0), queries, metric, k).select("qid", "id", "score", "rank")
-    u = _unit(x) if metric == "COSINE" else x
-    d = (c * c).sum(1)[None, :] - 2 * u @ c.T
-    nprobe = index.nprobe if nprobe is None else nprobe
-    near = np.argsort(d, axis=1, kind="stable")[:, : max(1, min(nprobe, len(c)))]
-    spark = index.rows.sparkSession
-    probes = spark.createDataFrame([(r.qid, int(p)) for r, ps in zip(qs, near) for p in ps], "qid long, list int")
-    rows = index.rows.where(F.col("list").isin([int(p) for p in np.unique(near)]))
-    pairs = rows.join(F.broadcast(probes), "list").join(F.broadcast(queries.select("qid", "qvector")), "qid")
-    from orrery.functions import metrics
-
-    hits = pairs.withColumn("score", metrics.public_score(metric, F.col("vector"), F.col("qvector"))).select("qid", "id", "score")
+    nprobe = max(1, min(index.nprobe if nprobe is None else nprobe, len(c)))
+
+    def lists_of(q: np.ndarray) -> np.ndarray:
+        probed = np.zeros((len(q), len(c)), dtype=bool)
+        for at in range(0, len(q), BLOCK):
+            u = _unit(q[at : at + BLOCK]) if metric == "COSINE" else q[at : at + BLOCK]
+            d = (c * c).sum(1)[None, :] - 2 * u @ c.T
+            np.put_along_axis(probed[at : at + BLOCK], np.argsort(d, axis=1, kind="stable")[:, :nprobe], True, axis=1)
+        return probed
+
+    hits = best_pairs(index.rows, queries, metric, k, dim=c.shape[1], lists_of=lists_of)
     return top_k(hits, order(metric), k)
 
 
@@ -161,13 +160,17 @@ def build_lsh(rows: DataFrame, tables: int, bits: int, *, vector: str = "vector"
     """(id, vector, buckets): signs of seeded random projections, one bucket for each table."""
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     shared = rows.sparkSession.sparkContext.broadcast(planes)
-    weights = 1 << np.arange(bits)
+def _buckets(v: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
+    """Vectors by tables; buckets of different tables have different numbers."""
+    return ((v @ planes > 0).reshape(len(v), tables, bits) * (1 << np.arange(bits))).sum(2) + np.arange(tables) * (1 << bits)
+
+
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 v = np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(b.num_rows, -1)
-                s = ((v @ shared.value > 0).reshape(b.num_rows, tables, bits) * weights).sum(2) + np.arange(tables) * (1 << bits)
+                s = _buckets(v, shared.value, tables, bits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * tables), pa.array(s.ravel().astype(np.int32)))
                 yield pa.record_batch([b.column(0), b.column(1), lists], names=["id", "vector", "buckets"])
 
@@ -179,15 +182,12 @@ def build_lsh(rows: DataFrame, tables: int, bits: int, *, vector: str = "vector"
 def search_lsh(index: DataFrame, queries: DataFrame, metric: str, k: int, dim: int, tables: int, bits: int, seed: int = 1) -> DataFrame:
     """(qid, id, score, rank) of the rows that share a bucket with a query.
 
-    Rows meet queries by bucket: a join on equal keys, whose pairs are made distinct before a vector is fetched.
+    Each task holds its rows against all queries: where buckets are as wide as they have to be for most pairs to share one, a join of buckets
+    would write nearly all pairs.
     """
-    from orrery.functions import metrics
-
-    hashed = build_lsh(queries.select(F.col("qid").alias("id"), F.col("qvector").alias("vector")), tables, bits, dim=dim, seed=seed)
-    asked = hashed.select(F.col("id").alias("qid"), F.explode("buckets").alias("bucket"))
-    met = index.select("id", F.explode("buckets").alias("bucket")).join(F.broadcast(asked), "bucket").select("qid", "id").distinct()
-    pairs = met.join(index.select("id", "vector"), "id").join(F.broadcast(queries.select("qid", "qvector")), "qid")
-    return top_k(pairs.withColumn("score", metrics.public_score(metric, F.col("vector"), F.col("qvector"))).select("qid", "id", "score"), order(metric), k)
+    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+    hits = best_pairs(index, queries, metric, k, dim=dim, buckets_of=lambda q: _buckets(q, planes, tables, bits))
+    return top_k(hits, order(metric), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import knn as knn_module, scan
+from orrery.operators import ann, knn as knn_module, scan
 from orrery.operators.knn import grouped_top_k, knn, order, scored, top_k
 from orrery.operators.scan import Range
 
@@ -102,3 +102,17 @@ def test_what_a_task_keeps(monkeypatch):
 def test_range_of_nan():
     assert Range(low=0.5).holds(np.array([np.nan, 0.5, 0.6, math.inf])).tolist() == [True, False, True, True]
     assert Range(high=0.5, high_closed=True).holds(np.array([np.nan, 0.5, 0.6])).tolist() == [False, True, False]
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "L2"])
+@pytest.mark.parametrize("bits_", [1, 3, 9])
+def test_buckets(odd, asked, metric, bits_):
+    """Rows that share a bucket with a query, found without a pair of keys being written."""
+    v = odd.where("size(vector) = 6 AND NOT isnan(vector[0])")
+    index = ann.build_lsh(v, 3, bits_, dim=6)
+    hashed = ann.build_lsh(asked.where("size(qvector) = 6 AND NOT isnan(qvector[0])").selectExpr("qid AS id", "qvector AS vector"), 3, bits_, dim=6).select(F.col("id").alias("qid"), F.explode("buckets").alias("b"))
+    met = index.select("id", F.explode("buckets").alias("b")).join(hashed, "b").select("qid", "id").distinct()
+    plain = top_k(scored(v, asked, metric).join(met, ["qid", "id"]), order(metric), 8)
+    found = ann.search_lsh(index, asked.where("NOT isnan(qvector[0])"), metric, 8, 6, 3, bits_)
+    assert bits(found, "rank") == bits(plain, "rank")
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
