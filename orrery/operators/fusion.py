@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.errors import QueryError
 from orrery.functions import metrics
+from orrery.operators.knn import numbered_groups
 
 SCORERS = "avg max sum".split()
 MODES = "avg max min multiply sum weighted".split()
@@ -159,14 +160,13 @@ def boost(score: Column, metric: str, functions: list[tuple[Column | None, Colum
 def group_hits(hits: DataFrame, group: str, limit: int, size: int = 1, scorer: str = "max", offset: int = 0, ascending: bool = False) -> DataFrame:
     """Per qid groups of the best ``size`` hits; groups ordered by max, sum or avg of the scores of these, ``limit`` of them after ``offset``.
 
-    ``ascending``: the smallest score is the best, and max stands for the best one.
+    ``ascending``: the smallest score is the best, and max stands for the best one. The hits are computed once.
     """
     if scorer not in SCORERS:
         raise QueryError(f"unknown group scorer {scorer!r}")
     within = hits.withColumn("rank", F.row_number().over(Window.partitionBy("qid", group).orderBy(*sort_key("score", not ascending)))).where(F.col("rank") <= size)
     agg = {"max": F.min if ascending else F.max, "sum": F.sum, "avg": F.avg}[scorer]
-    per = within.groupBy("qid", group).agg(agg("score").alias("group_score"), F.min_by("id", "rank").alias("_first"))
+    all_ = Window.partitionBy("qid", group).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     best = F.col("group_score").asc_nulls_last() if ascending else F.col("group_score").desc_nulls_last()
-    ranked = per.withColumn("group_rank", F.row_number().over(Window.partitionBy("qid").orderBy(best, F.col("_first").asc())))
-    ranked = ranked.where((F.col("group_rank") > offset) & (F.col("group_rank") <= offset + limit)).select(F.col("qid").alias("_q"), F.col(group).alias("_g"), "group_score", (F.col("group_rank") - offset).alias("group_rank"))
-    return within.join(ranked, (F.col("qid") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g"))).drop("_q", "_g")
+    out = numbered_groups(within.withColumn("group_score", agg("score").over(all_)), [best, F.col("id").asc()], group)
+    return out.where((F.col("group_rank") > offset) & (F.col("group_rank") <= offset + limit)).withColumn("group_rank", F.col("group_rank") - offset)

@@ -228,7 +228,7 @@ SELECT k.qid, k.id, round(k.score, 6) AS score, k.rank, o.group_rank, round(o.gs
 def hybrid_grouped(spark: SparkSession, sf: str) -> DataFrame:
     merged = fusion.merge(_routes(spark, sf), "rrf").withColumn("score", F.round("score", 14))
     hits = fusion.group_hits(merged, "label", 3, 2, "sum")
-    return shown(hits, "rank", "group_rank").join(hits.select("qid", "id", F.round("group_score", 6).alias("group_score")), ["qid", "id"])
+    return hits.select("qid", "id", F.round("score", 6).alias("score"), *[F.col(c).cast("long").alias(c) for c in ("rank", "group_rank")], F.round("group_score", 6).alias("group_score"))
 
 
 @query(f"""WITH {_Q}, {_scores("L2", name="s1")},

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.operators import ann, knn as knn_module, scan
+from orrery.operators import ann, fusion, knn as knn_module, scan
 from orrery.operators.knn import grouped_top_k, knn, order, scored, top_k
 from orrery.operators.scan import Range
 
@@ -99,6 +99,14 @@ def test_what_a_task_keeps(monkeypatch):
     assert {(a, b) for a, b in zip(got["qid"].to_pylist(), got["id"].to_pylist())} == want
 
 
+def test_hits_are_computed_once(spark, odd, asked):
+    """Groups are ranked on the hits, not joined with a second run of the search that found them."""
+    hits = knn(odd, asked, "COSINE", 20).select("qid", "id", "score", "label")
+    for df in (fusion.group_hits(hits, "label", 3, 2, "sum"), knn(odd, asked, "COSINE", 3, group_by="label", group_size=2)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_range_of_nan():
     assert Range(low=0.5).holds(np.array([np.nan, 0.5, 0.6, math.inf])).tolist() == [True, False, True, True]
     assert Range(high=0.5, high_closed=True).holds(np.array([np.nan, 0.5, 0.6])).tolist() == [False, True, False]
