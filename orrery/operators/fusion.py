@@ -139,9 +139,25 @@ def boost(score: Column, metric: str, functions: list[tuple[Column | None, Colum
     Boosts act on the engine distance: multiply scales the cosine itself, and the distance of the other metrics; sum brings COSINE, IP and
     BM25 nearer by the value and L2 farther. Rows where no condition holds keep their score.
     """
-    if function_mode not in ("multiply", "sum") or boost_mode not in ("multiply", "sum"):
+    return boost_by(score, metric, *boost_value(functions, function_mode), boost_mode)
+
+
+def boost_by(score: Column, metric: str, any_: Column, value: Column, boost_mode: str = "multiply") -> Column:
+    if boost_mode not in ("multiply", "sum"):
         raise QueryError("modes are multiply and sum")
     metrics.check_metric(metric)
+    d = metrics.engine_distance(metric, score)
+    if boost_mode == "multiply":
+        new = 1 - (1 - d) * value if metric == "COSINE" else d * value
+    else:
+        new = d + value if metric == "L2" else d - value
+    return F.when(any_, metrics.from_engine_distance(metric, new)).otherwise(score)
+
+
+def boost_value(functions: list[tuple[Column | None, Column | float]], function_mode: str = "multiply") -> tuple[Column, Column]:
+    """(whether any condition holds, product or sum of the weights of those that hold)."""
+    if function_mode not in ("multiply", "sum"):
+        raise QueryError("modes are multiply and sum")
     any_, value = F.lit(False), F.lit(1.0 if function_mode == "multiply" else 0.0)
     for cond, weight in functions:
         w = weight if isinstance(weight, Column) else F.lit(float(weight))
@@ -149,12 +165,7 @@ def boost(score: Column, metric: str, functions: list[tuple[Column | None, Colum
         any_ = any_ | c
         step = value * w if function_mode == "multiply" else value + w
         value = F.when(c, step).otherwise(value)
-    d = metrics.engine_distance(metric, score)
-    if boost_mode == "multiply":
-        new = 1 - (1 - d) * value if metric == "COSINE" else d * value
-    else:
-        new = d + value if metric == "L2" else d - value
-    return F.when(any_, metrics.from_engine_distance(metric, new)).otherwise(score)
+    return any_, value
 
 
 def group_hits(hits: DataFrame, group: str, limit: int, size: int = 1, scorer: str = "max", offset: int = 0, ascending: bool = False) -> DataFrame:

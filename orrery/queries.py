@@ -130,18 +130,20 @@ def _boosted_sql(metric: str, new: str) -> str:
     return f"WITH {_Q}, {_scores(metric)}, b AS (SELECT qid, id, {new} AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {way}, id) AS rank FROM b) SELECT qid, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"
 
 
+def _boosted(spark: SparkSession, sf: str, metric: str, functions: list, function_mode: str, boost_mode: str) -> DataFrame:
+    any_, value = fusion.boost_value(functions, function_mode)
+    hits = best_pairs(vectors(spark, sf), probes(spark, sf), metric, 10, carry=["label"], weight=Weight(boost_mode, value, any_))
+    return shown(top_k(hits.withColumn("score", fusion.boost(F.col("score"), metric, functions, function_mode, boost_mode)), order(metric), 10), "rank")
+
+
 @query(_boosted_sql("COSINE", "score * CASE WHEN label < 4 THEN 1.5 ELSE 1 END * CASE WHEN id % 2 = 0 THEN 0.5 ELSE 1 END"))
 def knn_boost_multiply(spark: SparkSession, sf: str) -> DataFrame:
-    hits = scored(vectors(spark, sf), probes(spark, sf), "COSINE")
-    s = fusion.boost(F.col("score"), "COSINE", [(F.col("label") < 4, 1.5), (F.col("id") % 2 == 0, 0.5)])
-    return shown(top_k(hits.withColumn("score", s), order("COSINE"), 10), "rank")
+    return _boosted(spark, sf, "COSINE", [(F.col("label") < 4, 1.5), (F.col("id") % 2 == 0, 0.5)], "multiply", "multiply")
 
 
 @query(_boosted_sql("L2", "power(sqrt(score) + CASE WHEN label = 2 THEN 0.25 ELSE 0 END + CASE WHEN label > 1 THEN 0.5 ELSE 0 END, 2)"))
 def knn_boost_sum(spark: SparkSession, sf: str) -> DataFrame:
-    hits = scored(vectors(spark, sf), probes(spark, sf), "L2")
-    s = fusion.boost(F.col("score"), "L2", [(F.col("label") == 2, 0.25), (F.col("label") > 1, 0.5)], "sum", "sum")
-    return shown(top_k(hits.withColumn("score", s), order("L2"), 10), "rank")
+    return _boosted(spark, sf, "L2", [(F.col("label") == 2, 0.25), (F.col("label") > 1, 0.5)], "sum", "sum")
 
 
 _DECAYS = {
@@ -153,9 +155,9 @@ _DECAYS = {
 
 def _decayed(kind: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        hits = scored(vectors(spark, sf), probes(spark, sf), "COSINE")
-        factor = expression("decay", {"function": kind, "origin": 3, "scale": 2, "offset": 1, "decay": 0.4})
-        return shown(top_k(hits.withColumn("score", F.col("score") * factor(F.col("label"))), fusion.sort_key("score"), 10), "rank")
+        factor = expression("decay", {"function": kind, "origin": 3, "scale": 2, "offset": 1, "decay": 0.4})(F.col("label"))
+        hits = best_pairs(vectors(spark, sf), probes(spark, sf), "COSINE", 10, carry=["label"], weight=Weight("scale", factor, nan_last=True))
+        return shown(top_k(hits.withColumn("score", F.col("score") * factor), fusion.sort_key("score"), 10), "rank")
 
     return run
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import ann, fusion, knn as knn_module, scan
 from orrery.operators.knn import grouped_top_k, knn, order, scored, top_k
-from orrery.operators.scan import Range
+from orrery.operators.scan import Range, Weight, best_pairs
 
 ROWS = "id long, label int, vector array<float>"
 
@@ -58,6 +58,17 @@ def test_groups(odd, asked, strict, most, monkeypatch):
     assert bits(knn(odd, asked, "COSINE", 3, group_by="label", group_size=4, strict=strict, offset=1), "rank", "group_rank") == bits(plain, "rank", "group_rank")
 
 
+@pytest.mark.parametrize("metric", ["COSINE", "IP", "L2"])
+@pytest.mark.parametrize("boost_mode", ["multiply", "sum"])
+def test_weights(odd, asked, metric, boost_mode):
+    functions = [(F.col("label") == 1, 0.0), (F.col("label") > 1, -1.5), (F.col("id") % 5 == 0, 2.5)]
+    any_, value = fusion.boost_value(functions)
+    score = fusion.boost(F.col("score"), metric, functions, boost_mode=boost_mode)
+    finite = odd.where("NOT isnan(vector[0]) AND abs(vector[0]) < 1e20")
+    hits = best_pairs(finite, asked, metric, 6, carry=["label"], weight=Weight(boost_mode, value, any_))
+    assert bits(top_k(hits.withColumn("score", score), order(metric), 6), "rank") == bits(top_k(scored(finite, asked, metric).withColumn("score", score), order(metric), 6), "rank")
+
+
 def test_queries_in_groups(odd, asked, monkeypatch):
     whole = bits(knn(odd, asked, "L2", 5), "rank")
     monkeypatch.setattr(scan, "POOL", 40)
