@@ -303,8 +303,8 @@ for _k in ("ivf_flat", "ivf_sq8", "lsh"):
 SELECT qid, id, round(score, 6) AS score FROM r WHERE rank <= 50""")
 def search_iterator_page(spark: SparkSession, sf: str) -> DataFrame:
     """The next page of 50 after the pages down to a score of 0.05; the page size is the feature."""
-    hits = scored(vectors(spark, sf), probes(spark, sf), "COSINE")
-    return shown(top_k(hits.where(F.col("score") < 0.05), order("COSINE"), 50))
+    hits = best_pairs(vectors(spark, sf), probes(spark, sf), "COSINE", 50, within=Range(high=0.05))
+    return shown(top_k(hits, order("COSINE"), 50))
 
 
 # -- text

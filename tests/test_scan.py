@@ -135,3 +135,12 @@ def test_buckets(odd, asked, metric, bits_):
     found = ann.search_lsh(index, asked.where("NOT isnan(qvector[0])"), metric, 8, 6, 3, bits_)
     assert bits(found, "rank") == bits(plain, "rank")
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_next_page(odd, asked):
+    """Hits below a score, that score left out; one pass that keeps a page of each query."""
+    at = scored(odd, asked, "COSINE").where("score < 0.9").agg(F.max("score")).first()[0]
+    hits = best_pairs(odd, asked, "COSINE", 5, within=Range(high=at))
+    plain = top_k(scored(odd, asked, "COSINE").where(F.col("score") < at), order("COSINE"), 5)
+    assert bits(top_k(hits, order("COSINE"), 5), "rank") == bits(plain, "rank")
+    assert hits.count() <= 5 * 12 * asked.count()
