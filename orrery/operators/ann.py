@@ -45,6 +45,10 @@ class IvfIndex:
     step: np.ndarray | None = None
     nprobe: int = 1
 
+    def write(self, path: str) -> None:
+        """Lists as folders, the rows of a list in one file."""
+        self.rows.repartition("list").write.partitionBy("list").parquet(path)
+
 
 def _sample(rows: DataFrame, vector: str, id_col: str, most: int) -> np.ndarray:
     good = rows.where(F.col(vector).isNotNull())
@@ -156,15 +160,15 @@ def fit_lsh(rows: DataFrame, metric: str, dim: int, tables: int = TABLES, *, vec
     return BITS[-1]
 
 
-def build_lsh(rows: DataFrame, tables: int, bits: int, *, vector: str = "vector", id_col: str = "id", dim: int, seed: int = 1) -> DataFrame:
-    """(id, vector, buckets): signs of seeded random projections, one bucket for each table."""
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    shared = rows.sparkSession.sparkContext.broadcast(planes)
 def _buckets(v: np.ndarray, planes: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """Vectors by tables; buckets of different tables have different numbers."""
     return ((v @ planes > 0).reshape(len(v), tables, bits) * (1 << np.arange(bits))).sum(2) + np.arange(tables) * (1 << bits)
 
 
+def build_lsh(rows: DataFrame, tables: int, bits: int, *, vector: str = "vector", id_col: str = "id", dim: int, seed: int = 1) -> DataFrame:
+    """(id, vector, buckets): signs of seeded random projections, one bucket for each table."""
+    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+    shared = rows.sparkSession.sparkContext.broadcast(planes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

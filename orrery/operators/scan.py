@@ -23,7 +23,7 @@ from orrery.errors import QueryError
 from orrery.functions import metrics
 
 #: Hits that a task keeps at least for all queries of a group together, k for each; more queries are searched in further groups.
-POOL = 1_000_000
+POOL = 500_000
 #: Rows and queries of a block, and pairs that are scored at once.
 TILE, PAIRS = 1024, 1 << 16
 #: Rows go through so many tasks at most, or one for each core if there are more: what all tasks send grows with the queries, not with the rows.
@@ -116,14 +116,16 @@ def best_pairs(
     step, parts = max(1, POOL // (k * max(1, many))), []
     for asked in collected(queries, step):
         blocks = {d: x for d, x in _blocks(asked.column(1).combine_chunks()).items() if dim in (None, d)}
-        lists = buckets = None
+        probed = lists = buckets = None
         if lists_of is not None and blocks:
-            lists = np.packbits(lists_of(blocks[dim][1]).T, axis=1)
+            probed = lists_of(blocks[dim][1])
+            lists = np.packbits(probed.T, axis=1)
         if buckets_of is not None and blocks:
             buckets = np.asarray(buckets_of(blocks[dim][1]), dtype=np.int32)
         if blocks:
             plan = _Plan(metric, k, asked.column(0).combine_chunks(), blocks, within, weight.how if weight else None, weight is not None and weight.nan_last, group is not None, tuple(also), lists, buckets)
-            parts.append(source.mapInArrow(_task(spark.sparkContext.broadcast(plan)), out))
+            read = source if probed is None or probed.all() else source.where(F.col("_list").isin([int(n) for n in np.flatnonzero(probed.any(0))]))
+            parts.append(read.mapInArrow(_task(spark.sparkContext.broadcast(plan)), out))
     if not parts:
         return spark.createDataFrame([], out)
     hits = parts[0]

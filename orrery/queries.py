@@ -288,7 +288,7 @@ def _ann(kind: str) -> Query:
             ann.build_lsh(v, ann.TABLES, bits, dim=64).write.parquet(path)
             return shown(ann.search_lsh(spark.read.parquet(path), q, "COSINE", 10, 64, ann.TABLES, bits), "rank")
         index = ann.build_ivf(v, "COSINE", sq8=kind == "ivf_sq8")
-        index.rows.write.partitionBy("list").parquet(path)
+        index.write(path)
         index.rows = spark.read.parquet(path)
         return shown(ann.search_ivf(index, q, 10), "rank")
 

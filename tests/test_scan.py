@@ -1,6 +1,7 @@
 """The search by blocks against plain column expressions: the same hits, ties and bits, in bounded memory."""
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,23 @@ def test_buckets(odd, asked, metric, bits_):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_lists(spark, odd, asked, tmp_path):
+    """Rows of the probed lists; a list is one file, and lists that no query looks into aren't read."""
+    v = odd.where("size(vector) = 6 AND abs(vector[0]) < 1e20").repartition(8)
+    q = asked.where("size(qvector) = 6 AND abs(qvector[0]) < 1e20")
+    index = ann.build_ivf(v, "L2", 10)
+    index.write(str(tmp_path / "rows"))
+    assert all(len(list(f.glob("*.parquet"))) == 1 for f in (tmp_path / "rows").glob("list=*"))
+    index.rows = spark.read.parquet(str(tmp_path / "rows"))
+    got = bits(ann.search_ivf(index, q, 6, nprobe=3), "rank")
+    c = index.centroids
+    near = [(r.qid, int(n)) for r in q.collect() for n in np.argsort((c * c).sum(1) - 2 * c @ np.array(r.qvector, dtype=np.float64), kind="stable")[:3]]
+    probed = spark.createDataFrame(near, "qid long, list int")
+    assert got == bits(top_k(scored(index.rows, q, "L2").join(probed, ["qid", "list"]), order("L2"), 6), "rank")
+    one = ann.search_ivf(index, q.limit(1), 6, nprobe=1)
+    assert re.search(r"PartitionFilters: \[.*list#\d+ = ", one._jdf.queryExecution().executedPlan().toString())
+
+
 def test_next_page(odd, asked):
     """Hits below a score, that score left out; one pass that keeps a page of each query."""
     at = scored(odd, asked, "COSINE").where("score < 0.9").agg(F.max("score")).first()[0]
