@@ -29,12 +29,13 @@ from orrery import providers
 from orrery.errors import AlreadyExistsError, NotFoundError, QueryError, SchemaError, StateError
 from orrery.functions import metrics, temporal, text
 from orrery.operators import ann, fulltext, fusion, live
-from orrery.operators.knn import grouped_top_k, order, scored, top_k
+from orrery.operators.knn import check_limits, few_groups, grouped_top_k, limits, order, scored, top_k
+from orrery.operators.scan import Range, Weight, best_pairs
 from orrery.plans.chain import from_spec, hybrid
 from orrery.plans.filter import predicate, to_column
 from orrery.plans.projection import output_columns
 from orrery.sources.files import Files, Versions
-from orrery.schema import INTS, CollectionSpec, FieldSpec, conform, problem
+from orrery.schema import INTS, META, CollectionSpec, FieldSpec, conform, problem
 
 DEFAULT_PARTITION = "_default"
 ALL_PARTITIONS = "_all"
@@ -382,7 +383,13 @@ class Collection:
         else:
             metric = metrics.check_metric(metric or self._index_metric(f.name) or "COSINE")
             q = self._query_frame(queries, f)
-            hits = scored(rows if cond is None else rows.where(cond), q, metric, f.name)
+            rows = rows if cond is None else rows.where(cond)
+            ranged = radius is not None or range_filter is not None
+            if (ranker and ranged) or (group_by is not None and not few_groups(rows, group_by)):  # a range of boosted scores; any number of groups
+                hits = scored(rows, q, metric, f.name)
+            else:
+                check_limits(limit, offset)
+                hits = self._best_hits(rows, q, metric, f, group_size if group_by else limit + offset, group_by, limits(metric, radius, range_filter), ranker, self._columns(rows, fields, group_by, everything=bool(chain or ranker)))
         hits = hits.withColumn("id", F.col(self.pk))
         if ranker:
             hits = hits.withColumn("score", self._boosted(F.col("score"), metric, ranker))
@@ -404,6 +411,23 @@ class Collection:
         score = F.col("score") if digits is None else fusion.round_decimal(F.col("score"), digits)
         return out.select("qid", "id", score.alias("distance"), "rank", *extra, *shown)
 
+    def _columns(self, rows: DataFrame, fields: list[str], group_by: str | None, everything: bool) -> list[str]:
+        """Columns of ``rows``, without the key, that a result with ``fields`` is made of."""
+        others = [c for c in rows.columns if c not in (self.pk, "_seq", "_partition")]
+        if everything or "*" in fields:
+            return others
+        dynamic = any(n not in self.spec for n in fields)
+        return [c for c in others if c in fields or c == group_by or (dynamic and c == META)]
+
+    def _best_hits(self, rows: DataFrame, queries: DataFrame, metric: str, f: FieldSpec, k: int, group_by: str | None, within: Range | None, ranker: dict | None, carry: list[str]) -> DataFrame:
+        weight = None
+        if ranker:
+            functions, function_mode, boost_mode = self._functions(ranker)
+            any_, value = fusion.boost_value(functions, function_mode)
+            fusion.boost_by(F.lit(0.0), metric, any_, value, boost_mode)
+            weight = Weight(boost_mode, value, any_)
+        return best_pairs(rows, queries, metric, k, vector=f.name, id_col=self.pk, carry=carry, group=group_by, within=within, weight=weight)
+
     def hybrid_search(self, requests: list[dict], rerank: str = "rrf", limit: int = 10, *, offset: int = 0, group_by: str | None = None, group_size: int = 1, digits: int | None = None, output_fields: list[str] | None = None, decay: dict | None = None, **merge: Any) -> DataFrame:
         """(qid, id, score, rank, fields ...): several searches fused.
 
@@ -413,18 +437,26 @@ class Collection:
         """
         if not requests:
             raise QueryError("there is no request")
+        of = dict(decay or {})
+        # with one version of each row for all routes, they carry what the fusion needs; the other fields are looked up for its hits
+        late = not any(r.get("partitions") for r in requests)
+        needed = [c for c in dict.fromkeys([group_by, of.get("field")]) if c is not None] if late else ["*"]
         routes = []
         for r in requests:
             f = self._search_field(r.get("field"))
             metric = "BM25" if f.type == "SPARSE_FLOAT_VECTOR" else metrics.check_metric(r.get("metric") or self._index_metric(f.name) or "COSINE")
-            hits = self.search(**(r | {"output_fields": ["*"]})).withColumnRenamed("distance", "score").drop("rank")
+            hits = self.search(**(r | {"output_fields": needed})).withColumnRenamed("distance", "score").drop("rank")
             # a relevance, so that normalised scores and sorts have one direction
             routes.append((hits.withColumn("score", -F.col("score")) if metric == "BM25" else hits, metric))
-        of = dict(decay or {})
         out = hybrid(routes, rerank, limit, offset=offset, group=group_by, group_size=group_size, digits=digits, decay_of=of.pop("field", None), decay_params=of, **merge)
         shown = output_columns(self.spec, ["*"] if output_fields is None else output_fields, search=True)
         extra = ["group_rank", "group_score"] if group_by else []
-        return out.withColumn(self.pk, F.col("id")).select("qid", "id", "score", "rank", *extra, *shown) if self.pk != "id" else out.select("qid", "id", "score", "rank", *extra, *shown)
+        own = ["qid", "id", "score", "rank", *extra]
+        if late:
+            found = self.live()
+            out = found.join(out.select(*[F.col(c).alias(f"_hit_{c}") for c in own]), F.col(self.pk) == F.col("_hit_id"))
+            return out.select(*[F.col(f"_hit_{c}").alias(c) for c in own], *shown)
+        return out.withColumn(self.pk, F.col("id")).select(*own, *shown) if self.pk != "id" else out.select(*own, *shown)
 
     def search_index(self, queries: list | DataFrame, limit: int = 10, field: str | None = None, nprobe: int | None = None) -> DataFrame:
         """(qid, id, score, rank) by the field's inverted-list or projection index, which is written anew if rows have changed since."""
@@ -454,7 +486,7 @@ class Collection:
                 ann.build_lsh(self.live(), tables, bits, vector=field, id_col=self.pk, dim=f.dim).write.parquet(at.at("rows"))
             else:
                 built = ann.build_ivf(self.live(), info["metric_type"], info["params"].get("nlist"), sq8=info["index_type"] == "IVF_SQ8", vector=field, id_col=self.pk)
-                built.rows.write.partitionBy("list").parquet(at.at("rows"))
+                built.write(at.at("rows"))
                 facts |= {"centroids": built.centroids.tolist(), "nprobe": built.nprobe}
             at.write("facts.json", facts)
         return self.spark.read.parquet(at.at("rows")), facts
@@ -500,6 +532,10 @@ class Collection:
         return rows.join(found, F.col(self.pk) == F.col("_id")).drop("_id")
 
     def _boosted(self, score: Column, metric: str, ranker: dict) -> Column:
+        functions, function_mode, boost_mode = self._functions(ranker)
+        return fusion.boost(score, metric, functions, function_mode, boost_mode)
+
+    def _functions(self, ranker: dict) -> tuple[list[tuple[Column | None, Column]], str, str]:
         functions = []
         for f in ranker.get("functions", []):
             p = f.get("params", f)
@@ -510,7 +546,7 @@ class Collection:
                 weight = weight * fusion.random_score(F.col(f"`{of}`"), r.get("seed", 0), self.spec[of].type == "VARCHAR")
             functions.append((cond, weight))
         p = ranker.get("params", {})
-        return fusion.boost(score, metric, functions, p.get("function_mode", "multiply"), p.get("boost_mode", "multiply"))
+        return functions, p.get("function_mode", "multiply"), p.get("boost_mode", "multiply")
 
     def query_iterator(self, expr: str | None = None, batch: int = 1000, output_fields: list[str] | None = None) -> Iterator[DataFrame]:
         """Pages of matching rows by primary key; each page is a keyset query of its own."""

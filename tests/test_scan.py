@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from orrery.operators import ann, fusion, knn as knn_module, scan
 from orrery.operators.knn import grouped_top_k, knn, order, scored, top_k
 from orrery.operators.scan import Range, Weight, best_pairs
+from orrery.schema import CollectionSpec, FieldSpec
+from orrery.sources.catalog import Catalog
 
 ROWS = "id long, label int, vector array<float>"
 
@@ -162,3 +164,36 @@ def test_next_page(odd, asked):
     plain = top_k(scored(odd, asked, "COSINE").where(F.col("score") < at), order("COSINE"), 5)
     assert bits(top_k(hits, order("COSINE"), 5), "rank") == bits(plain, "rank")
     assert hits.count() <= 5 * 12 * asked.count()
+
+
+def test_collection(spark, odd, asked, tmp_path):
+    """Searches of a collection: the same hits as all pairs give, with fields, boosts and groups, and none of them lists all pairs."""
+    spec = CollectionSpec((FieldSpec("key", "VARCHAR", primary=True), FieldSpec("label", "INT32", nullable=True), FieldSpec("tag", "VARCHAR"), FieldSpec("v", "FLOAT_VECTOR", dim=6)), dynamic=True)
+    c = Catalog(spark, str(tmp_path)).create_collection("c", spec)
+    v = odd.where("size(vector) = 6 AND abs(vector[0]) < 1e20")
+    c.insert(v.select(F.concat(F.lit("k"), "id").alias("key"), "label", F.concat(F.lit("t"), F.col("id") % 3).alias("tag"), F.col("vector").alias("v"), (F.col("id") % 2).alias("half")))
+    c.delete_where("label == 3")
+    q = asked.where("size(qvector) = 6 AND abs(qvector[0]) < 1e20")
+    ranker = {"functions": [{"params": {"filter": "tag == 't1'", "weight": 0.5}}]}
+    functions = [(F.col("tag") == "t1", 0.5)]
+    pairs = scored(c.live(), q, "L2", "v").withColumn("id", F.col("key"))
+    shown = ("qid", "id", "distance", "rank", "tag", "label")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    of = lambda df: rows(df.withColumnRenamed("score", "distance").select(*shown))
+    found = c.search(q, 4, "L2", offset=1, output_fields=["tag", "label"])
+    assert rows(found.select(*shown)) == of(top_k(pairs, order("L2"), 4, 1))
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    boosted = pairs.withColumn("score", fusion.boost(F.col("score"), "L2", functions))
+    assert rows(c.search(q, 4, "L2", ranker=ranker, output_fields=["tag", "label"]).select(*shown)) == of(top_k(boosted, order("L2"), 4))
+    in_range = boosted.where(knn_module.metrics.in_range("L2", F.col("score"), 3.0, 0.1))
+    assert rows(c.search(q, 4, "L2", ranker=ranker, radius=3.0, range_filter=0.1, output_fields=["tag", "label"]).select(*shown)) == of(top_k(in_range, order("L2"), 4))
+    assert rows(c.search(q, 2, "L2", group_by="label", group_size=2, output_fields=["tag", "label"]).select(*shown)) == of(grouped_top_k(pairs, order("L2"), "label", 2, 2))
+    halves = c.search(q, 3, "L2", output_fields=["half"]).collect()
+    assert all(int(r.half) == int(r.id[1:]) % 2 for r in halves)
+    both = [{"queries": q, "limit": 5, "metric": m} for m in ("L2", "COSINE")]
+    fused = c.hybrid_search(both, "rrf", 3, output_fields=["tag", "v"])
+    merged = fusion.merge([(top_k(scored(c.live(), q, m, "v").withColumn("id", F.col("key")), order(m), 5).select("qid", "id", "score"), m) for m in ("L2", "COSINE")], "rrf")
+    assert rows(fused.select("qid", "id", "score", "rank")) == rows(top_k(merged, fusion.sort_key("score"), 3).select("qid", "id", "score", "rank"))
+    own = {r.key: (r.tag, r.v) for r in c.live().collect()}
+    assert all((r.tag, r.v) == own[r.id] for r in fused.collect())
+    assert "NestedLoop" not in fused._jdf.queryExecution().executedPlan().toString()
