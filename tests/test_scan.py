@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from orrery import queries
 from orrery.operators import ann, fusion, knn as knn_module, scan
 from orrery.operators.knn import grouped_top_k, knn, order, scored, top_k
 from orrery.operators.scan import Range, Weight, best_pairs
@@ -197,3 +198,10 @@ def test_collection(spark, odd, asked, tmp_path):
     own = {r.key: (r.tag, r.v) for r in c.live().collect()}
     assert all((r.tag, r.v) == own[r.id] for r in fused.collect())
     assert "NestedLoop" not in fused._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_of_the_rows_alone(spark):
+    """Where no score takes part in the order, the first rows are taken before they meet the queries."""
+    plan = queries.QUERIES["chain_builder"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join")
+    assert plan.index("rank", join) > join and "WindowGroupLimit" in plan[join:]
